@@ -108,21 +108,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.empty(n, np.uint64)
-    out[0] = 1
-    done = 1
-    b = np.uint64(base)
-    step = b
-    with np.errstate(over="ignore"):
-        while done < n:
-            k = min(done, n - done)
-            out[done : done + k] = out[:k] * step
-            done += k
-            step = step * step
-    return out
-
-
 def joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """All texts as one byte array, each ended by a newline, and the offsets where they start (with the end)."""
     raw = [(x or "").encode("utf-8", "surrogatepass") for x in texts]
@@ -131,13 +116,13 @@ def joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"\n".join(raw) + b"\n", np.uint8), off
 
 
-def words(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of all texts: 64-bit hashes, byte starts, byte ends, first word of each text (with
-    the end), and the bytes. With ``lower`` A-Z count as a-z."""
+def words(texts: list[str | None], lower: bool = True, gaps: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words (runs of bytes not in ``gaps``; by default ``[^\\x20\\x09-\\x0D]+``) of all texts: 64-bit hashes, byte
+    starts, byte ends, first word of each text (with the end), and the bytes. With ``lower`` A-Z count as a-z."""
     data, off = joined(texts)
     if lower:
         data = LOWER[data]
-    gap = IS_SPACE[data]
+    gap = gaps[data]
     before = np.empty(len(gap), bool)
     before[0] = True
     before[1:] = gap[:-1]
@@ -147,14 +132,12 @@ def words(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.n
     if not len(starts):
         return np.empty(0, np.uint64), starts, ends, first, data
     with np.errstate(over="ignore"):
-        # sum of byte * B^(place in word), by eight-byte words: two lanes keep it short
         n = ends - starts
         h = np.zeros(len(starts), np.uint64)
-        padded = np.concatenate([data, np.zeros(8, np.uint8)])
-        lanes = np.lib.stride_tricks.as_strided(padded, (len(data), 8), (1, 1))
+        lanes = eights(data)
         live, at, left = np.arange(len(starts)), starts.copy(), n.copy()
-        while len(live):
-            part = np.ascontiguousarray(lanes[at]).view("<u8").ravel()
+        while len(live):  # eight bytes of each word at a time
+            part = lanes[at]
             cut_ = np.minimum(left, 8)
             part = part & _MASKS[cut_]
             h[live] = mix((h[live] ^ part) * _MUL + cut_.astype(np.uint64))
@@ -163,6 +146,17 @@ def words(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.n
     return h, starts, ends, first, data
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as one little-endian number, zeros after the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    out = np.zeros(len(data), np.uint64)
+    for r in range(8):
+        part = padded[r : r + len(data) // 8 * 8 + 8]
+        part = part[: len(part) // 8 * 8].view("<u8")
+        out[r::8] = part[: len(out[r::8])]
+    return out
+
+
 _MASKS = np.array([0] + [(1 << (8 * k)) - 1 for k in range(1, 9)], np.uint64)
 
 

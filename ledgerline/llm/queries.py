@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, token_counts
+from . import bpe, quality, token_counts
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1,
     "op8_token_counts": token_counts.op8,
+    "op10_quality_rules": quality.op10,
 }
 ORACLES: dict[str, str] = {}
