@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, jaccard, langid, quality, token_counts, toxicity, urls
+from . import bpe, decontaminate, jaccard, langid, pages, quality, token_counts, toxicity, urls
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1,
     "op2_ngram_jaccard": jaccard.op2,
+    "op3_html_text": pages.op3,
     "op4_url_filters": urls.op4,
     "op5_toxicity": toxicity.op5,
     "op7_language_id": langid.op7,
