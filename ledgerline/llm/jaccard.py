@@ -31,6 +31,8 @@ SKETCH_BITS = 20
 _BLOCKS = 64
 #: Columns of at most so many sets give all their pairs that the size bounds let through.
 FEW = 32
+#: A longer one still gives its pairs while they are at most so many times its entries.
+PAIRS_PER_ENTRY = 4
 #: Sets in a block of the product.
 BLOCK = 512
 #: Bytes of postings aimed at for each group of columns.
@@ -164,6 +166,24 @@ def _may_link(n1, r1, n2, r2, percent: int):
     return (np.minimum(r1, r2) >= least_overlap(n1, n2, percent)) & (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2))
 
 
+def _long_column(column: np.ndarray, percent: int) -> tuple[np.ndarray | None, np.ndarray]:
+    """The pairs of a column that may link, if they are few beside its entries, or None; and which entries have any."""
+    partner = np.zeros(len(column), bool)
+    pairs, total = [], 0
+    n, rem = column["n"].astype(np.int64), column["rem"].astype(np.int64)
+    for a in range(0, len(column), BLOCK):
+        i, j = np.nonzero(_may_link(n[a : a + BLOCK, None], rem[a : a + BLOCK, None], n[None, :], rem[None, :], percent))
+        ok = i + a < j
+        i, j = i[ok] + a, j[ok]
+        partner[i] = partner[j] = True
+        total += len(i)
+        if total <= PAIRS_PER_ENTRY * len(column):
+            pairs.append(np.stack([column["node"][i], column["node"][j]], 1))
+    if total > PAIRS_PER_ENTRY * len(column):
+        return None, partner
+    return np.concatenate(pairs), partner
+
+
 def _columns(percent: int):
     """What a group of columns gives: pairs (key null, node, n other) of short columns, entries of long ones."""
 
@@ -188,10 +208,15 @@ def _columns(percent: int):
                     x, y = rows[(part[:, None] + i).ravel()], rows[(part[:, None] + j).ravel()]
                     ok = _may_link(x["n"], x["rem"], y["n"], y["rem"], percent)
                     pairs.append(np.stack([x["node"][ok], y["node"][ok]], 1))
+            for a, size in zip(start[m > FEW].tolist(), m[m > FEW].tolist(), strict=True):
+                column = rows[a : a + size]
+                mine, partner = _long_column(column, percent)
+                if mine is None:
+                    hot.append(column[partner])
+                elif len(mine):
+                    pairs.append(mine)
             if pairs and len(found := np.unique(np.concatenate(pairs), axis=0)):
                 out.append(pd.DataFrame({"key": None, "a": found[:, 0], "b": found[:, 1], "n": 0, "rem": 0}))
-            many = np.repeat(m > FEW, m)
-            hot.append(rows[many])
         if hot and len(rows := np.concatenate(hot)):
             out.append(pd.DataFrame({"key": rows["key"].view(np.int64), "a": rows["node"], "b": None, "n": rows["n"], "rem": rows["rem"]}))
         out = [x.astype({"key": "Int64", "a": "Int64", "b": "Int64", "n": "Int32", "rem": "Int32"}) for x in out]
