@@ -35,6 +35,9 @@ FEW = 32
 PAIRS_PER_ENTRY = 4
 #: Sets in a block of the product.
 BLOCK = 512
+#: Sets in a cluster of pairs that is checked in one place, and bytes of sets aimed at for each such place.
+CLUSTER = 1024
+CHECK_BYTES = 16_000_000
 #: Bytes of postings aimed at for each group of columns.
 GROUP_BYTES = 4_000_000
 #: Ids of at most this many sets are broadcast (8 bytes each); more are joined.
@@ -250,6 +253,36 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``_verified``, sending each set only once where it can: pairs fall into clusters, and a cluster of at most
+    ``CLUSTER`` sets is checked in one place, many clusters to a task. Pairs of larger clusters are joined."""
+    spark = pairs.sparkSession
+    member = components(pairs)
+    sizes = member.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    member = cut(member.join(sizes, "component").select("node", "component", (F.col("size") <= CLUSTER).alias("small")))
+    facts = sets.agg(F.sum(F.length("shingles")).alias("bytes")).first()
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((facts["bytes"] or 0) // CHECK_BYTES))
+    few = member.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    home = member.select("node", "small", F.pmod(F.xxhash64("component"), F.lit(groups)).cast("int").alias("g"))
+    home = F.broadcast(home) if few else home
+    placed = pairs.join(home.withColumnRenamed("node", "a"), "a")
+    near = placed.filter("small").select(F.col("g").alias("g_pairs"), "a", "b").groupBy("g_pairs")
+    held = sets.join(home, "node").filter("small").select(F.col("g").alias("g_sets"), "node", "shingles").groupBy("g_sets")
+
+    def check(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        own = {n: np.frombuffer(s, "<u8") for n, s in zip(right["node"].tolist(), right["shingles"], strict=True)}
+        keep = []
+        for a, b in zip(left["a"].tolist(), left["b"].tolist(), strict=True):
+            x, y = own[a], own[b]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(100 * both >= percent * (len(x) + len(y) - both))
+        return left.loc[keep, ["a", "b"]]
+
+    out = near.cogroup(held).applyInPandas(check, "a long, b long")
+    far = placed.filter("not small").select("a", "b")
+    return out.union(_verified(far, sets, percent)) if member.filter("not small").limit(1).count() else out
+
+
 def _product(percent: int):
     """Spanning edges between components inside two blocks of a column's sets, by a blocked product of incidences."""
 
@@ -337,7 +370,7 @@ def linked_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tupl
 
     sets = cut(named.mapInArrow(sets_of, "node long, shingles binary"))
     sets = sets.dropDuplicates(["node"]) if docs.limit(1).count() and meta.groupBy("doc_id").count().filter("count > 1").limit(1).count() else sets
-    edges = cut(_verified(pairs, sets, percent))
+    edges = cut(_checked(pairs, sets, percent))
     comps = components(edges)
     # long columns whose sets are not yet one component: multiply what is still apart
     apart = many.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
