@@ -1,6 +1,305 @@
-"""Registered queries and their independent SQL."""
+"""Registered queries over the synthetic master data and the driver's tables. Each returns scalars only; arrays are
+joined with ``|``. The independent SQL is in ``oracles``."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import tables as t
+from .functions import text as x
+from .operators import enhance, records, reports, validation, verification
+from .oracles import ORACLES  # noqa: F401
+from .sources.synthetic import mdm_raw
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _joined(c: str) -> Column:
+    return F.array_join(c, "|").alias(c)
+
+
+def parsed(spark, d):
+    return records.split_address(mdm_raw(spark, d))
+
+
+def first(spark, d):
+    """First-pass records of the synthetic relation; language by script and country only."""
+    return records.first_pass(mdm_raw(spark, d), statistical=F.lit(None).cast("string"))
+
+
+def second(spark, d):
+    return enhance.second_pass(first(spark, d))
+
+
+def validated(spark, d):
+    return validation.validate_records(second(spark, d))
+
+
+def usable(spark, d):
+    return validated(spark, d).filter(F.col("validation_status").isin(t.USABLE))
+
+
+def third(spark, d):
+    return verification.third_pass(usable(spark, d))
+
+
+def q01(spark, d):
+    return reports.value_counts(first(spark, d), "quality_tier").select(F.col("value").alias("quality_tier"), "n")
+
+
+def q02(spark, d):
+    return parsed(spark, d).select("row_id", *records.PARSED)
+
+
+def q03(spark, d):
+    return records.clean_names(mdm_raw(spark, d)).select("row_id", "cleaned_name", _joined("name_removed_parts"), _joined("name_cleaning_actions"))
+
+
+def q04(spark, d):
+    return reports.action_counts(records.clean_names(mdm_raw(spark, d)), "name_cleaning_actions")
+
+
+def q05(spark, d):
+    raw = mdm_raw(spark, d)
+    return records.repair_columns(records.split_address(raw)).select("row_id", "FULL_ADDRESS", "parsed_street", "flag_encoding_repaired")
+
+
+def q06(spark, d):
+    return records.normalize_addresses(parsed(spark, d)).select("row_id", "norm_street", "norm_city", "norm_state", "norm_country", "norm_postal", _joined("normalization_actions"))
+
+
+def q07(spark, d):
+    df = parsed(spark, d)
+    c = [F.col(n) for n in records.PARSED]
+    country, why = enhance.infer_country(*c)
+    return df.select("row_id", country.alias("country"), why.alias("reason"))
+
+
+def q08(spark, d):
+    df = records.clean_names(parsed(spark, d))
+    return records.detect_language(df, statistical=F.lit(None).cast("string")).select("row_id", "detected_lang", "lang_method")
+
+
+def q09(spark, d):
+    return _table(spark, d, "documents").select("doc_id", records.language_by_words("text").alias("guess"))
+
+
+def q10(spark, d):
+    return first(spark, d).select("row_id", *records.FLAGS, "api_ready", "needs_translation", "quality_tier")
+
+
+def q11(spark, d):
+    return _table(spark, d, "documents").select("doc_id", F.round(x.garble_ratio("text"), 6).alias("ratio"), x.is_garbled("text").alias("garbled"))
+
+
+TIERS = ["CRITICAL", "INCOMPLETE", "NEEDS_PREP", "READY"]
+
+
+def q12(spark, d):
+    return reports.crosstab(first(spark, d), "parsed_country", "quality_tier", TIERS)
+
+
+def q13(spark, d):
+    langs = ["en", "es", "de", "it", "pt", "fr", "zh"]
+    pick = F.element_at(F.array(*[F.lit(v) for v in langs]), (F.floor(F.col("row_id") / 3) % len(langs)).cast("int") + 1)
+    df = parsed(spark, d).withColumns({"detected_lang": pick, "enhanced_street": F.col("parsed_street"), enhance.LOG: F.array().cast("array<string>")})
+    return enhance.expand_streets(df).select("row_id", "enhanced_street", _joined(enhance.LOG))
+
+
+def q14(spark, d):
+    state, action = enhance.expand_state(F.col("parsed_state"), F.upper("parsed_country"))
+    return parsed(spark, d).select("row_id", state.alias("state"), action.alias("action"))
+
+
+def q15(spark, d):
+    postal, action = enhance.normalize_postal(F.col("parsed_postal"), F.upper("parsed_country"))
+    return parsed(spark, d).select("row_id", postal.alias("postal"), action.alias("action"))
+
+
+def q16(spark, d):
+    df = parsed(spark, d).withColumns({"enhanced_street": F.concat(F.lit(", "), "parsed_street", F.lit(" .")), enhance.LOG: F.array().cast("array<string>")})
+    return enhance.clean_structure(df).select("row_id", "enhanced_street", _joined(enhance.LOG))
+
+
+def q17(spark, d):
+    return second(spark, d).select("row_id", "country_validated", "country_mismatch_reason", "suggested_country")
+
+
+def q18(spark, d):
+    return second(spark, d).select("row_id", "completeness_score", "completeness_class", *[F.col(f"completeness_details.{k}").alias(k) for k in ("has_street", "has_street_number", "has_city", "has_state", "has_country", "has_postal")])
+
+
+def q19(spark, d):
+    return second(spark, d).select("row_id", "api_address", "api_strategy", "needs_translation", "translation_handling_status", "translation_gap_reason", _joined(enhance.LOG))
+
+
+def q20(spark, d):
+    df = validation.simulate(second(spark, d), "api_address", "suggested_country", "result")
+    r = lambda n: F.col(f"result.{n}")
+    return df.select("row_id", r("validation_status").alias("validation_status"), r("formatted_address").alias("formatted_address"), r("latitude").alias("latitude"), r("longitude").alias("longitude"), r("validation_granularity").alias("validation_granularity"), F.array_join(r("diagnostics"), "|").alias("diagnostics"))
+
+
+def q21(spark, d):
+    df = validation.correct(validation.simulate(second(spark, d), "api_address", "suggested_country", "result"))
+    return df.select("row_id", F.col("correction.status").alias("status"), F.col("correction.strategy").alias("strategy"), F.col("correction.attempts").alias("attempts"))
+
+
+def q22(spark, d):
+    return validated(spark, d).select("row_id", "validation_status", "validated_address", "correction_status", "correction_strategy", "correction_attempts", "failure_reason", "manual_review_flag", "validation_granularity", _joined("validation_diagnostics"))
+
+
+def q23(spark, d):
+    df = second(spark, d).withColumn("address", F.when(F.col("row_id") % 2 == 0, F.upper("api_address")).otherwise(F.col("api_address")))
+    out = validation.validate_once(df, "address", "suggested_country", "row_id")
+    return out.select("row_id", "asked_address", F.col("result.validation_status").alias("validation_status"))
+
+
+def q24(spark, d):
+    return reports.breakdown(validated(spark, d), "norm_country", True)
+
+
+def q25(spark, d):
+    df = validated(spark, d)
+    tier = reports.breakdown(df, "quality_tier").select(F.lit("quality_tier").alias("kind"), F.col("quality_tier").alias("value"), "total", "exact_success", "usable_success", "exact_success_rate", "usable_success_rate")
+    full = reports.breakdown(df, "completeness_class").select(F.lit("completeness_class").alias("kind"), F.col("completeness_class").alias("value"), "total", "exact_success", "usable_success", "exact_success_rate", "usable_success_rate")
+    return tier.union(full)
+
+
+def q26(spark, d):
+    return reports.value_counts(validated(spark, d).filter("validation_status = 'FAILED'"), "failure_reason").select(F.col("value").alias("failure_reason"), "n")
+
+
+def q27(spark, d):
+    """Similarity of every part with the parts of its brand and size that follow it by key."""
+    p = _table(spark, d, "part").select("p_partkey", "p_brand", "p_size", "p_name")
+    o = p.select(F.col("p_partkey").alias("other_key"), F.col("p_brand").alias("b"), F.col("p_size").alias("s"), F.col("p_name").alias("other_name"))
+    pairs = p.join(o, (F.col("p_brand") == F.col("b")) & (F.col("p_size") == F.col("s")) & (F.col("p_partkey") < F.col("other_key")))
+    return pairs.select("p_partkey", "other_key", F.round(x.token_similarity("p_name", "other_name"), 6).alias("similarity"))
+
+
+def _scored(spark, d):
+    """Suppliers as records, the customers of their nation with keys of the same hundred as candidates."""
+    s = _table(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.concat(F.lit("Acme "), F.col("s_suppkey") % 7, F.lit(" Tools Inc")).alias("company_name"), F.concat(F.col("s_suppkey") % 5, F.lit(" Main Street")).alias("address"), (F.col("s_suppkey") % 10 / 100).alias("latitude"), F.lit(1.0).alias("longitude"))
+    c = _table(spark, d, "customer").select(
+        F.col("c_nationkey"), F.col("c_custkey").alias("ord"), F.concat(F.lit("ACME "), F.col("c_custkey") % 7, F.when(F.col("c_custkey") % 3 == 0, " Tools GmbH").otherwise(" Paints Ltd")).alias("c_name"),
+        F.concat(F.col("c_custkey") % 5, F.when(F.col("c_custkey") % 2 == 0, " main street").otherwise(" high street")).alias("c_address"), (F.col("c_custkey") % 10 / 100).alias("c_latitude"), F.lit(1.0).alias("c_longitude"), (F.col("c_custkey") % 13 / 10).alias("c_score"),
+    )
+    pairs = s.join(c, (F.col("s_nationkey") == F.col("c_nationkey")) & (F.col("ord") % 100 == F.col("s_suppkey") % 100))
+    return verification.score_candidates(pairs)
+
+
+BEST = ["c_name", "c_address", "ord", "name_score", "address_score", "distance_score", "confidence"]
+
+
+def q28(spark, d):
+    return verification.best_candidates(_scored(spark, d), "s_suppkey", "ord", BEST)
+
+
+def q29(spark, d):
+    best = verification.best_candidates(_scored(spark, d), "s_suppkey", "ord", BEST)
+    return best.select("s_suppkey", verification.candidate_status("c_name", F.col("name_score"), F.col("address_score"), F.col("distance_score"), F.col("confidence")).alias("status"))
+
+
+def q30(spark, d):
+    """Customers look up evidence that orders of the same key carry."""
+    ev = _table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("load_order"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("M-"), "o_custkey")).otherwise("").alias("MDM_KEY"), F.when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("s "), "o_custkey")).otherwise("").alias("SRC_KEY"),
+        F.when(F.col("o_orderkey") % 5 > 0, F.concat(F.lit("order "), "o_orderkey")).otherwise(" ").alias("summary"), F.concat(F.lit("http://x/"), "o_orderkey").alias("url"),
+    )
+    people = _table(spark, d, "customer").select(F.col("c_custkey").alias("row_id"), F.concat(F.lit("m "), "c_custkey").alias("MDM_KEY"), F.concat(F.lit("S_"), "c_custkey").alias("SRC_KEY"), F.lit("").alias("SOURCE_NAME"))
+    return verification.lookup_evidence(people, verification.evidence_index(ev)).select("row_id", *verification.EVIDENCE)
+
+
+def q31(spark, d):
+    v = verification.simulate_verification(F.col("cleaned_name"), F.coalesce(F.nullif(x.text("validated_address"), F.lit("")), F.col("api_address")))
+    return usable(spark, d).select("row_id", v["company_verification_status"].alias("status"), v["verification_confidence"].alias("confidence"), v["matched_company_name"].alias("matched_company_name"))
+
+
+def _adjudicated(spark, d):
+    k = F.col("event_id")
+    said = F.element_at(F.array(*[F.lit(v) for v in ("VERIFIED", "likely_match", "ADDRESS_MISMATCH", "maybe", "UNVERIFIED")]), (k % 5).cast("int") + 1)
+    content = F.when(k % 11 == 0, "no answer").otherwise(F.concat(F.lit('Sure: {"decision": "'), said, F.lit('", "confidence": '), k % 120, F.lit(', "reason": " r '), k % 3, F.lit(' "} ok')))
+    chat = F.to_json(F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("message"))).alias("choices")))
+    status = F.element_at(F.array(*[F.lit(v) for v in ("ADDRESS_MISMATCH", "CORRECT_ADDRESS_CANDIDATE", "UNVERIFIED", "VERIFIED")]), (F.floor(k / 5) % 4).cast("int") + 1)
+    df = _table(spark, d, "events").select(k, status.alias("company_verification_status"), (k % 100 / 100).alias("verification_confidence"), F.when(k % 4 > 0, "Acme").otherwise("").alias("matched_company_name"), F.lit("").alias("occupant_at_address"), (k % 6 == 0).alias("external_evidence_available"), chat.alias("answer"))
+    return verification.adjudicate(df, "answer")
+
+
+def q32(spark, d):
+    return _adjudicated(spark, d).select("event_id", *verification.ADJUDICATION)
+
+
+def q33(spark, d):
+    return third(spark, d).select("row_id", "legal_name", "enriched_full_address", "email_domain", "headquarters_address", "enrichment_method", "enrichment_notes")
+
+
+def q34(spark, d):
+    df = _adjudicated(spark, d).withColumn("company_verification_status", F.col("final_company_verification_status"))
+    return reports.value_counts(verification.route(df).withColumn("r", F.concat_ws("/", "review_routing", "review_priority", F.col("week3_manual_review_flag").cast("string"))), "r").select(F.col("value").alias("route"), "n")
+
+
+def q35(spark, d):
+    return reports.field_coverage(third(spark, d))
+
+
+def q36(spark, d):
+    return reports.mean_confidence(third(spark, d))
+
+
+def q37(spark, d):
+    return reports.head(first(spark, d), F.col("quality_tier").isin("CRITICAL", "INCOMPLETE")).select("row_id", "MDM_KEY", "SOURCE_NAME", "cleaned_name", "norm_street", "quality_tier")
+
+
+def q38(spark, d):
+    return reports.exact_sample(_table(spark, d, "customer"), "c_custkey").select("c_custkey", "c_name")
+
+
+def q39(spark, d):
+    return reports.funnel(validated(spark, d))
+
+
+def q40(spark, d):
+    """Recorded answers of an address service, made from the key."""
+    k = F.col("row_id")
+    pick = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), (F.floor(k / n) % len(values)).cast("int") + 1)
+    address = F.struct(F.when(k % 3 == 0, F.col("a")).otherwise(F.concat(F.lit("1 High Street, "), F.col("parsed_city"))).alias("freeformAddress"), F.when(k % 2 == 0, "12").otherwise("").alias("streetNumber"), F.when(k % 5 > 0, "Main").otherwise("").alias("streetName"), F.col("parsed_city").alias("municipality"), F.lit("").alias("countrySubdivision"), F.lit("1").alias("postalCode"), F.lit("US").alias("countryCode"))
+    hit = F.struct((F.lit(0.5) + k % 51 / 100).alias("score"), pick(["Point Address", "Street", "Geography", "Other"], 1).alias("type"), F.lit("").alias("entityType"), pick(["PointAddress", "AddressRange", "", "Street", "Municipality"], 2).alias("matchType"), F.struct(F.lit(1.5).alias("lat"), F.lit(2.5).alias("lon")).alias("position"), address.alias("address"))
+    df = parsed(spark, d).withColumn("a", F.concat_ws(", ", "parsed_street", "parsed_city", "parsed_country"))
+    df = df.withColumn("answer", F.to_json(F.struct(F.when(k % 17 > 0, F.array(hit)).alias("results"))))
+    out = validation.parse_answers(df, "answer", "a", "result")
+    r = lambda n: F.col(f"result.{n}").alias(n)
+    return out.select("row_id", r("validation_status"), r("validation_granularity"), r("formatted_address"), r("has_unconfirmed"), r("has_inferred"), r("has_replaced"), F.array_join("result.diagnostics", "|").alias("diagnostics"))
+
+
+def q41(spark, d):
+    return reports.action_counts(first(spark, d), "normalization_actions")
+
+
+def q42(spark, d):
+    """Sizes of the subsets that the passes write out."""
+    a, v, c = first(spark, d), validated(spark, d), third(spark, d)
+    parts = [
+        a.agg(F.lit("api_ready").alias("subset"), F.count_if("api_ready").alias("n")), a.agg(F.lit("critical").alias("subset"), F.count_if(F.col("quality_tier") == "CRITICAL").alias("n")),
+        a.agg(F.lit("coded_names").alias("subset"), F.count_if(F.col("name_sub_category").isin(t.CODED_NAMES)).alias("n")),
+        v.agg(F.lit("usable").alias("subset"), F.count_if(F.col("validation_status").isin(t.USABLE)).alias("n")), v.agg(F.lit("manual_review").alias("subset"), F.count_if("manual_review_flag").alias("n")),
+        v.agg(F.lit("attempted").alias("subset"), F.count_if(F.col("correction_status").isNotNull() & (F.col("correction_status") != "N/A")).alias("n")),
+        c.agg(F.lit("trusted").alias("subset"), F.count_if(F.col("company_verification_status").isin(t.TRUSTED)).alias("n")), c.agg(F.lit("review").alias("subset"), F.count_if(F.col("review_routing").startswith("REVIEW_")).alias("n")),
+        c.agg(F.lit("deferred").alias("subset"), F.count_if(F.col("review_routing") == "DEFER_NO_EVIDENCE").alias("n")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+QUERIES = {
+    "q01_tier_counts": q01, "q02_parse_composite": q02, "q03_name_clean": q03, "q04_name_action_counts": q04, "q05_encoding_repair": q05, "q06_addr_normalize": q06, "q07_country_infer": q07, "q08_lang_script": q08,
+    "q09_lang_scorer": q09, "q10_quality_flags": q10, "q11_garble_ratio": q11, "q12_country_tier_crosstab": q12, "q13_abbrev_multilang": q13, "q14_state_expand": q14, "q15_postal_norm": q15, "q16_street_structure": q16,
+    "q17_country_crossval": q17, "q18_completeness": q18, "q19_api_address": q19, "q20_sim_validate": q20, "q21_sim_correct": q21, "q22_validation_status": q22, "q23_dedupe_memo": q23, "q24_country_breakdown": q24,
+    "q25_tier_completeness_breakdown": q25, "q26_failure_reasons": q26, "q27_token_jaccard": q27, "q28_candidate_argmax": q28, "q29_status_ladder": q29, "q30_evidence_lookup": q30, "q31_sim_verify": q31,
+    "q32_adjudicate_replay": q32, "q33_enrich_det": q33, "q34_routing": q34, "q35_field_coverage": q35, "q36_confidence_mean": q36, "q37_top_problem_rows": q37, "q38_sample10": q38, "q39_funnel": q39,
+    "q40_answer_parse_replay": q40, "q41_action_explode_norm": q41, "q42_subset_sinks": q42,
+}
