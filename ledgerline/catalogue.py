@@ -152,7 +152,7 @@ def q22(spark, d):
 
 
 def q23(spark, d):
-    df = second(spark, d).withColumn("address", F.when(F.col("row_id") % 2 == 0, F.upper("api_address")).otherwise(F.col("api_address")))
+    df = second(spark, d).withColumn("address", F.when(F.col("row_id") % 2 == 0, F.lower("api_address")).otherwise(F.col("api_address")))
     out = validation.validate_once(df, "address", "suggested_country", "row_id")
     return out.select("row_id", "asked_address", F.col("result.validation_status").alias("validation_status"))
 
