@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -12,6 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Python workers live on between tasks; freed buffers go back to the system instead of staying in Arrow's own pool
+pa.set_memory_pool(pa.system_memory_pool())
+
+
+def trim() -> None:
+    """Give free heap pages back to the system, where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 #: Text handled at a time inside one Arrow batch, so that memory does not follow the row count of a batch.
 CHUNK_BYTES = 4_000_000
 
@@ -57,6 +70,7 @@ def chunks(texts: list[str | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[
         size += n
     if start < len(texts):
         yield start, len(texts)
+    trim()
 
 
 def map_columns(df: DataFrame, columns: list[str], fn: Callable[..., dict], schema: str | T.StructType) -> DataFrame:

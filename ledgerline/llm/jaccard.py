@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, cut, mix, shingles, table, words
+from .common import chunks, cut, mix, shingles, table, trim, words
 from .components import components
 
 WORDS = 5
@@ -266,19 +266,23 @@ def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     home = member.select("node", "small", F.pmod(F.xxhash64("component"), F.lit(groups)).cast("int").alias("g"))
     home = F.broadcast(home) if few else home
     placed = pairs.join(home.withColumnRenamed("node", "a"), "a")
-    near = placed.filter("small").select(F.col("g").alias("g_pairs"), "a", "b").groupBy("g_pairs")
-    held = sets.join(home, "node").filter("small").select(F.col("g").alias("g_sets"), "node", "shingles").groupBy("g_sets")
+    none = F.lit(None)
+    near = placed.filter("small").select("g", "a", "b", none.cast("binary").alias("shingles"))
+    held = sets.join(home, "node").filter("small").select("g", F.col("node").alias("a"), F.lit(0).cast("long").alias("b"), "shingles")
 
-    def check(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        own = {n: np.frombuffer(s, "<u8") for n, s in zip(right["node"].tolist(), right["shingles"], strict=True)}
+    def check(pdf: pd.DataFrame) -> pd.DataFrame:
+        is_set = pdf["shingles"].notna().to_numpy()
+        own = {n: np.frombuffer(s, "<u8") for n, s in zip(pdf["a"][is_set].tolist(), pdf["shingles"][is_set], strict=True)}
         keep = []
-        for a, b in zip(left["a"].tolist(), left["b"].tolist(), strict=True):
+        for a, b in zip(pdf["a"][~is_set].tolist(), pdf["b"][~is_set].tolist(), strict=True):
             x, y = own[a], own[b]
             both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= percent * (len(x) + len(y) - both))
-        return left.loc[keep, ["a", "b"]]
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                keep.append((a, b))
+        trim()
+        return pd.DataFrame(keep, columns=["a", "b"], dtype="int64")
 
-    out = near.cogroup(held).applyInPandas(check, "a long, b long")
+    out = near.union(held).groupBy("g").applyInPandas(check, "a long, b long")
     far = placed.filter("not small").select("a", "b")
     return out.union(_verified(far, sets, percent)) if member.filter("not small").limit(1).count() else out
 
