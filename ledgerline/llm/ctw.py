@@ -352,6 +352,7 @@ def score_texts(docs: DataFrame, fold=None) -> DataFrame:
     known_words = spark.sparkContext.broadcast((np.ascontiguousarray(top["key"]), top["n"].astype(np.int64)))
     model = spark.sparkContext.broadcast(tree)
     whole = n_train + 0.5 * (distinct + 1)
+    end_count = train.count()
     rare = least > 1
 
     text_rows = np.dtype([("row", "<i8"), ("id", "<i8"), ("null", "?"), ("held", "?"), ("n", "<i8"), ("known", "<i8"), ("base", "<f8"), ("score", "<f8")])
@@ -362,7 +363,6 @@ def score_texts(docs: DataFrame, fold=None) -> DataFrame:
         table_ = Frequent(*known_words.value)
         tree_ = model.value
         row = TaskContext.get().partitionId() << 40
-        end_count = int(table_.look(np.array([_END_WORD]))[0])
         for batch in batches:
             ids, held, texts = (c.to_pylist() for c in batch.columns)
             out = []

@@ -57,7 +57,7 @@ def term_counts(texts: list[str | None]) -> np.ndarray:
         ok = ~(blank[:-2] & blank[1:-1]) & ~(blank[1:-1] & blank[2:])
         for back in (1, 2):
             at = off[1:-1] - back
-            ok[at[at >= 0]] = False
+            ok[at[(at >= 0) & (at < len(ok))]] = False
         out += np.bincount((row[:-2] + three)[ok], minlength=m << BITS)
     return out.reshape(m, 1 << BITS)
 

@@ -236,7 +236,7 @@ def passing(column: str = "stats") -> Column:
 
 
 def quality_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", source_col: str | None = "source") -> DataFrame:
-    """(id, the five base counts, base_failed, distance, kept) for every row of ``docs``.
+    """(id, the five base counts, base_failed, kept, distance) for every row of ``docs``.
 
     Null and empty texts have no words and fail; a null language or source is a group of its own; repeated rows and ids
     stay; equal distances get equal verdicts; an empty table gives an empty one; other columns are not read.
@@ -245,7 +245,7 @@ def quality_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     measured = cut(with_statistics(picked, "_text").drop("_text"))
     params = fit(measured.filter(passing()).select("k_lang", "k_source", "stats.*").select("k_lang", "k_source", *VECTOR))
     out = judge(measured, params)
-    return out.select(F.col("_id").alias(id_col), *[F.col(f"stats.{c}").alias(c) for c in BASE], "base_failed", "distance", "kept")
+    return out.select(F.col("_id").alias(id_col), *[F.col(f"stats.{c}").alias(c) for c in BASE], "base_failed", "kept", "distance")
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
