@@ -18,6 +18,8 @@ from .common import chunks, crc_mod, joined, map_columns, table
 
 #: Most texts of a language that fitting reads, those of least hashed id.
 SAMPLE_PER_LANGUAGE = 1000
+#: Languages that are learned, the most frequent.
+MAX_LANGUAGES = 200
 CENTROIDS = 3
 BITS = 12
 STEPS = 10
@@ -113,7 +115,8 @@ def fit(docs: DataFrame, fold=None, per_language: int = SAMPLE_PER_LANGUAGE, k:
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     if fold is not None:
         known = known.filter(fold)
-    langs = sorted(r["lang"] for r in known.select("lang").distinct().collect())
+    often = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
+    langs = sorted(r["lang"] for r in often.collect())
     counts, names = [], []
     for lang in langs:
         ids = known.filter(F.col("lang") == lang).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language)

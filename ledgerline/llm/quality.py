@@ -219,8 +219,9 @@ def judge(measured: DataFrame, params: DataFrame, stats: str = "stats") -> DataF
     """``measured`` (with k_lang, k_source and the struct) with distance (null where no estimate applies) and kept."""
     own = params.filter((F.col("level") == 0) & (F.col("rows") >= MIN_GROUP)).select(F.col("g_lang").alias("k_lang"), F.col("g_source").alias("k_source"), F.struct("mean", "inv").alias("_p0"))
     lang = params.filter((F.col("level") == 1) & (F.col("rows") >= MIN_GROUP)).select(F.col("g_lang").alias("k_lang"), F.struct("mean", "inv").alias("_p1"))
-    every = params.filter(F.col("level") == 2).select(F.struct("mean", "inv").alias("_p2"), F.lit(1).alias("_one"))
-    out = measured.withColumn("_one", F.lit(1)).join(_small(own), ["k_lang", "k_source"], "left").join(_small(lang), "k_lang", "left").join(F.broadcast(every.limit(1)), "_one", "left")
+    every = params.filter(F.col("level") == 2).select(F.struct("mean", "inv").alias("_p2"), F.col("g_lang").alias("_one"))
+    # the group of all rows has an empty key, joined like the others
+    out = measured.withColumn("_one", F.substring("k_lang", 1, 0)).join(_small(own), ["k_lang", "k_source"], "left").join(_small(lang), "k_lang", "left").join(F.broadcast(every), "_one", "left")
     p = F.coalesce("_p0", "_p1", "_p2")
     out = out.withColumn("mean", p["mean"]).withColumn("inv", p["inv"])
     out = out.withColumn("distance", _distance([F.col(f"{stats}.{v}") for v in VECTOR]))
