@@ -169,3 +169,25 @@ def company_report(df: DataFrame) -> dict:
 
 def as_json(report: dict) -> str:
     return json.dumps(report, indent=2, ensure_ascii=False, default=str)
+
+
+def run_counters(df: DataFrame) -> DataFrame:
+    """What a validation run did: records by state, correction attempts and successes."""
+    s = F.col("validation_status")
+    named = {"validated": "VALIDATED", "corrected": "CORRECTED", "partial": "PARTIAL_VALIDATED", "failed": "FAILED", "errors": "API_ERROR", "skipped": "SKIPPED"}
+    return df.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(s == v).alias(k) for k, v in named.items()], F.coalesce(F.sum("correction_attempts"), F.lit(0)).alias("attempts"), F.count_if(F.col("correction_status").isin("ENGINE_CORRECTED", "ENGINE_PARTIAL")).alias("engine_successes"))
+
+
+def distinct_values(df: DataFrame, column: str) -> DataFrame:
+    """Each value once, a missing one too."""
+    return df.select(column).distinct()
+
+
+def summary(df: DataFrame, columns: list[str]) -> str:
+    """Counts and shares of the named columns' values, for a console."""
+    n = df.count()
+    lines = [f"{n} records"]
+    for c in columns:
+        lines.append(c)
+        lines += [f"  {r['value']}: {r['n']} ({100 * r['n'] / max(n, 1):.1f}%)" for r in value_counts(df, c, "keep").collect()]
+    return "\n".join(lines)

@@ -71,7 +71,7 @@ def service_url(url: str | None) -> str | None:
 def chat_url(base: str | None, deployment: str, version: str) -> str | None:
     """Where chat requests go: a full address as it is, else the deployment's under the base."""
     base = service_url(base)
-    if base is None or "/chat/completions" in base:
+    if base is None or "/chat/completions" in base.lower() or "/responses" in base.lower():
         return base
     return f"{base}/openai/deployments/{deployment}/chat/completions?api-version={version}"
 
