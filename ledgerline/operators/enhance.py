@@ -26,8 +26,10 @@ def expand_streets(df: DataFrame, column: str = "enhanced_street", log: str = LO
     own = F.when(F.col(lang).isin(list(t.STREET_RULES)), F.col(lang)).otherwise("en")
     df = df.withColumn("_rules", own)
     for key, rules in t.STREET_RULES.items():
-        df = fold(df, column, log, [(p, r, f"expanded_{p[:15]}") for p, r in rules], F.col("_rules") == key)
-    df = fold(df, column, log, [(p, r, f"expanded_en_{p[:15]}") for p, r in t.STREET_RULES["en"]], F.col("_rules") != "en")
+        if key != "en":
+            df = fold(df, column, log, [(p, r, F.lit(f"expanded_{p[:15]}")) for p, r in rules], F.col("_rules") == key)
+    prefix = F.when(F.col("_rules") == "en", "expanded_").otherwise("expanded_en_")
+    df = fold(df, column, log, [(p, r, F.concat(prefix, F.lit(p[:15]))) for p, r in t.STREET_RULES["en"]])
     return settled(df.drop("_rules"))
 
 

@@ -70,7 +70,7 @@ def clean_names(df: DataFrame, column: str = "SOURCE_NAME") -> DataFrame:
     return settled(df.withColumn("cleaned_name", x.strip(x.squeeze(x.strip(F.regexp_replace(name, F.lit(r"(?Ud)\s*[-–—]\s*$"), F.lit(""))), 2))))
 
 
-def fold(df: DataFrame, column: str, log: str, rules: list[tuple[str, str, str]], where: Column | None = None) -> DataFrame:
+def fold(df: DataFrame, column: str, log: str, rules: list[tuple[str, str, str | Column]], where: Column | None = None) -> DataFrame:
     """Apply ordered rules (pattern, replacement, action) to a column, each to its first match only, and log the action
     whenever its pattern is found in the running value. One projection per rule keeps the plan linear."""
     for pattern, replacement, action in rules:
@@ -80,7 +80,7 @@ def fold(df: DataFrame, column: str, log: str, rules: list[tuple[str, str, str]]
         df = df.withColumns(
             {
                 column: F.when(hit, x.replace_first(column, pattern, replacement)).otherwise(F.col(column)),
-                log: F.when(hit, F.array_append(log, F.lit(action))).otherwise(F.col(log)),
+                log: F.when(hit, F.array_append(log, F.lit(action) if isinstance(action, str) else action)).otherwise(F.col(log)),
             }
         )
     return df

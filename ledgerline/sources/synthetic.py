@@ -32,7 +32,12 @@ def mdm_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     slow = lambda n: F.floor(k / n).cast("long")
     address = F.concat_ws("|#|#", _pick(STREETS, k), _pick(CITIES, slow(2)), _pick(STATES, slow(3)), _pick(COUNTRIES, slow(5)), _pick(POSTALS, slow(7)))
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name")
+    # one small file is one task; rules cost far more than dealing its rows out to all cores
+    cores = spark.sparkContext.defaultParallelism
+    if len(customers.inputFiles()) < cores:
+        customers = customers.repartition(cores, "c_custkey")
+    return customers.select(
         k.cast("long").alias("row_id"), F.concat(F.lit("M"), k).alias("MDM_KEY"), F.concat(F.lit("S"), k % 50).alias("SRC_KEY"), F.concat("c_name", _pick(SUFFIXES, slow(4))).alias("SOURCE_NAME"), address.alias("FULL_ADDRESS"),
         _pick(SYSTEMS, k).alias("ROWID_SYSTEM"), _pick(SUB_CATEGORIES, slow(6)).alias("name_sub_category"),
     )
