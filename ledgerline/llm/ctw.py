@@ -3,12 +3,13 @@
 A byte is eight binary decisions along a tree of its high bits. Each decision has, for every context of 0 to ``DEPTH``
 preceding bytes, counts of zeros and ones gathered from all training texts, and a Krichevsky-Trofimov estimate from
 them. A context node's weighted probability is half its own estimate and half the product of its children's; the
-weights that follow mix the estimates of all depths into one prediction. Contexts rarer than one in
-``2 ** CONTEXT_BITS`` bytes are pooled with their siblings, so the table that is broadcast has at most
-``2 ** CONTEXT_BITS`` contexts of each depth, however large the corpus.
+weights that follow mix the estimates of all depths into one prediction. Every context of the training texts is kept:
+n-grams are dealt out by the two latest bytes of their context, so that whole subtrees below depth 1 are mixed where
+their counts lie, and only sums for the 257 contexts above meet at the driver.
 
-Word counts for the base stay distributed: frequent words (again a bounded number) are broadcast, the others are
-looked up where their counts lie. Words and n-grams travel as packed arrays, dealt out by hash.
+Words and n-grams travel as packed arrays, dealt out by hash, and stay distributed: frequent ones (a bounded number) are
+broadcast with their counts or mixed probabilities, the others are looked up where their counts lie. Both ways give the
+same value, so that the bound decides what travels, not what is learned.
 """
 
 from __future__ import annotations
@@ -22,7 +23,10 @@ from pyspark.sql import functions as F
 from .common import LOWER, chunks, crc_mod, cut, mix, table, words
 
 DEPTH = 5
-CONTEXT_BITS = 16
+#: N-grams at least as frequent as one in so many bytes are broadcast with their probabilities.
+GRAM_BITS = 20
+#: N-grams whose subtrees are mixed at a time.
+MIX_GRAMS = 300_000
 #: Words at least as frequent as one in so many tokens are broadcast.
 FREQUENT_BITS = 20
 #: Characters of text per group of words in the exchange.
@@ -31,6 +35,7 @@ MIN_GROUPS = 32
 END = 0xFF
 _END_WORD = np.uint64(0x656E642D6F662D74)
 _COUNT = np.dtype([("key", "<u8"), ("n", "<u4")])
+_LOGP = np.dtype([("key", "<u8"), ("logp", "<f8")])
 _ASK = np.dtype([("key", "<u8"), ("row", "<i8")])
 #: Entries a task holds before it merges them.
 HOLD = 4_000_000
@@ -46,8 +51,8 @@ def byte_stream(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nda
     return data, starts, starts + n + 1
 
 
-def _grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (context, byte) codes, oldest byte first, and their counts."""
+def _codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The (context, byte) code of every byte and end, oldest byte first, and the number of each text's."""
     data, starts, ends = byte_stream(texts)
     wide = data.astype(np.uint64)
     code = wide[: len(data) - DEPTH].copy()
@@ -57,7 +62,12 @@ def _grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     for i in range(DEPTH - 1):  # of the end bytes between texts only the first is coded
         real[np.minimum(ends + i, len(data) - 1)] = False
     real[:DEPTH] = False
-    return np.unique(code[real[DEPTH:]], return_counts=True)
+    return code[real[DEPTH:]], ends - starts
+
+
+def _grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (context, byte) codes and their counts."""
+    return np.unique(_codes(texts)[0], return_counts=True)
 
 
 def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +115,17 @@ def _pack(kind: int, k: np.ndarray, c: np.ndarray, g: np.ndarray):
         yield kind, int(g[a]), rows.tobytes()
 
 
-WORDS, GRAMS, ASKED, TEXTS = 0, 1, 2, 3
+WORDS, GRAMS, ASKED, TEXTS, ASKED_GRAMS = 0, 1, 2, 3, 4
+
+
+def _questions(kind: int, k: np.ndarray, row: np.ndarray, deal: np.ndarray, groups: int) -> list[tuple]:
+    asked = np.empty(len(k), _ASK)
+    asked["key"], asked["row"] = k, row
+    g = (deal % np.uint64(groups)).astype(np.int64)
+    order = np.lexsort((k, g))
+    asked, g = asked[order], g[order]
+    at = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, np.int64)
+    return [(kind, int(g[i]), asked[i:j].tobytes()) for i, j in zip(at, np.r_[at[1:], len(g)], strict=True)] if len(g) else []
 
 
 def _by_word(k: np.ndarray) -> np.ndarray:
@@ -167,6 +187,21 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
 _LG_HALF = 0.5723649429247001
 
 
+# for counts below its length
+_LG = np.stack([_lgamma(np.arange(1 << 12) + 0.5) - _LG_HALF, _lgamma(np.arange(1 << 12) + 1.0)])
+
+
+def _log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """``log_kt`` of whole numbers, small ones by table."""
+    a, b = n0.astype(np.int64), n1.astype(np.int64)
+    n = a + b
+    small = n < _LG.shape[1]
+    out = np.empty(len(n))
+    out[small] = _LG[0][a[small]] + _LG[0][b[small]] - _LG[1][n[small]]
+    out[~small] = log_kt(n0[~small], n1[~small])
+    return out
+
+
 def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """Natural logarithm of the Krichevsky-Trofimov probability of a sequence with these counts."""
     return _lgamma(n0 + 0.5) + _lgamma(n1 + 0.5) - 2 * _LG_HALF - _lgamma(n0 + n1 + 1.0)
@@ -256,42 +291,119 @@ class ContextTree:
         return total[ends - DEPTH] - total[starts - DEPTH]
 
 
-def _tree(gathered: DataFrame, total: int) -> ContextTree:
-    """The context tree of the n-gram counts; the driver gets kept contexts only, a bounded number."""
-    least = max(2, total >> CONTEXT_BITS)
+def _turned(keys: np.ndarray) -> np.ndarray:
+    """Codes with the latest byte of the context first, so that a context's n-grams are a range."""
+    out = keys & np.uint64(0xFF)
+    for i in range(1, DEPTH + 1):
+        out = out | ((keys >> np.uint64(8 * i)) & np.uint64(0xFF)) << np.uint64(8 * (DEPTH + 1 - i))
+    return out
+
+
+def _subtrees(keys: np.ndarray):
+    """Orders of ``keys`` by turned code, in parts that hold whole contexts of two bytes and about MIX_GRAMS n-grams."""
+    codes = _turned(keys)
+    order = np.argsort(codes)
+    top = codes[order] >> np.uint64(8 * (DEPTH - 1))
+    start = np.flatnonzero(np.r_[True, top[1:] != top[:-1]]) if len(top) else np.zeros(0, np.int64)
+    a = 0
+    for b in [*start[1:].tolist(), len(order)]:
+        if b - a >= MIX_GRAMS or b == len(order) > a:
+            yield codes[order[a:b]], order[a:b]
+            a = b
+
+
+class _Mixer:
+    """Whole subtrees below contexts of one byte: ``codes`` are turned and in order, counts may be 0."""
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray):
+        self.keys, self.counts, self.up = {DEPTH: codes}, {DEPTH: counts.astype(np.float64)}, {}
+        for d in range(DEPTH, 2, -1):
+            k = self.keys[d]
+            self.keys[d - 1], self.up[d] = np.unique((k >> np.uint64(16)) << np.uint64(8) | k & np.uint64(0xFF), return_inverse=True)
+            self.counts[d - 1] = np.bincount(self.up[d], self.counts[d])
+
+    def _level(self, b: int):
+        """For bit ``b``: each depth's decision of every key, its parent decision, own and weighted probability, estimate
+        of a one; and the context of one byte and place in the byte tree of those of depth 2."""
+        at, first, own, kt = {}, {}, {}, {}
+        for d in range(2, DEPTH + 1):
+            node = self.keys[d] >> np.uint64(8 - b)
+            new = np.r_[True, node[1:] != node[:-1]]
+            at[d], first[d] = np.cumsum(new) - 1, np.flatnonzero(new)
+            bit = (self.keys[d] >> np.uint64(7 - b) & np.uint64(1)).astype(np.float64)
+            n, n1 = np.bincount(at[d], self.counts[d]), np.bincount(at[d], self.counts[d] * bit)
+            own[d], kt[d] = _log_kt(n - n1, n1), (n1 + 0.5) / (n + 1)
+        parent = {d: at[d - 1][self.up[d][first[d]]] for d in range(3, DEPTH + 1)}
+        weighted = {DEPTH: own[DEPTH]}
+        for d in range(DEPTH - 1, 1, -1):
+            weighted[d] = np.logaddexp(own[d], np.bincount(parent[d + 1], weighted[d + 1], len(own[d]))) - np.log(2)
+        low = self.keys[2][first[2]]
+        place = (low >> np.uint64(16)).astype(np.int64), (1 << b | (low & np.uint64(0xFF)) >> np.uint64(8 - b)).astype(np.int64)
+        return at, parent, own, weighted, kt, place
+
+    def add_to(self, below: np.ndarray, counts: np.ndarray) -> None:
+        """Sums over contexts of two bytes for those of one: weighted probability of each decision, count of each byte."""
+        for b in range(8):
+            *_, weighted, _, place = self._level(b)
+            np.add.at(below, place, weighted[2])
+        k = self.keys[2]
+        np.add.at(counts, ((k >> np.uint64(16)).astype(np.int64), (k & np.uint64(0xFF)).astype(np.int64)), self.counts[2])
+
+    def logp(self, ahead: np.ndarray, above: np.ndarray) -> np.ndarray:
+        """log10 probability of each n-gram's byte after its context."""
+        out = np.zeros(len(self.keys[DEPTH]))
+        for b in range(8):
+            at, parent, own, weighted, kt, place = self._level(b)
+            left, p1 = ahead[place], above[place]
+            for d in range(2, DEPTH + 1):
+                if d > 2:
+                    left, p1 = left[parent[d]], p1[parent[d]]
+                stay = _stay(own[d], weighted[d]) if d < DEPTH else 1.0
+                p1 = p1 + left * stay * kt[d]
+                left = left * (1 - stay)
+            p1 = np.clip(p1, 1e-12, 1 - 1e-12)
+            one = (self.keys[DEPTH] >> np.uint64(7 - b) & np.uint64(1)).astype(bool)
+            out += np.where(one, np.log10(p1)[at[DEPTH]], np.log10(1 - p1)[at[DEPTH]])
+        return out
+
+
+def _stay(own: np.ndarray, weighted: np.ndarray) -> np.ndarray:
+    return np.minimum(np.exp(np.minimum(own - weighted, 0.6931471805599453)) / 2, 1.0)
 
-    def keep(batches):
+
+def _above(gathered: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """For every context of one byte and decision: the weight left to longer contexts, and what none and one byte give to
+    the probability of a one. The driver gets sums for 256 contexts."""
+
+    def sums(batches):
         for batch in batches:
-            out = []
-            for d in batch.column(0).to_pylist():
+            for g, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows = np.frombuffer(d, _COUNT)
-                for depth in range(2, DEPTH + 1):
-                    k = rows["key"] & np.uint64((1 << (8 * (depth + 1))) - 1)
-                    k, c = _merge([k], [rows["n"].astype(np.int64)])
-                    ctx = k >> np.uint64(8)
-                    start = np.flatnonzero(np.r_[True, ctx[1:] != ctx[:-1]]) if len(k) else np.zeros(0, np.int64)
-                    if depth == 2:
-                        # sums for the contexts of one byte and none
-                        low, n = _merge([k & np.uint64(0xFFFF)], [c])
-                        out.append((1, _rows(low, n)))
-                    if len(k):
-                        big = np.repeat(np.add.reduceat(c, start) >= least, np.diff(np.r_[start, len(k)]))
-                        out.append((depth, _rows(k[big], c[big])))
-            yield _batch(out, ("kind", "data"), (pa.int32(), pa.binary()))
-
-    def _rows(k, c):
-        r = np.empty(len(k), np.dtype([("key", "<u8"), ("n", "<u8")]))
-        r["key"], r["n"] = k, c
-        return r.tobytes()
-
-    got: dict[int, list] = {d: [] for d in range(1, DEPTH + 1)}
-    for r in gathered.filter(F.col("kind") == GRAMS).select("data").mapInArrow(keep, "kind int, data binary").toLocalIterator():
-        got[r["kind"]].append(np.frombuffer(bytes(r["data"]), np.dtype([("key", "<u8"), ("n", "<u8")])))
-    entries = {d: _merge([p["key"] for p in parts], [p["n"].astype(np.int64) for p in parts]) for d, parts in got.items() if parts}
-    root = np.zeros(256)
-    if 1 in entries:
-        np.add.at(root, (entries[1][0] & np.uint64(255)).astype(np.int64), entries[1][1])
-    return ContextTree(entries, root)
+                below, counts = np.zeros((256, 256)), np.zeros((256, 256))
+                for codes, order in _subtrees(rows["key"]):
+                    _Mixer(codes, rows["n"][order]).add_to(below, counts)
+                some = np.flatnonzero(counts.any(1))
+                yield _batch([(int(c), g, below[c].tobytes() + counts[c].tobytes()) for c in some], ("c", "g", "data"))
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(d) for d in pdf.sort_values("g")["data"])
+        return pd.DataFrame({"c": [pdf["c"].iloc[0]], "data": [total.tobytes()]})
+
+    below, counts = np.zeros((256, 256)), np.zeros((256, 256))
+    parts = gathered.filter(F.col("kind") == GRAMS).select("g", "data").mapInArrow(sums, "c int, g int, data binary")
+    for r in parts.groupBy("c").applyInPandas(add, "c int, data binary").toLocalIterator():
+        below[r["c"]], counts[r["c"]] = np.frombuffer(bytes(r["data"])).reshape(2, 256)
+    n0, n1 = np.zeros((256, 256)), np.zeros((256, 256))  # by context and place in the byte tree
+    for b in range(8):
+        pairs = counts.reshape(256, 1 << b, 2, -1).sum(3)
+        n0[:, 1 << b : 2 << b], n1[:, 1 << b : 2 << b] = pairs[:, :, 0], pairs[:, :, 1]
+    own = log_kt(n0, n1)
+    weighted = np.logaddexp(own, below) - np.log(2)
+    m0, m1 = n0.sum(0), n1.sum(0)
+    own0 = log_kt(m0, m1)
+    stay, stay0 = _stay(own, weighted), _stay(own0, np.logaddexp(own0, weighted.sum(0)) - np.log(2))
+    above = stay0 * (m1 + 0.5) / (m0 + m1 + 1) + (1 - stay0) * stay * (n1 + 0.5) / (n0 + n1 + 1)
+    return (1 - stay0) * (1 - stay), above
 
 
 class Frequent:
@@ -335,7 +447,8 @@ def score_texts(docs: DataFrame, fold=None) -> DataFrame:
     gathered = _gather(train, groups)
     facts = {r["kind"]: r for r in gathered.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
     n_train, distinct = (facts[WORDS]["n"], facts[WORDS]["v"]) if WORDS in facts else (0, 0)
-    tree = _tree(gathered, facts[GRAMS]["n"] if GRAMS in facts else 0)
+    sums = spark.sparkContext.broadcast(_above(gathered))
+    least_gram = max(1, -(-(facts[GRAMS]["n"] if GRAMS in facts else 0) >> GRAM_BITS))
     least = max(1, -(-n_train >> FREQUENT_BITS))
 
     def frequent(batches):
@@ -350,7 +463,24 @@ def score_texts(docs: DataFrame, fold=None) -> DataFrame:
     top = [np.frombuffer(bytes(r["data"]), _COUNT) for r in gathered.filter(F.col("kind") == WORDS).select("data").mapInArrow(frequent, "data binary").toLocalIterator()]
     top = np.sort(np.concatenate(top), order="key") if top else np.zeros(0, _COUNT)
     known_words = spark.sparkContext.broadcast((np.ascontiguousarray(top["key"]), top["n"].astype(np.int64)))
-    model = spark.sparkContext.broadcast(tree)
+
+    def likely(batches):
+        for batch in batches:
+            out = []
+            for d in batch.column(0).to_pylist():
+                rows = np.frombuffer(d, _COUNT)
+                for codes, order in _subtrees(rows["key"]):
+                    n = rows["n"][order]
+                    if (n >= least_gram).any():
+                        found = np.empty(int((n >= least_gram).sum()), _LOGP)
+                        found["key"], found["logp"] = rows["key"][order[n >= least_gram]], _Mixer(codes, n).logp(*sums.value)[n >= least_gram]
+                        out.append((found.tobytes(),))
+            yield _batch(out, ("data",), (pa.binary(),))
+
+    # at most 2 ** GRAM_BITS n-grams
+    near = [np.frombuffer(bytes(r["data"]), _LOGP) for r in gathered.filter(F.col("kind") == GRAMS).select("data").mapInArrow(likely, "data binary").toLocalIterator()]
+    near = np.sort(np.concatenate(near), order="key") if near else np.zeros(0, _LOGP)
+    known_grams = spark.sparkContext.broadcast((np.ascontiguousarray(near["key"]), np.ascontiguousarray(near["logp"])))
     whole = n_train + 0.5 * (distinct + 1)
     end_count = train.count()
     rare = least > 1
@@ -361,7 +491,7 @@ def score_texts(docs: DataFrame, fold=None) -> DataFrame:
         from pyspark import TaskContext
 
         table_ = Frequent(*known_words.value)
-        tree_ = model.value
+        grams_ = Frequent(*known_grams.value)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids, held, texts = (c.to_pylist() for c in batch.columns)
@@ -382,20 +512,19 @@ def score_texts(docs: DataFrame, fold=None) -> DataFrame:
                 sums = np.concatenate([[0.0], np.cumsum(logs)])
                 rows["base"] = sums[first[1:]] - sums[first[:-1]]
                 rows["base"] += np.log10((end_count + 0.5) / whole)
-                rows["score"] = tree_.score(texts[a:b])
+                code, length = _codes(texts[a:b])
+                lp = grams_.look(code)  # below 0 where it is known
+                sums_ = np.concatenate([[0.0], np.cumsum(lp)])
+                till = np.cumsum(length)
+                rows["score"] = sums_[till] - sums_[till - length]
+                ask = np.flatnonzero(lp == 0)
+                out += _questions(ASKED_GRAMS, code[ask], np.repeat(rows["row"], length)[ask], _by_recent(code[ask]), groups)
                 if not rare:  # every training word is among the frequent ones
                     unknown = rows["n"] - rows["known"]
                     rows["base"] += unknown * np.log10(0.5 / whole)
                 else:
                     ask = np.flatnonzero(c == 0)
-                    asked = np.empty(len(ask), _ASK)
-                    asked["key"] = h[ask]
-                    asked["row"] = np.repeat(rows["row"], n)[ask]
-                    g = (_by_word(asked["key"]) % np.uint64(groups)).astype(np.int64)
-                    order = np.argsort(g, kind="stable")
-                    asked, g = asked[order], g[order]
-                    at = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, np.int64)
-                    out += [(ASKED, int(g[i]), asked[i:j].tobytes()) for i, j in zip(at, np.r_[at[1:], len(g)], strict=True)] if len(g) else []
+                    out += _questions(ASKED, h[ask], np.repeat(rows["row"], n)[ask], _by_word(h[ask]), groups)
                 out.append((TEXTS, int(rows["row"][0] % groups), rows.tobytes()))
                 row += b - a
             yield _batch(out)
@@ -404,6 +533,23 @@ def score_texts(docs: DataFrame, fold=None) -> DataFrame:
         of = lambda kind, t: [np.frombuffer(d, t) for d, k in zip(pdf["data"], pdf["kind"], strict=True) if k == kind]
         out = []
         counts, asked, texts = of(WORDS, _COUNT), of(ASKED, _ASK), of(TEXTS, text_rows)
+        grams, asked_grams = of(GRAMS, _COUNT), of(ASKED_GRAMS, _ASK)
+        if asked_grams:
+            # asked n-grams are mixed with count 0 where they were not seen
+            ask = np.concatenate(asked_grams)
+            keys, back = np.unique(ask["key"], return_inverse=True)
+            have = grams[0] if grams else np.zeros(0, _COUNT)
+            new = np.setdiff1d(keys, have["key"], assume_unique=True)
+            all_keys, all_counts = np.concatenate([have["key"], new]), np.concatenate([have["n"], np.zeros(len(new), "<u4")])
+            logp = np.zeros(len(keys))
+            for codes, order in _subtrees(all_keys):
+                i = np.searchsorted(keys, all_keys[order])
+                i[i == len(keys)] = 0
+                hit = keys[i] == all_keys[order]
+                if hit.any():
+                    logp[i[hit]] = _Mixer(codes, all_counts[order]).logp(*sums.value)[hit]
+            rows, at = np.unique(ask["row"], return_inverse=True)
+            out.append(pd.DataFrame({"row": rows, "known": 0, "base": 0.0, "score": np.bincount(at, logp[back])}))
         if asked:
             ask = np.concatenate(asked)
             c = np.zeros(len(ask), np.int64)
@@ -414,24 +560,21 @@ def score_texts(docs: DataFrame, fold=None) -> DataFrame:
                 c = np.where(keys[i] == ask["key"], counts[0]["n"][i].astype(np.int64), 0)
             logs = np.log10((c + 0.5) / whole)
             rows, back = np.unique(ask["row"], return_inverse=True)
-            out.append(pd.DataFrame({"row": rows, "known": np.bincount(back, c > 0).astype(np.int64), "base": np.bincount(back, logs)}))
+            out.append(pd.DataFrame({"row": rows, "known": np.bincount(back, c > 0).astype(np.int64), "base": np.bincount(back, logs), "score": 0.0}))
         if texts:
             t = np.concatenate(texts)
             frame = pd.DataFrame({"row": t["row"], "known": t["known"], "base": t["base"], "doc_id": pd.array(t["id"], "Int64"), "held_out": pd.array(t["held"], "boolean"), "n_tokens": pd.array(t["n"], "Int64"), "score": t["score"], "full": True})
             frame.loc[t["null"], "doc_id"] = pd.NA
             out.append(frame)
-        whole_frame = pd.concat(out) if out else pd.DataFrame({"row": np.zeros(0, np.int64), "known": np.zeros(0, np.int64), "base": np.zeros(0)})
+        whole_frame = pd.concat(out) if out else pd.DataFrame({"row": np.zeros(0, np.int64), "known": np.zeros(0, np.int64), "base": np.zeros(0), "score": np.zeros(0)})
         for name, kind in (("doc_id", "Int64"), ("held_out", "boolean"), ("n_tokens", "Int64")):
             whole_frame[name] = whole_frame[name].astype(kind) if name in whole_frame else pd.array([pd.NA] * len(whole_frame), kind)
-        if "score" not in whole_frame:
-            whole_frame["score"] = np.nan
-        score = whole_frame["score"].astype(object).where(whole_frame["n_tokens"].notna().to_numpy(), None)
-        return whole_frame[["row", "known", "base", "doc_id", "held_out", "n_tokens"]].assign(score=score)
+        return whole_frame[["row", "known", "base", "doc_id", "held_out", "n_tokens", "score"]]
 
     asked = picked.mapInArrow(run, "kind int, g int, data binary")
-    counts = gathered.filter(F.col("kind") == WORDS).select("kind", "g", "data")
-    parts = (asked.union(counts) if rare else asked).groupBy("g").applyInPandas(answer, "row long, known long, base double, doc_id long, held_out boolean, n_tokens long, score double")
-    out = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.max("score").alias("score"))
+    counts = gathered.filter(F.col("kind").isin([GRAMS, WORDS] if rare else [GRAMS])).select("kind", "g", "data")
+    parts = asked.union(counts).groupBy("g").applyInPandas(answer, "row long, known long, base double, doc_id long, held_out boolean, n_tokens long, score double")
+    out = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n_train)).cast("long").alias("train_tokens"), "base_score", "score")
 
 

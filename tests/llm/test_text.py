@@ -252,3 +252,18 @@ def test_tree_equals_plain_weighting(monkeypatch):
         for back in range(1, ctw.DEPTH + 1):
             node = tree.child[node][ctx[-back]]
         assert tree.logp[node][s[i]] == pytest.approx(total, abs=1e-3)
+
+
+@pytest.mark.parametrize("bits", [20, 3])
+def test_scores_keep_every_context(spark, monkeypatch, bits):
+    """The distributed mix against one tree of all contexts: a rare context stays one, however much other text there is."""
+    monkeypatch.setattr(ctw, "GRAM_BITS", bits)
+    g = random.Random(8)
+    texts = ["qzxvk jqxzw " * 3, *[prose(g, 80)] * 900, "qzxvk jqxzw", "never seen: ÄÖ", None]
+    held = len(texts) - 3
+    tree, _ = tree_of(texts[:held])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in ctw.score_texts(df, df["doc_id"] >= held).collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], tree.score(texts), rtol=1e-5, atol=0.01)
+    nothing = ctw.score_texts(df, df["doc_id"] >= 0).filter("doc_id = 0").first()["score"]
+    assert nothing == pytest.approx(8 * 37 * math.log10(0.5))
