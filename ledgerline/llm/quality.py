@@ -26,11 +26,12 @@ MAX_REPEAT_PERCENT = 50
 SHARE = 0.75
 STEPS = 3
 #: Groups of fewer rows borrow the estimate of their language, or of all rows.
-MIN_GROUP = 200
-#: Least standard deviation of each transformed statistic, so that a constant one does not make every change an outlier.
-FLOOR = (0.06, 0.05, 0.25, 0.2, 0.08)
+MIN_GROUP = 50
+#: Least standard deviation of each transformed statistic: what chance alone gives in a text of about MIN_WORDS words and
+#: 25 lines (1 / (2 sqrt(n)) for the root of a share of n), so that a constant one does not make every change an outlier.
+FLOOR = (0.06, 0.03, 0.1, 0.08, 0.03)
 #: Chance that a normal vector is rejected.
-TAIL = 1e-5
+TAIL = 0.001
 #: Parameters of at most so many groups are broadcast; more are joined.
 BROADCAST_GROUPS = 50_000
 

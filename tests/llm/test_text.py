@@ -63,6 +63,21 @@ def test_quality(spark):
     assert quality.quality_table(df.limit(0)).count() == 0 and quality.keep_good(df.limit(0)).count() == 0
 
 
+def test_one_fault_is_enough(spark):
+    """Texts whose only fault is repeated lines, or repeated passages, go; clean ones of the same group stay."""
+    g = random.Random(6)
+    lines = lambda k: [prose(g, 5) for _ in range(k)]
+    rows = [(i, "\n".join(lines(g.randint(12, 40)))) for i in range(60)]
+    rows += [(1000 + i, "\n".join(x for line in lines(40) for x in ((line, "more") if g.random() < 0.7 else (line,)))) for i in range(5)]
+    for i in range(5):
+        passage = prose(g, 25)
+        rows.append((2000 + i, f"{prose(g, 50)} {passage} {prose(g, 20)} {passage}"))
+    df = spark.createDataFrame([(*r, "en", "s") for r in rows], "doc_id long, text string, lang string, source string")
+    got = quality.quality_table(df).collect()
+    assert not any(r["base_failed"] for r in got)
+    assert all(r["kept"] == (r["doc_id"] < 1000) for r in got), [(r["doc_id"], r["distance"]) for r in got if r["kept"] != (r["doc_id"] < 1000)]
+
+
 def test_estimates_equal_plain_ones(spark):
     """The concentration steps against the same steps in numpy, for the group of all rows."""
     g = np.random.default_rng(4)
