@@ -11,15 +11,14 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, crc_mod, joined, map_columns, table
+from .common import chunks, crc_mod, cut, joined, map_columns, table
 
 #: Most texts of a language that fitting reads, those of least hashed id.
 SAMPLE_PER_LANGUAGE = 1000
-#: Languages that are learned, the most frequent.
-MAX_LANGUAGES = 200
 CENTROIDS = 3
 BITS = 12
 STEPS = 10
@@ -111,47 +110,57 @@ def _kmeans(v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(docs: DataFrame, fold=None, per_language: int = SAMPLE_PER_LANGUAGE, k: int = CENTROIDS) -> Centroids:
     """Centroids from ``docs`` (doc_id, text, lang): at most ``per_language`` texts of each language, by least hashed
-    id. Rows without language or letters teach nothing; without any, every prediction is ``und``."""
+    id. Rows without id, language or letters teach nothing; without any, every prediction is ``und``. Every language is
+    learned: its centroids are made on the executors, and the driver gets those only."""
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     if fold is not None:
         known = known.filter(fold)
-    often = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    langs = sorted(r["lang"] for r in often.collect())
-    counts, names = [], []
-    for lang in langs:
-        ids = known.filter(F.col("lang") == lang).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language)
-        rows = known.filter(F.col("lang") == lang).join(F.broadcast(ids.distinct()), "doc_id")
-        # terms are counted on the executors, so that the driver holds vectors of fixed size only
-        got = rows.select("doc_id", "text").mapInArrow(_count_batches, "doc_id long, counts binary").collect()
-        for r in sorted(got, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, bytes(r["counts"])))[:per_language]:
-            pairs = np.frombuffer(bytes(r["counts"]), "<u4").reshape(2, -1)
-            dense = np.zeros(1 << BITS, np.float32)
-            dense[pairs[0]] = np.log1p(pairs[1])
-            counts.append(dense)
-            names.append(lang)
-    if not counts:
-        return Centroids(np.zeros(1 << BITS, np.float32), np.zeros((0, 1 << BITS), np.float32), [], np.zeros(0))
-    v = np.stack(counts)
-    counts.clear()
+
+    def least(frames):
+        held = None
+        for pdf in frames:
+            both = pdf if held is None else pd.concat([held, pdf])
+            held = both.drop_duplicates(["lang", "doc_id"]).sort_values(["h", "doc_id"]).groupby("lang").head(per_language)
+        if held is not None:
+            yield held
+
+    # each task names at most per_language ids of a language, so that no language is gathered whole
+    ids = known.filter(F.col("doc_id").isNotNull()).select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).mapInPandas(least, "lang string, doc_id long, h long").distinct()
+    ids = ids.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("rn") <= per_language).select("lang", "doc_id")
+    rows = known.join(ids, ["lang", "doc_id"]).select("doc_id", "text", "lang")
+    counted = cut(rows.mapInArrow(_count_batches, "doc_id long, counts binary, lang string"))
+
+    def dense(pdf: pd.DataFrame) -> np.ndarray:
+        got = sorted(zip(pdf["doc_id"].tolist(), map(bytes, pdf["counts"]), strict=True))[:per_language]
+        v = np.zeros((len(got), 1 << BITS), np.float32)
+        for i, (_, x) in enumerate(got):
+            pairs = np.frombuffer(x, "<u4").reshape(2, -1)
+            v[i, pairs[0]] = np.log1p(pairs[1])
+        return v
+
+    def shares(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "data": [(dense(pdf) > 0).mean(0).tobytes()]})
+
     # each language weighs the same in the document frequencies, however often it occurs
-    names = np.array(names, dtype=object)
-    share = np.stack([(v[names == lang] > 0).mean(0) for lang in langs if (names == lang).any()])
-    idf = (np.log(1 / np.clip(share.mean(0), 1e-3, 1)) + 0.1).astype(np.float32)
-    v *= idf
-    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-    centres, owners, limits = [], [], []
-    for lang in langs:
-        own = v[names == lang]
-        if not len(own):
-            continue
+    total, n = np.zeros(1 << BITS), 0
+    for r in counted.groupBy("lang").applyInPandas(shares, "lang string, data binary").orderBy("lang").toLocalIterator():
+        total, n = total + np.frombuffer(bytes(r["data"])), n + 1
+    if not n:
+        return Centroids(np.zeros(1 << BITS, np.float32), np.zeros((0, 1 << BITS), np.float32), [], np.zeros(0))
+    idf = (np.log(1 / np.clip(total / n, 1e-3, 1)) + 0.1).astype(np.float32)
+
+    def centroids(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = dense(pdf) * idf
+        own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)
         c, near = _kmeans(own, k)
         cos = (own @ c.T)[np.arange(len(own)), near]
-        for i in range(len(c)):
-            if (near == i).any():
-                centres.append(c[i])
-                owners.append(lang)
-                limits.append(float(np.quantile(cos[near == i], REJECT)))
-    return Centroids(idf, np.stack(centres), owners, np.array(limits))
+        out = [(pdf["lang"].iloc[0], i, c[i].astype(np.float32).tobytes(), float(np.quantile(cos[near == i], REJECT))) for i in range(len(c)) if (near == i).any()]
+        return pd.DataFrame(out, columns=["lang", "i", "centre", "edge"])
+
+    found = counted.groupBy("lang").applyInPandas(centroids, "lang string, i int, centre binary, edge double").collect()
+    found.sort(key=lambda r: (r["lang"], r["i"]))
+    centres = np.stack([np.frombuffer(bytes(r["centre"]), np.float32) for r in found])
+    return Centroids(idf, centres, [r["lang"] for r in found], np.array([r["edge"] for r in found]))
 
 
 def _count_batches(batches):
@@ -165,7 +174,7 @@ def _count_batches(batches):
                 for row in term_counts(texts[i : min(b, i + _ROWS)]):
                     at = np.flatnonzero(row)
                     out.append(np.concatenate([at, row[at]]).astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(out, pa.binary())], ["doc_id", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(out, pa.binary()), batch.column(2).slice(a, b - a)], ["doc_id", "counts", "lang"])
 
 
 def predict_languages(docs: DataFrame, model: Centroids, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -171,6 +171,15 @@ def test_languages(spark):
     assert langid.predict_languages(df, langid.fit(df.limit(0))).filter("lang_pred <> 'und'").count() == 0 and langid.predict_languages(df.limit(0), langid.fit(df)).count() == 0
 
 
+def test_rare_languages_are_learned(spark):
+    """250 frequent languages leave room for one of a single row."""
+    word = lambda i: "".join(chr(97 + i // 26**j % 26) for j in range(3))
+    rows = [(2 * i + j, f"{word(i * 53)} " * 8, f"l{i:03}") for i in range(250) for j in range(2)] + [(900, "ŵyŷ ŵyŷ ŷŵy", "rare")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert set(model.langs) == {r[2] for r in rows} and model.predict(["ŵyŷ ŷŵy"])[0] == ["rare"]
+
+
 def test_terms_do_not_cross_texts():
     together = langid.term_counts(["ab", "cd é", "", None])
     assert np.array_equal(together[0], langid.term_counts(["ab"])[0]) and np.array_equal(together[1], langid.term_counts(["cd é"])[0]) and not together[2].any()
