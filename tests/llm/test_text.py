@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import context_tree
 import pytest
 
 from ledgerline.llm import ctw, langid, quality, toxicity
@@ -210,16 +211,17 @@ def test_unigram_base(spark, monkeypatch, bits):
         r = got[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, total) and r["base_score"] == pytest.approx(score, rel=1e-9) and r["score"] < 0
     assert ctw.score_texts(df.limit(0)).count() == 0
-    twice = spark.createDataFrame([("a b", 1), ("a b", 1), ("c", None)], "text string, doc_id long")
-    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in ctw.score_texts(twice).collect()) == [(0, 2), (1, 3), (1, 3)]
+    twice = spark.createDataFrame([("a b", 1), ("a b", 1), ("c", None), ("c", None), ("a", 1), (None, None), ("", -5)], "text string, doc_id long")
+    out = sorted((r["doc_id"] or 0, r["n_tokens"], r["n_known"], r["base_score"]) for r in ctw.score_texts(twice).collect())
+    assert [x[:3] for x in out] == [(-5, 1, 1), (0, 1, 1), (0, 2, 2), (0, 2, 2), (1, 2, 2), (1, 3, 3), (1, 3, 3)] and out[2] == out[3] and out[5] == out[6]
 
 
 def tree_of(texts):
-    k, n = ctw._grams(texts)
+    k, n = context_tree.grams(texts)
     entries = {d: ctw._merge([k & np.uint64((1 << (8 * (d + 1))) - 1)], [n]) for d in range(1, ctw.DEPTH + 1)}
     root = np.zeros(256)
     np.add.at(root, (entries[1][0] & np.uint64(255)).astype(int), entries[1][1])
-    return ctw.ContextTree(entries, root), entries
+    return context_tree.ContextTree(entries, root), entries
 
 
 def test_tree_probabilities_sum_to_one_and_learn():
@@ -278,10 +280,12 @@ def test_tree_equals_plain_weighting(monkeypatch):
         assert tree.logp[node][s[i]] == pytest.approx(total, abs=1e-3)
 
 
-@pytest.mark.parametrize("bits", [20, 3])
-def test_scores_keep_every_context(spark, monkeypatch, bits):
-    """The distributed mix against one tree of all contexts: a rare context stays one, however much other text there is."""
-    monkeypatch.setattr(ctw, "GRAM_BITS", bits)
+@pytest.mark.parametrize(("bits", "unit", "hold"), [(20, 1 << 16, 1 << 20), (3, 40, 500), (6, 3, 100)])
+def test_scores_keep_every_context(spark, monkeypatch, bits, unit, hold):
+    """The distributed mix against one tree of all contexts: a rare context stays one, however much other text there is.
+    Small units give a trunk of several depths, a small hold sends counts off in many parts."""
+    for name, value in (("GRAM_BITS", bits), ("UNIT_GRAMS", unit), ("TRUNK_BITS", 40), ("HOLD", hold), ("MIX_GRAMS", unit)):
+        monkeypatch.setattr(ctw, name, value)
     g = random.Random(8)
     texts = ["qzxvk jqxzw " * 3, *[prose(g, 80)] * 900, "qzxvk jqxzw", "never seen: ÄÖ", None]
     held = len(texts) - 3
