@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from ledgerline.llm import decontaminate, jaccard
@@ -54,10 +55,10 @@ def corpus(seed, groups=6, copies=12, edits=3, length=60):
     return rows + [(n, None), (n + 1, ""), (n + 2, " \n"), (n + 3, "one two"), (n + 4, "One two"), (n + 5, "x " * 30000), (n + 6, "x " * 30)]
 
 
-@pytest.mark.parametrize(("seed", "few", "block", "per_entry"), [(1, 32, 512, 4), (2, 2, 4, 0), (3, 3, 8, 1)])
-def test_components_equal_brute_force(spark, monkeypatch, seed, few, block, per_entry):
-    """The small settings send even small groups through the star and the blocked product."""
-    for name, v in (("FEW", few), ("BLOCK", block), ("PAIRS_PER_ENTRY", per_entry)):
+@pytest.mark.parametrize(("seed", "few", "block", "per_entry", "cluster", "long"), [(1, 32, 512, 4, 1024, 8192), (2, 2, 4, 0, 3, 8192), (3, 3, 8, 1, 1024, 4), (4, 2, 2, 0, 5, 1)])
+def test_components_equal_brute_force(spark, monkeypatch, seed, few, block, per_entry, cluster, long):
+    """The small settings send even small groups through the star, the rows and the blocks of the product."""
+    for name, v in (("FEW", few), ("BLOCK", block), ("PAIRS_PER_ENTRY", per_entry), ("CLUSTER", cluster), ("LONG", long), ("HOLD", 200)):
         monkeypatch.setattr(jaccard, name, v)
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, n int").repartition(3)
@@ -65,6 +66,46 @@ def test_components_equal_brute_force(spark, monkeypatch, seed, few, block, per_
     assert got == brute(rows)
 
 
+def test_families_inside_one_column(spark, monkeypatch):
+    """Sets that all share their rarest shingles, in families of which only some link with the first set."""
+    for name, v in (("FEW", 2), ("BLOCK", 4), ("PAIRS_PER_ENTRY", 0), ("CLUSTER", 4)):
+        monkeypatch.setattr(jaccard, name, v)
+    g = random.Random(9)
+    word = lambda: "".join(g.choice("abcdefgh") for _ in range(5))
+    head, rows = [word() for _ in range(30)], []
+    for _ in range(6):
+        tail = [word() for _ in range(40)]
+        for _ in range(7):
+            w = head + tail
+            for _ in range(g.randint(0, 2)):
+                w[g.randrange(len(w))] = word()
+            rows.append((len(rows), " ".join(w[: g.choice((60, 70))])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(df).collect()} == brute(rows)
+
+
+@pytest.mark.parametrize("few", [32, 3])
+def test_product_counts_every_overlap(monkeypatch, few):
+    """All links of each cluster with their overlaps, however many sets share a column."""
+    monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(jaccard, "COLUMNS", 16)
+    g = random.Random(4)
+    clusters, sets = [], []
+    for c in range(5):
+        base = [g.randrange(1 << 60) for _ in range(40)]
+        for _ in range(g.randint(2, 12)):
+            s = set(base[: g.randint(30, 40)]) | {g.randrange(1 << 60) for _ in range(g.randint(0, 6))}
+            clusters.append(c), sets.append(np.array(sorted(s), np.uint64))
+    got = {(int(i), int(j)): int(n) for x, y, z in jaccard.product(np.array(clusters), sets) for i, j, n in zip(x, y, z, strict=True)}
+    want = {}
+    for i in range(len(sets)):
+        for j in range(i + 1, len(sets)):
+            both = len(set(sets[i].tolist()) & set(sets[j].tolist()))
+            if clusters[i] == clusters[j] and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                want[i, j] = both
+    assert got == want and len(want) > 20
+
+
 def test_one_of_each_group_is_kept(spark):
     rows = corpus(5, groups=3, copies=4)
     df = spark.createDataFrame([(t, i) for i, t in rows] + [("a b c d e f", None)], "text string, doc_id long")
@@ -74,6 +115,15 @@ def test_one_of_each_group_is_kept(spark):
     assert kept.filter("doc_id is null").count() == 1
 
 
+def test_rows_of_one_id_are_judged_one_by_one(spark):
+    a, b = " ".join(f"a{i}" for i in range(20)), " ".join(f"b{i}" for i in range(20))
+    rows = [(1, a, "x"), (2, a, "x"), (2, b, "x"), (5, b + " more", "x"), (6, a, "p"), (6, "", "p"), (7, "c d", "q"), (7, "c d", "q"), (8, None, "r"), (8, None, "r"), (None, a, "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    got = sorted(((r["doc_id"] or 0, r["text"] or "", r["node"]) for r in jaccard.keep_one(df).collect()))
+    assert got == [(0, a, "n"), (1, a, "x"), (2, b, "x"), (6, "", "p"), (7, "c d", "q"), (8, "", "r"), (8, "", "r")]
+    assert jaccard.keep_one(df.limit(0)).count() == 0
+
+
 def test_empty_and_repeated(spark):
     schema = "doc_id long, text string"
     assert jaccard.near_duplicates(spark.createDataFrame([], schema)).count() == 0
