@@ -5,8 +5,8 @@ preceding bytes, counts of zeros and ones gathered from all training texts, and
 them. A context node's weighted probability is half its own estimate and half the product of its children's; the
 weights that follow mix the estimates of all depths into one prediction. Every context of the training texts is kept.
 
-N-grams are first counted where the hash of the whole n-gram puts them. From the merged counts come the contexts with
-more n-grams than one place should hold, the trunk; each subtree that hangs on it is a unit, mixed in one place, and
+N-grams are first counted where the hash of the whole n-gram puts them. From the merged counts come the contexts that are
+more than one place should hold, the trunk; each subtree that hangs on it is a unit, mixed in one place, and
 units are dealt out by hash, so that a frequent context is split as deep as it takes. Of each unit only sums reach the
 trunk, which the driver weighs and broadcasts.
 
@@ -30,9 +30,10 @@ from .common import LOWER, chunks, crc_mod, cut, mix, table, trim, words
 DEPTH = 5
 #: N-grams at least as frequent as one in so many bytes are broadcast with their probabilities.
 GRAM_BITS = 20
-#: A context with more n-grams than this, or than one in 2 ** TRUNK_BITS of all, is split.
-UNIT_GRAMS = 1 << 16
-TRUNK_BITS = 12
+#: A context that weighs more than this, and than one in 2 ** TRUNK_BITS of all, is split. It weighs as much as it has
+#: n-grams, and as often as those occur that are not broadcast, since so often they are asked for.
+UNIT_WEIGHT = 1 << 16
+TRUNK_BITS = 13
 #: N-grams whose units are mixed at a time.
 MIX_GRAMS = 100_000
 #: Words at least as frequent as one in so many tokens are broadcast.
@@ -258,30 +259,39 @@ class Trunk:
         return self.start[depth - 1] + np.searchsorted(self.at[depth - 1], keys >> np.uint64(16))
 
 
-def _trunk(merged: DataFrame, total: int) -> Trunk:
-    """The contexts with more n-grams than a unit may have. A hash deals n-grams evenly, so that one with that many shows
-    in every group; what few groups name is not split, which only concerns the size of a unit."""
-    most = max(UNIT_GRAMS, total >> TRUNK_BITS)
-    # a context of DEPTH - 1 bytes has at most 2 ** 16 n-grams
-    deepest = DEPTH - 2
+def _weights(rows: np.ndarray, least_gram: int) -> np.ndarray:
+    return 1 + np.where(rows["n"] < least_gram, rows["n"], 0).astype(np.int64)
+
+
+def _trunk(merged: DataFrame, least_gram: int) -> Trunk:
+    """The contexts that weigh more than a unit may. A hash deals n-grams evenly, so that a heavy one shows in many groups;
+    one that none of them names is not split, which only concerns the size of a unit."""
+    grams = merged.filter(F.col("kind") == GRAMS).select("data")
+
+    def weigh(batches):
+        for batch in batches:
+            yield _batch([(int(_weights(np.frombuffer(d, _COUNT), least_gram).sum()),) for d in batch.column(0).to_pylist()], ("w",), (pa.int64(),))
+
+    total = grams.mapInArrow(weigh, "w long").agg(F.sum("w").alias("w")).first()["w"] or 0
+    most = max(UNIT_WEIGHT, total >> TRUNK_BITS)
 
     def run(batches):
         for batch in batches:
             out = []
             for d in batch.column(0).to_pylist():
-                keys = np.frombuffer(d, _COUNT)["key"]
-                least = max(1, most * len(keys) // max(total, 1) // 4)
-                for depth in range(1, deepest + 1):
-                    c = _context(keys, depth)  # merged keys are in order
+                rows = np.frombuffer(d, _COUNT)
+                w = _weights(rows, least_gram)
+                least = max(1, most * int(w.sum()) // total // 8)
+                for depth in range(1, DEPTH):
+                    c = _context(rows["key"], depth)  # merged keys are in order
                     at = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-                    n = np.diff(np.r_[at, len(c)])
-                    out += [(depth, int(x), int(m)) for x, m in zip(c[at[n >= least]], n[n >= least], strict=True)]
-            yield _batch(out, ("depth", "context", "n"), (pa.int32(), pa.int64(), pa.int64()))
+                    sums = np.add.reduceat(w, at)
+                    out += [(depth, int(x), int(m)) for x, m in zip(c[at[sums >= least]], sums[sums >= least], strict=True)]
+            yield _batch(out, ("depth", "context", "w"), (pa.int32(), pa.int64(), pa.int64()))
 
-    found = merged.filter(F.col("kind") == GRAMS).select("data").mapInArrow(run, "depth int, context long, n long")
     # at most DEPTH * 2 ** TRUNK_BITS rows
-    rows = found.groupBy("depth", "context").agg(F.sum("n").alias("n")).filter(F.col("n") >= most).collect()
-    return Trunk([np.array(sorted(r["context"] for r in rows if r["depth"] == depth), np.uint64) for depth in range(1, deepest + 1)])
+    rows = grams.mapInArrow(run, "depth int, context long, w long").groupBy("depth", "context").agg(F.sum("w").alias("w")).filter(F.col("w") >= most).collect()
+    return Trunk([np.array(sorted(r["context"] for r in rows if r["depth"] == depth), np.uint64) for depth in range(1, DEPTH)])
 
 
 def _placed(merged: DataFrame, trunk, groups: int) -> DataFrame:
@@ -511,11 +521,10 @@ def score_texts(docs: DataFrame, fold=None) -> DataFrame:
     merged = _gather(train, groups)
     facts = {r["kind"]: r for r in merged.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
     n_train, distinct = (facts[WORDS]["n"], facts[WORDS]["v"]) if WORDS in facts else (0, 0)
-    n_grams, distinct_grams = (facts[GRAMS]["n"], facts[GRAMS]["v"]) if GRAMS in facts else (0, 0)
-    trunk = spark.sparkContext.broadcast(_trunk(merged, distinct_grams))
+    least_gram = max(1, -(-(facts[GRAMS]["n"] if GRAMS in facts else 0) >> GRAM_BITS))
+    trunk = spark.sparkContext.broadcast(_trunk(merged, least_gram))
     placed = _placed(merged, trunk, groups)
     sums = spark.sparkContext.broadcast(_above(placed, trunk))
-    least_gram = max(1, -(-n_grams >> GRAM_BITS))
     least = max(1, -(-n_train >> FREQUENT_BITS))
 
     def frequent(batches):
