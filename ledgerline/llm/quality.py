@@ -1,15 +1,19 @@
 """Quality rules and robust multivariate outliers.
 
-Each text gets a vector of transformed statistics. For every language and source (and, for groups too small to estimate,
-for every language, and for all rows) the minimum covariance determinant is sought by concentration steps: start from
-medians and absolute deviations, take the ``SHARE`` of rows nearest by Mahalanobis distance, estimate mean and
-covariance from them, and again. Every step is an aggregation over all rows with a partial sum in each task, so a
-group of any size is never gathered. A row further than the chi-square cut-off is rejected.
+Each text gets a vector of transformed statistics. For every language and source, for every language, and for all rows the
+minimum covariance determinant is sought from three deterministic starts around medians and absolute deviations
+(independent statistics, covariances of tanh-transformed ones, spatial signs) by concentration steps: take the ``SHARE`` of
+rows nearest by Mahalanobis distance, estimate mean and covariance from them, and again until no determinant falls any
+more; the start that ends in the smallest is kept. Every step is an aggregation over all rows with a partial sum in each
+task, so a group of any size is never gathered. A group's estimate is drawn towards that of its language, and this one
+towards that of all rows, as if ``PRIOR`` rows had come from there, so that small groups need no rule of their own. A row
+further than the chi-square cut-off is rejected.
 """
 
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,15 +22,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import IS_SPACE, chunks, cut, mix, table, words
+from .common import IS_SPACE, chunks, cut, drop_dir, mix, table, words
 
 MIN_WORDS = 50
 #: A text fails when more than this share (in %) of its words lie in repeated three-word windows.
 MAX_REPEAT_PERCENT = 50
 SHARE = 0.75
-STEPS = 3
-#: Groups of fewer rows borrow the estimate of their language, or of all rows.
-MIN_GROUP = 50
+#: Steps end when no logarithm of a determinant falls by more than this, or after so many.
+SETTLED = 1e-3
+MOST_STEPS = 20
+#: Rows that the estimate of the wider group counts for.
+PRIOR = 50
 #: Least standard deviation of each transformed statistic: what chance alone gives in a text of about MIN_WORDS words and
 #: 25 lines (1 / (2 sqrt(n)) for the root of a share of n), so that a constant one does not make every change an outlier.
 FLOOR = (0.06, 0.03, 0.1, 0.08, 0.03)
@@ -128,6 +134,7 @@ def chi2_quantile(q: float, dof: int) -> float:
     return dof * (1 - a + z * math.sqrt(a)) ** 3
 
 
+@lru_cache(maxsize=1)
 def _consistency() -> float:
     """What the covariance of the nearest SHARE of normal rows is short of: SHARE / P(chi2 with P + 2 degrees < cut)."""
     cut_at = chi2_quantile(SHARE, P)
@@ -138,29 +145,6 @@ def _consistency() -> float:
     return SHARE / lo
 
 
-def _with_inverse(moments: DataFrame, keys: list[str], scale: float) -> DataFrame:
-    """(keys, rows, mean, inv) from (keys, rows, n, sums, products); covariances are widened by the floor."""
-    floor = np.diag(np.square(FLOOR))
-    upper = np.triu_indices(P)
-
-    def run(frames):
-        for pdf in frames:
-            out = []
-            for n, s, q in zip(pdf["n"], pdf["sums"], pdf["products"], strict=True):
-                mean = np.array(s) / n
-                full = np.zeros((P, P))
-                full[upper] = np.array(q) / n
-                full = full + full.T - np.diag(full.diagonal())
-                cov = (full - np.outer(mean, mean)) * scale + floor
-                out.append((mean.tolist(), np.linalg.inv(cov)[upper].tolist()))
-            yield pdf[[*keys, "rows"]].assign(mean=pd.Series([x[0] for x in out], dtype=object), inv=pd.Series([x[1] for x in out], dtype=object))
-
-    fields = [f for f in moments.schema.fields if f.name in keys]
-    fields += [T.StructField("rows", T.LongType()), T.StructField("mean", T.ArrayType(T.DoubleType())), T.StructField("inv", T.ArrayType(T.DoubleType()))]
-    order = [*keys, "rows", "n", "sums", "products"]
-    return moments.select(order).mapInPandas(run, T.StructType(fields))
-
-
 KEYS = ["level", "g_lang", "g_source"]
 
 
@@ -181,35 +165,129 @@ def group_key(column: str | None) -> Column:
     return F.when(F.col(f"`{column}`").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col(f"`{column}`").cast("string")))
 
 
+_UPPER = np.triu_indices(P)
+_PAIRS = list(zip(*(x.tolist() for x in _UPPER), strict=True))
+_NUMBERS = "array<double>"
+
+
+def _square(upper) -> np.ndarray:
+    out = np.zeros((P, P))
+    out[_UPPER] = upper
+    return out + out.T - np.diag(out.diagonal())
+
+
+def starts(rows: float, middle: np.ndarray, spread: np.ndarray, sums: np.ndarray, products: np.ndarray, signs: np.ndarray) -> list[np.ndarray]:
+    """Covariances to start from: independent statistics, and the correlations of tanh-transformed statistics and of
+    spatial signs, all scaled by the absolute deviations."""
+    scale = np.sqrt(np.square(1.4826 * spread) + np.square(FLOOR))
+    mean = sums / rows
+    out = [np.eye(P)]
+    for cov in (_square(products / rows) - np.outer(mean, mean), _square(signs / rows)):
+        cov = cov + np.eye(P) * 1e-3
+        d = np.sqrt(cov.diagonal())
+        out.append(cov / np.outer(d, d))
+    return [np.outer(scale, scale) * x for x in out]
+
+
+def concentrated(distance: np.ndarray, n: np.ndarray, sums: np.ndarray, products: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """(rows, mean, covariance) of the least distances that hold SHARE of the rows; equal distances go together."""
+    order = np.argsort(distance)
+    total = np.cumsum(n[order])
+    near = order[: int(np.searchsorted(total, SHARE * total[-1])) + 1]
+    h = n[near].sum()
+    mean = sums[near].sum(0) / h
+    return int(h), mean, (_square(products[near].sum(0) / h) - np.outer(mean, mean)) * _consistency() + np.diag(np.square(FLOOR))
+
+
+def drawn(rows: float, mean: np.ndarray, cov: np.ndarray, wide_mean: np.ndarray, wide_cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The estimate of a group as if PRIOR more rows had come from the wider one."""
+    w = rows / (rows + PRIOR)
+    gap = mean - wide_mean
+    return w * mean + (1 - w) * wide_mean, w * cov + (1 - w) * wide_cov + w * (1 - w) * np.outer(gap, gap)
+
+
+_PARAMS = f"level int, g_lang string, g_source string, start int, rows long, n long, logdet double, mean {_NUMBERS}, cov {_NUMBERS}, inv {_NUMBERS}"
+
+
+def _param(key, start, rows, n, mean, cov):
+    return (*key, start, rows, n, float(np.linalg.slogdet(cov)[1]), mean.tolist(), cov[_UPPER].tolist(), np.linalg.inv(cov)[_UPPER].tolist())
+
+
+def _frame(out: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(out, columns=[f.split()[0] for f in _PARAMS.split(", ")])
+
+
+def _begin(rows: DataFrame) -> DataFrame:
+    """The starts of every group."""
+    middle = cut(rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("rows"), *[F.percentile(F.round(v, 3), F.lit(0.5)).alias(f"m_{v}") for v in VECTOR]))
+    near = rows.join(_small(middle), KEYS)
+    spread = cut(near.groupBy(*KEYS).agg(F.first("rows").alias("rows"), *[F.first(f"m_{v}").alias(f"m_{v}") for v in VECTOR], *[F.percentile(F.round(F.abs(F.col(v) - F.col(f"m_{v}")), 3), F.lit(0.5)).alias(f"s_{v}") for v in VECTOR]))
+    scaled = rows.join(_small(spread), KEYS).withColumns({f"z{i}": (F.col(v) - F.col(f"m_{v}")) / F.sqrt(F.pow(1.4826 * F.col(f"s_{v}"), 2) + FLOOR[i] ** 2) for i, v in enumerate(VECTOR)})
+    z = [F.col(f"z{i}") for i in range(P)]
+    length = sum((c * c for c in z[1:]), z[0] * z[0])
+    scaled = scaled.withColumn("length", F.greatest(length, F.lit(1e-12)))
+    t = [F.tanh(c) for c in z]
+    sums = scaled.groupBy(*KEYS).agg(
+        F.first("rows").alias("rows"), F.array(*[F.first(f"m_{v}") for v in VECTOR]).alias("middle"), F.array(*[F.first(f"s_{v}") for v in VECTOR]).alias("spread"),
+        F.array(*[F.sum(c) for c in t]).alias("sums"), F.array(*[F.sum(t[i] * t[j]) for i, j in _PAIRS]).alias("products"), F.array(*[F.sum(z[i] * z[j] / F.col("length")) for i, j in _PAIRS]).alias("signs"),
+    )
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for r in pdf.itertuples(index=False):
+                covs = starts(r.rows, *(np.array(x) for x in (r.middle, r.spread, r.sums, r.products, r.signs)))
+                out += [_param((r.level, r.g_lang, r.g_source), k, r.rows, r.rows, np.array(r.middle), cov) for k, cov in enumerate(covs)]
+            yield _frame(out).assign(logdet=float("inf"))
+
+    return cut(sums.mapInPandas(run, _PARAMS))
+
+
+def _step(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """One concentration step from every start: moments of every step of the distance, then of the nearest ones."""
+    x = [F.col(v) for v in VECTOR]
+    far = rows.join(_small(params.select(*KEYS, "start", "rows", "mean", "inv")), KEYS).withColumn("d", F.round(F.log1p(F.greatest(_distance(x), F.lit(0.0))), 3))
+    bins = far.groupBy(*KEYS, "start", "d").agg(F.first("rows").alias("rows"), F.count(F.lit(1)).alias("n"), F.array(*[F.sum(c) for c in x]).alias("sums"), F.array(*[F.sum(x[i] * x[j]) for i, j in _PAIRS]).alias("products"))
+
+    def near(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        h, mean, cov = concentrated(pdf["d"].to_numpy(), pdf["n"].to_numpy(), np.stack(pdf["sums"]), np.stack(pdf["products"]))
+        return _frame([_param(key[:3], int(key[3]), int(pdf["rows"].iloc[0]), h, mean, cov)])
+
+    # a group has as many bins as there are distances of three decimals, however many rows it has
+    return cut(bins.groupBy(*KEYS, "start").applyInPandas(near, _PARAMS))
+
+
 def fit(stats: DataFrame) -> DataFrame:
-    """Estimates (level, g_lang, g_source, rows, mean, inv) from rows (k_lang, k_source, vector) of texts that passed
-    the base rules. Every count and moment is over all rows."""
+    """Estimates (k_lang, k_source, rows, mean, inv) of every language and source from rows (k_lang, k_source, vector) of
+    texts that passed the base rules. Every count and moment is over all rows. An empty table gives an empty one."""
     rows = _levels(stats)
-    middle = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("rows"), *[F.percentile(F.round(v, 3), F.lit(0.5)).alias(f"m_{v}") for v in VECTOR])
-    middle = cut(middle)
-    near = rows.join(_small(middle), KEYS)
-    spread = near.groupBy(*KEYS).agg(F.first("rows").alias("rows"), *[F.first(f"m_{v}").alias(f"m_{v}") for v in VECTOR], *[F.percentile(F.round(F.abs(F.col(v) - F.col(f"m_{v}")), 3), F.lit(0.5)).alias(f"s_{v}") for v in VECTOR])
-    inv = []
-    for i in range(P):
-        for j in range(i, P):
-            inv.append(1 / (F.pow(1.4826 * F.col(f"s_{VECTOR[i]}"), 2) + FLOOR[i] ** 2) if i == j else F.lit(0.0))
-    params = cut(spread.select(*KEYS, "rows", F.array(*[F.col(f"m_{v}") for v in VECTOR]).alias("mean"), F.array(*inv).alias("inv")))
-    scale = _consistency()
-    for _ in range(STEPS):
-        far = rows.join(_small(params), KEYS).withColumn("d", F.round(F.log1p(_distance([F.col(v) for v in VECTOR])), 3))
-        # moments of every distance step, then of the nearest steps that hold SHARE of the group
-        x = [F.col(v) for v in VECTOR]
-        bins = far.groupBy(*KEYS, "d").agg(
-            F.first("rows").alias("rows"), F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(f"s{i}") for i, v in enumerate(x)], *[F.sum(x[i] * x[j]).alias(f"q{i}_{j}") for i in range(P) for j in range(i, P)]
-        )
-        ends = cut(bins)
-        at = ends.groupBy(*KEYS).agg(F.percentile("d", F.lit(SHARE), F.col("n")).alias("edge"))
-        inner = ends.join(_small(at), KEYS).filter(F.col("d") <= F.col("edge"))
-        moments = inner.groupBy(*KEYS).agg(
-            F.first("rows").alias("rows"), F.sum("n").alias("n"), F.array(*[F.sum(f"s{i}") for i in range(P)]).alias("sums"), F.array(*[F.sum(f"q{i}_{j}") for i in range(P) for j in range(i, P)]).alias("products")
-        )
-        params = cut(_with_inverse(moments, KEYS, scale))
-    return params
+    params = _begin(rows)
+    for _ in range(MOST_STEPS):
+        following = _step(rows, params)
+        before = params.select(*KEYS, "start", F.col("logdet").alias("before"))
+        falling = following.join(before, [*KEYS, "start"]).filter(F.col("before") - F.col("logdet") > SETTLED).limit(1).count()
+        drop_dir(stats.sparkSession, params)
+        params = following
+        if not falling:
+            break
+    best = params.groupBy(*KEYS).agg(F.min_by(F.struct("rows", "n", "mean", "cov"), F.struct("logdet", "start")).alias("b")).select(*KEYS, "b.*")
+    best = cut(best)
+    top = best.filter("level = 2").first()  # one row
+    if top is None:
+        return best.select(F.col("g_lang").alias("k_lang"), F.col("g_source").alias("k_source"), "rows", "mean", F.col("cov").alias("inv"))
+    wide = np.array(top["mean"]), _square(top["cov"])
+    lang = best.filter("level = 1").select("g_lang", F.struct("n", "mean", "cov").alias("l"))
+    both = best.filter("level = 0").join(_small(lang), "g_lang").select("g_lang", "g_source", "rows", "n", "mean", "cov", F.col("l.n").alias("ln"), F.col("l.mean").alias("lmean"), F.col("l.cov").alias("lcov"))
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for r in pdf.itertuples(index=False):
+                mean, cov = drawn(r.n, np.array(r.mean), _square(r.cov), *drawn(r.ln, np.array(r.lmean), _square(r.lcov), *wide))
+                out.append((r.g_lang, r.g_source, r.rows, mean.tolist(), np.linalg.inv(cov)[_UPPER].tolist()))
+            yield pd.DataFrame(out, columns=["k_lang", "k_source", "rows", "mean", "inv"])
+
+    return cut(both.mapInPandas(run, f"k_lang string, k_source string, rows long, mean {_NUMBERS}, inv {_NUMBERS}"))
 
 
 def _small(params: DataFrame) -> DataFrame:
@@ -217,19 +295,12 @@ def _small(params: DataFrame) -> DataFrame:
 
 
 def judge(measured: DataFrame, params: DataFrame, stats: str = "stats") -> DataFrame:
-    """``measured`` (with k_lang, k_source and the struct) with distance (null where no estimate applies) and kept."""
-    own = params.filter((F.col("level") == 0) & (F.col("rows") >= MIN_GROUP)).select(F.col("g_lang").alias("k_lang"), F.col("g_source").alias("k_source"), F.struct("mean", "inv").alias("_p0"))
-    lang = params.filter((F.col("level") == 1) & (F.col("rows") >= MIN_GROUP)).select(F.col("g_lang").alias("k_lang"), F.struct("mean", "inv").alias("_p1"))
-    every = params.filter(F.col("level") == 2).select(F.struct("mean", "inv").alias("_p2"), F.col("g_lang").alias("_one"))
-    # the group of all rows has an empty key, joined like the others
-    out = measured.withColumn("_one", F.substring("k_lang", 1, 0)).join(_small(own), ["k_lang", "k_source"], "left").join(_small(lang), "k_lang", "left").join(F.broadcast(every), "_one", "left")
-    p = F.coalesce("_p0", "_p1", "_p2")
-    out = out.withColumn("mean", p["mean"]).withColumn("inv", p["inv"])
+    """``measured`` (with k_lang, k_source and the struct) with distance (null where no text of the group passed the base
+    rules), base_failed and kept."""
+    out = measured.join(_small(params.select("k_lang", "k_source", "mean", "inv")), ["k_lang", "k_source"], "left")
     out = out.withColumn("distance", _distance([F.col(f"{stats}.{v}") for v in VECTOR]))
-    s = lambda c: F.col(f"{stats}.{c}")
-    failed = (s("n_words") < MIN_WORDS) | (100 * s("n_repeat_words") > MAX_REPEAT_PERCENT * s("n_words"))
     limit = chi2_quantile(1 - TAIL, P)
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.coalesce("distance", F.lit(0.0)) <= limit)).drop("_p0", "_p1", "_p2", "_one", "mean", "inv")
+    return out.withColumn("base_failed", ~passing(stats)).withColumn("kept", passing(stats) & (F.coalesce("distance", F.lit(0.0)) <= limit)).drop("mean", "inv")
 
 
 def passing(column: str = "stats") -> Column:
@@ -241,7 +312,8 @@ def quality_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, the five base counts, base_failed, kept, distance) for every row of ``docs``.
 
     Null and empty texts have no words and fail; a null language or source is a group of its own; repeated rows and ids
-    stay; equal distances get equal verdicts; an empty table gives an empty one; other columns are not read.
+    stay; equal distances get equal verdicts, one on the cut-off is kept; an empty table gives an empty one; other columns
+    are not read. A very long text is measured whole.
     """
     picked = docs.select(F.col(f"`{id_col}`").alias("_id"), group_key(lang_col).alias("k_lang"), group_key(source_col).alias("k_source"), F.col(f"`{text_col}`").alias("_text"))
     measured = cut(with_statistics(picked, "_text").drop("_text"))
@@ -252,7 +324,9 @@ def quality_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns. Estimates are made from all rows first; the second pass
-    measures each text again beside its row, so that no text is shuffled."""
+    measures each text again beside its row, so that no text is shuffled. Rows are judged as in ``quality_table``, so null
+    and empty texts go and repeated rows stay or go together; an empty table gives an empty one; columns of any name are
+    kept as they are."""
     picked = docs.select(group_key(lang_col).alias("k_lang"), group_key(source_col).alias("k_source"), F.col(f"`{text_col}`").alias("_text"))
     stats = cut(with_statistics(picked, "_text").filter(passing()).select("k_lang", "k_source", "stats.*").select("k_lang", "k_source", *VECTOR))
     params = fit(stats)
