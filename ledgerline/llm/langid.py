@@ -20,6 +20,10 @@ from .common import chunks, crc_mod, cut, joined, map_columns, table
 #: Most texts of a language that fitting reads, those of least hashed id.
 SAMPLE_PER_LANGUAGE = 1000
 CENTROIDS = 3
+#: Parts of a language that are thinned out before it is.
+SALTS = 64
+#: Limits of at most so many languages are broadcast; more are joined.
+BROADCAST_LANGUAGES = 100_000
 BITS = 12
 STEPS = 10
 #: Share of a centroid's own texts that lie beyond its rejection distance.
@@ -124,14 +128,19 @@ def fit(docs: DataFrame, fold=None, per_language: int = SAMPLE_PER_LANGUAGE, k:
         if held is not None:
             yield held
 
-    # each task names at most per_language ids of a language, so that no language is gathered whole
-    ids = known.filter(F.col("doc_id").isNotNull()).select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).mapInPandas(least, "lang string, doc_id long, h long").distinct()
-    ids = ids.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("rn") <= per_language).select("lang", "doc_id")
-    rows = known.join(ids, ["lang", "doc_id"]).select("doc_id", "text", "lang")
-    counted = cut(rows.mapInArrow(_count_batches, "doc_id long, counts binary, lang string"))
+    # each task names at most per_language ids of a language, and each of SALTS parts keeps as many, so that no language is
+    # gathered whole; what stays is the hash up to which a language's ids are taken
+    ids = known.filter(F.col("doc_id").isNotNull()).select("lang", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long")).alias("h")).mapInPandas(least, "lang string, doc_id long, h long").distinct()
+    for part in (["lang", F.pmod("doc_id", F.lit(SALTS))], ["lang"]):
+        ids = ids.withColumn("rn", F.row_number().over(Window.partitionBy(*part).orderBy("h"))).filter(F.col("rn") <= per_language).drop("rn")
+    limits = cut(ids.groupBy("lang").agg(F.max("h").alias("most")))
+    few = limits.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
+    rows = known.join(F.broadcast(limits) if few else limits, "lang").filter(F.xxhash64(F.col("doc_id").cast("long")) <= F.col("most")).select("doc_id", "text", "lang")
+    # of rows that repeat an id, one
+    counted = cut(rows.mapInArrow(_count_batches, "doc_id long, counts binary, lang string").groupBy("lang", "doc_id").agg(F.min("counts").alias("counts")))
 
     def dense(pdf: pd.DataFrame) -> np.ndarray:
-        got = sorted(zip(pdf["doc_id"].tolist(), map(bytes, pdf["counts"]), strict=True))[:per_language]
+        got = sorted(zip(pdf["doc_id"].tolist(), map(bytes, pdf["counts"]), strict=True))
         v = np.zeros((len(got), 1 << BITS), np.float32)
         for i, (_, x) in enumerate(got):
             pairs = np.frombuffer(x, "<u4").reshape(2, -1)
@@ -179,8 +188,9 @@ def _count_batches(batches):
 
 def predict_languages(docs: DataFrame, model: Centroids, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred string, score double, rejected boolean) for every row, whole texts. The score is the cosine to
-    the nearest centroid. A null text or one without a letter is ``und`` with score 0, rejected. Rows are kept one for
-    one, repeated and null ids too; other columns are not read."""
+    the nearest centroid; of equally near ones the first language by name wins. A null text or one without a letter is
+    ``und`` with score 0, rejected. Rows are kept one for one, repeated and null ids too; an empty table gives an empty one;
+    other columns are not read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(keys, texts):
