@@ -37,37 +37,43 @@ def _prefix_hashes(w: list[int]) -> list[int]:
     return out
 
 
-def _matches(item, doc, hi, hd, used_i, used_d, s):
-    """Maximal unmarked common stretches of at least ``s`` words, found by Karp-Rabin hashes of ``s``-word windows."""
+def _window_hashes(h: list[int], s: int) -> list[int]:
     power = pow(_BASE, s, _PRIME)
+    return [(y - x * power) % _PRIME for x, y in zip(h, h[s:], strict=False)]
+
+
+def _matches(item: np.ndarray, doc: np.ndarray, hi: list[int], hd: list[int], used_i: np.ndarray, used_d: np.ndarray, s: int) -> list[tuple[int, int, int]]:
+    """Maximal unmarked common stretches of at least ``s`` words, found by Karp-Rabin hashes of ``s``-word windows. The
+    places of a window in the document are handled together, so that repeated words cost an array, not a loop."""
     free_i, free_d = _runs(used_i), _runs(used_d)
     windows = defaultdict(list)
-    for d in range(len(doc) - s + 1):
+    for d, key in enumerate(_window_hashes(hd, s)):
         if free_d[d] >= s:
-            windows[(hd[d + s] - hd[d] * power) % _PRIME].append(d)
+            windows[key].append(d)
+    places = {key: np.array(d) for key, d in windows.items()}
     found = []
-    for i in range(len(item) - s + 1):
-        if free_i[i] < s:
+    for i, key in enumerate(_window_hashes(hi, s)):
+        if free_i[i] < s or key not in places:
             continue
-        for d in windows.get((hi[i + s] - hi[i] * power) % _PRIME, ()):
-            if i and d and not used_i[i - 1] and not used_d[d - 1] and item[i - 1] == doc[d - 1]:
-                continue  # part of a longer one
-            n, most = 0, min(free_i[i], free_d[d])
-            while n < most and item[i + n] == doc[d + n]:
-                n += 1
+        at = places[key]
+        if i and not used_i[i - 1]:
+            before = np.maximum(at - 1, 0)
+            at = at[(at == 0) | used_d[before] | (doc[before] != item[i - 1])]  # the others are part of a longer one
+        for d in at.tolist():
+            most = int(min(free_i[i], free_d[d]))
+            other = np.flatnonzero(item[i : i + most] != doc[d : d + most])
+            n = int(other[0]) if len(other) else most
             if n >= s:
                 found.append((n, i, d))
     return found
 
 
-def _runs(used: list[bool]) -> list[int]:
+def _runs(used: np.ndarray) -> np.ndarray:
     """How many unmarked words there are in a row from each place on."""
-    out = [0] * len(used)
-    k = 0
-    for i in range(len(used) - 1, -1, -1):
-        k = 0 if used[i] else k + 1
-        out[i] = k
-    return out
+    marked = np.flatnonzero(used)
+    places = np.arange(len(used))
+    following = np.searchsorted(marked, places)
+    return np.where(following < len(marked), marked[np.minimum(following, max(len(marked) - 1, 0))] if len(marked) else len(used), len(used)) - places
 
 
 def tiles(item: list[int], doc: list[int], shortest: int = MIN_MATCH) -> list[tuple[int, int, int]]:
@@ -77,20 +83,21 @@ def tiles(item: list[int], doc: list[int], shortest: int = MIN_MATCH) -> list[tu
     if not shortest:
         return []
     hi, hd = _prefix_hashes(item), _prefix_hashes(doc)
-    used_i, used_d = [False] * len(item), [False] * len(doc)
-    out, s = [], max(shortest, min(len(item), 4 * shortest))
+    a, b = (np.array([x & 0xFFFFFFFFFFFFFFFF for x in w], np.uint64) for w in (item, doc))
+    used_i, used_d = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    out, s = [], max(shortest, min(len(a), 4 * shortest))
     while True:
-        found = sorted(_matches(item, doc, hi, hd, used_i, used_d, s), key=lambda x: (-x[0], x[1], x[2]))
+        found = sorted(_matches(a, b, hi, hd, used_i, used_d, s), key=lambda x: (-x[0], x[1], x[2]))
         if found and found[0][0] > 2 * s:
             s = found[0][0]
             continue
         again = False
         for n, i, d in found:
-            if any(used_i[i : i + n]) or any(used_d[d : d + n]):
+            if used_i[i : i + n].any() or used_d[d : d + n].any():
                 again = True  # what is left of it may still be long enough
                 continue
-            used_i[i : i + n] = [True] * n
-            used_d[d : d + n] = [True] * n
+            used_i[i : i + n] = True
+            used_d[d : d + n] = True
             out.append((n, i, d))
         if again:
             continue
@@ -210,7 +217,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, coverage: float = COVE
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """The rows of ``docs`` that hold no test item, with their columns, without a shuffle."""
+    """The rows of ``docs`` that hold no test item, with their columns, without a shuffle. Rows with null or empty texts or
+    null ids hold none and stay, repeated rows stay or go together; empty tables drop nothing; columns of any name are kept."""
     at = docs.columns.index("text")
     for index in _blocks(benchmark, "item_id", "text"):
         shared = docs.sparkSession.sparkContext.broadcast(index)

@@ -37,7 +37,7 @@ def path_of(url: Column) -> Column:
 def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits; null without one. Of equally long rules the first given wins."""
     rule = verdict = F.lit(None).cast("string")
-    for name, what in sorted(rules, key=lambda r: len(r[0])):
+    for name, what in sorted(reversed(list(rules)), key=lambda r: len(r[0])):
         domain, _, prefix = name.partition("/")
         fits = ((host == domain) | host.endswith("." + domain)) & path.startswith("/" + prefix)
         rule, verdict = F.when(fits, F.lit(name)).otherwise(rule), F.when(fits, F.lit(what)).otherwise(verdict)
