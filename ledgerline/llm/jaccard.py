@@ -126,12 +126,12 @@ def _summed(parts: DataFrame, salts: int) -> np.ndarray:
 
 
 _POST = np.dtype([("key", "<u8"), ("node", "<i8"), ("n", "<i4"), ("rem", "<i4"), ("hot", "?")])
-_POST_SCHEMA = "key long, node long, n int, rem int, hot boolean, home long"
+#: As rows; n is negative in columns that may be very frequent.
+_POST_SCHEMA = "key long, node long, n int, rem int"
 
 
 def _postings(docs: DataFrame, sketch, k: int, percent: int, hot_from: int) -> DataFrame:
-    """The prefix entries of every set, and where each is dealt: entries of a column lie together, but those of columns
-    that may be very frequent are spread by set."""
+    """The prefix entries of every set."""
 
     def run(batches):
         weights = sketch.value
@@ -140,8 +140,7 @@ def _postings(docs: DataFrame, sketch, k: int, percent: int, hot_from: int) -> D
 
         def flush():
             rows = np.concatenate(held)
-            home = np.where(rows["hot"], rows["node"], rows["key"].view(np.int64))
-            values = [rows["key"].view(np.int64), rows["node"], rows["n"], rows["rem"], rows["hot"], home]
+            values = [rows["key"].view(np.int64), rows["node"], np.where(rows["hot"], -rows["n"], rows["n"]), rows["rem"]]
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v)) for v in values], [f.split()[0] for f in _POST_SCHEMA.split(", ")])
 
         for batch in batches:
@@ -245,7 +244,7 @@ def _columns(percent: int):
             rows = np.empty(batch.num_rows, _POST)
             for i, name in enumerate(("key", "node", "n", "rem")):
                 rows[name] = batch.column(i).to_numpy().astype(_POST[name])
-            rows["hot"] = batch.column(4).to_numpy(zero_copy_only=False)
+            rows["hot"], rows["n"] = rows["n"] < 0, np.abs(rows["n"])
             held.append(rows)
             size += len(rows)
             if size < HOLD:
@@ -516,7 +515,9 @@ def linked_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tupl
     entries = int(total * (1 - percent / 100))
     deal = max(int(spark.conf.get("spark.sql.shuffle.partitions")), entries // PARTITION_ENTRIES)
     posted = _postings(docs, weights, k, percent, int(8 * sketch.mean() + 4096))
-    found = cut(posted.repartition(deal, "home").sortWithinPartitions("key", "node").drop("home").mapInArrow(_columns(percent), "key long, a long, b long, n int, rem int"))
+    # a column's entries lie together, but those of columns that may be very frequent are spread by set
+    home = F.when(F.col("n") < 0, F.col("node")).otherwise(F.col("key"))
+    found = cut(posted.repartition(deal, home).sortWithinPartitions("key", "node").mapInArrow(_columns(percent), "key long, a long, b long, n int, rem int"))
     _free(spark)
     few = found.filter("key is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(False).alias("star"))
     many = cut(found.filter("key is not null").select("key", F.col("a").alias("node"), "n", "rem").distinct())

@@ -157,6 +157,7 @@ def test_tiles():
     assert decontaminate.tiles(a, b) == [(10, 0, 11), (10, 10, 0)]
     assert decontaminate.tiles([1, 2, 3], [9, 1, 2, 3]) == [(3, 0, 1)] and decontaminate.tiles([], [1]) == []
     assert sum(t[0] for t in decontaminate.tiles([7] * 20, [7] * 9)) == 9
+    assert decontaminate.tiles([7] * 300, [7] * 32_000) == [(300, 0, 0)]
 
 
 def greedy(a, b, least):
@@ -186,6 +187,12 @@ def test_tiling_equals_plain_method():
         cut = g.randrange(8, 22)
         b = [*[g.randrange(50, 90) for _ in range(5)], *a[cut:], *[g.randrange(50, 90) for _ in range(4)], *a[:cut]]
         assert sum(t[0] for t in decontaminate.tiles(a, b, 5)) == greedy(a, b, 5)
+    for _ in range(60):  # few different words, so that stretches repeat and overlap
+        a, b = ([g.randrange(3) for _ in range(g.randint(1, 25))] for _ in range(2))
+        found = decontaminate.tiles(a, b, 3)
+        assert all(a[i : i + n] == b[j : j + n] for n, i, j in found) and [t[0] for t in found] == sorted((t[0] for t in found), reverse=True)
+        ui, ud = [x for n, i, _ in found for x in range(i, i + n)], [x for n, _, j in found for x in range(j, j + n)]
+        assert len(set(ui)) == len(ui) and len(set(ud)) == len(ud) and len(a) < 3 or sum(t[0] for t in found) == greedy(a, b, min(3, len(a)))
 
 
 def test_contamination(spark):

@@ -79,24 +79,57 @@ def test_one_fault_is_enough(spark):
     assert all(r["kept"] == (r["doc_id"] < 1000) for r in got), [(r["doc_id"], r["distance"]) for r in got if r["kept"] != (r["doc_id"] < 1000)]
 
 
+def plain_estimate(x):
+    """The minimum covariance determinant of one group, in numpy."""
+    floor = np.square(quality.FLOOR)
+    r3 = lambda v: np.floor(v * 1000 + 0.5) / 1000
+    middle = np.median(r3(x), 0)
+    spread = np.median(r3(np.abs(x - middle)), 0)
+    scale = np.sqrt((1.4826 * spread) ** 2 + floor)
+    z = (x - middle) / scale
+    signs = z / np.sqrt(np.maximum((z**2).sum(1), 1e-12))[:, None]
+    best = None
+    for r in (None, np.cov(np.tanh(z).T, bias=True), signs.T @ signs / len(x)):
+        corr = np.eye(quality.P)
+        if r is not None:
+            r = r + np.eye(quality.P) * 1e-3
+            corr = r / np.sqrt(np.outer(r.diagonal(), r.diagonal()))
+        mean, cov, det = middle, corr * np.outer(scale, scale), np.inf
+        for _ in range(60):
+            d = r3(np.log1p(np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)))
+            near = x[d <= np.sort(d)[int(np.ceil(quality.SHARE * len(x))) - 1]]
+            mean, cov = near.mean(0), np.cov(near.T, bias=True) * quality._consistency() + np.diag(floor)
+            now = np.linalg.slogdet(cov)[1]
+            if det - now <= quality.SETTLED:
+                break
+            det = now
+        if best is None or now < best[3]:
+            best = len(near), mean, cov, now
+    return best[:3]
+
+
 def test_estimates_equal_plain_ones(spark):
-    """The concentration steps against the same steps in numpy, for the group of all rows."""
+    """The estimates of large and small groups, drawn to their language's and all rows', against numpy."""
     g = np.random.default_rng(4)
-    x = np.abs(g.normal(1, 0.2, (600, quality.P)))
-    x[:60] += 3
-    df = spark.createDataFrame([("1a", "1b", *map(float, r)) for r in x], "k_lang string, k_source string, " + ", ".join(f"{v} double" for v in quality.VECTOR))
-    got = {r["level"]: r for r in quality.fit(df).collect()}[2]
-    floor = np.diag(np.square(quality.FLOOR))
-    r3 = lambda v: np.floor(v * 1000 + 0.5) / 1000
-    mean = np.median(r3(x), 0)
-    inv = np.diag(1 / ((1.4826 * np.median(r3(np.abs(x - mean)), 0)) ** 2 + floor.diagonal()))
-    for _ in range(quality.STEPS):
-        d = r3(np.log1p(np.einsum("ij,jk,ik->i", x - mean, inv, x - mean)))
-        near = x[d <= np.quantile(d, quality.SHARE)]
-        mean = near.mean(0)
-        inv = np.linalg.inv(np.cov(near.T, bias=True) * quality._consistency() + floor)
-    assert np.allclose(got["mean"], mean, atol=1e-3) and np.allclose(got["inv"], inv[np.triu_indices(quality.P)], rtol=0.05, atol=0.5)
-    assert abs(mean - 1).max() < 0.1  # the shifted tenth is left out
+    mix = np.eye(quality.P) + 0.4 * g.normal(size=(quality.P, quality.P))
+    groups = {("1a", "1x"): 400, ("1a", "1y"): 60, ("1b", "1x"): 250, ("1b", "0"): 7}
+    parts = {}
+    for k, ((lang, source), n) in enumerate(groups.items()):
+        x = np.abs(1 + 0.2 * k + (g.normal(0, 0.15, (n, quality.P)) @ mix))
+        x[: n // 10] += 3
+        parts[lang, source] = x
+    rows = [(lang, source, *map(float, r)) for (lang, source), x in parts.items() for r in x]
+    df = spark.createDataFrame(rows, "k_lang string, k_source string, " + ", ".join(f"{v} double" for v in quality.VECTOR)).repartition(3)
+    got = {(r["k_lang"], r["k_source"]): r for r in quality.fit(df).collect()}
+    assert set(got) == set(groups)
+    top = plain_estimate(np.concatenate(list(parts.values())))
+    for (lang, source), x in parts.items():
+        own, wide = plain_estimate(x), plain_estimate(np.concatenate([y for k, y in parts.items() if k[0] == lang]))
+        mean, cov = quality.drawn(*own, *quality.drawn(*wide, *top[1:]))
+        r = got[lang, source]
+        assert r["rows"] == len(x) and np.allclose(r["mean"], mean, atol=5e-3) and np.allclose(r["inv"], np.linalg.inv(cov)[np.triu_indices(quality.P)], rtol=0.05, atol=0.5)
+        # the shifted tenth is left out
+        assert len(x) < 100 or abs(own[1] - (x[len(x) // 10 :]).mean(0)).max() < 0.1
 
 
 def toxic_rows(n=600):
@@ -128,14 +161,65 @@ def test_toxicity(spark):
     assert toxicity.score_documents(docs, nothing).filter("predicted = 1").count() == 0 and toxicity.score_documents(docs.limit(0), net).count() == 0
 
 
+def test_sample_is_joined_first_and_bounded(spark, monkeypatch):
+    """Ids that are no longer there do not use up the sample; the bounds on rows and words hold."""
+    rows = toxic_rows(300)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(0, rows[0][1]), (0, "other text")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(i, i % 2) for i in range(10_000, 12_000)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fitted", lambda parts, lang, y, weight: seen.append((parts, y, weight)))
+    toxicity.fit(docs, labels, per_class=80)
+    parts, y, weight = seen[0]
+    assert (y == 1).sum() == 80 and (y == 0).sum() == 80
+    n1 = sum(v for _, _, v in rows)
+    assert weight[y == 1].sum() / weight[y == 0].sum() == pytest.approx(n1 / (300 - n1))
+    toxicity.fit(docs, labels, per_class=80, words_=500)
+    assert 0 < sum(map(len, seen[1][0])) < 1500 and set(seen[1][1]) == {0, 1}
+
+
+def test_gradients_equal_differences(monkeypatch):
+    """A step of training against numerical slopes of the loss, for embeddings, filters, biases and output."""
+    net = toxicity.ConvNet(5)
+    texts, y = ["good day to you", "you idiot there", "day idiot", "good"] * 3, np.array([0.0, 1.0, 1.0, 0.0] * 3)
+    _, f, first = toxicity._features(texts)
+
+    def loss():
+        p = np.clip(net.raw(net.pooled(np.arange(len(f)), net.embed(f), first)[0]), 1e-9, 1 - 1e-9)
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    import copy
+
+    slopes, places = [], []
+    words_ = np.unique(f)
+    for array, index in [(net.emb, (int(words_[k]), d)) for k in range(0, len(words_), 5) for d in (0, 3)] + [(net.filters[w], (j, 2, 1)) for w in range(3) for j in range(w + 1)] + [(net.out, 4), (net.bias, 9), (net.out, 20)]:
+        old, eps = array[index], 2e-2
+        array[index] = old + eps
+        up = loss()
+        array[index] = old - eps
+        slopes.append((up - loss()) / (2 * eps))
+        array[index] = old
+        places.append((next(n for n, a in (("emb", net.emb), ("out", net.out), ("bias", net.bias), *((f"f{k}", x) for k, x in enumerate(net.filters))) if a is array), index))
+    after = copy.deepcopy(net)
+    after.train(f, first, y, np.ones(len(y)), epochs=1)
+    moved = lambda n, net_: {"emb": net_.emb, "out": net_.out, "bias": net_.bias, "f0": net_.filters[0], "f1": net_.filters[1], "f2": net_.filters[2]}[n]
+    checked = 0
+    for (name, index), slope in zip(places, slopes, strict=True):
+        step = moved(name, after)[index] - moved(name, net)[index]
+        if abs(slope) > 2e-3:  # one batch moves every parameter against its slope
+            assert step * slope < 0, (name, index, slope, step)
+            checked += 1
+    assert checked >= 8
+
+
 def test_gradients_only_move_winning_windows():
     net = toxicity.ConvNet()
     texts, y = ["good day to you"] * 8 + ["you idiot there"] * 8, np.array([0.0] * 8 + [1.0] * 8)
-    net.train(texts, y, np.ones(16), epochs=30)
     _, f, first = toxicity._features(texts)
+    net.train(f, first, y, np.ones(16), epochs=30)
     pool, _ = net.pooled(np.arange(len(f)), net.embed(f), first)
     p = net.raw(pool)
     assert p[:8].max() < 0.3 < 0.7 < p[8:].min()
+    assert np.allclose(net.probability(f, first), p)
 
 
 def test_pool_equals_plain_convolution():
@@ -172,6 +256,76 @@ def test_languages(spark):
     assert langid.predict_languages(df, langid.fit(df.limit(0))).filter("lang_pred <> 'und'").count() == 0 and langid.predict_languages(df.limit(0), langid.fit(df)).count() == 0
 
 
+def plain_terms(text):
+    """Hashed 2- and 3-grams of a text, byte by byte."""
+    raw = (text if text.isascii() else text.lower()).encode()
+    letters = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in raw] + [32]
+    out = collections.Counter()
+    for i in range(len(letters) - 1):
+        a, b = letters[i : i + 2]
+        if (a, b) != (32, 32):
+            out[((a << 8 | b) * 2654435761 & 0xFFFFFFFF) >> (32 - langid.BITS)] += 1
+        if i + 2 < len(letters):
+            c = letters[i + 2]
+            if (a, b) != (32, 32) and (b, c) != (32, 32):
+                out[(((a << 16 | b << 8 | c) ^ 0x5BD1E995) * 2246822519 & 0xFFFFFFFF) >> (32 - langid.BITS)] += 1
+    return out
+
+
+def plain_centroids(rows):
+    """TF-IDF, spherical k-means and rejection distances, one text at a time."""
+    size = 1 << langid.BITS
+    by = collections.defaultdict(list)
+    for _, text, lang in sorted(rows):
+        v = np.zeros(size)
+        for k, n in plain_terms(text).items():
+            v[k] = math.log(1 + n)
+        by[lang].append(v)
+    share = sum(np.mean([v > 0 for v in vs], 0) for vs in by.values()) / len(by)
+    idf = np.log(1 / np.clip(share, 1e-3, 1)) + 0.1
+    out = []
+    for lang in sorted(by):
+        vs = [v * idf / np.linalg.norm(v * idf) for v in by[lang]]
+        mean = sum(vs) / len(vs)
+        chosen = [max(range(len(vs)), key=lambda i: vs[i] @ mean)]
+        while len(chosen) < min(langid.CENTROIDS, len(vs)):
+            chosen.append(min(range(len(vs)), key=lambda i: max(vs[i] @ vs[j] for j in chosen)))
+        centres = [vs[i] for i in chosen]
+        for _ in range(langid.STEPS):
+            near = [max(range(len(centres)), key=lambda k: v @ centres[k]) for v in vs]
+            for k in range(len(centres)):
+                own = [v for v, n in zip(vs, near, strict=True) if n == k]
+                if own:
+                    c = sum(own) / len(own)
+                    centres[k] = c / np.linalg.norm(c)
+        out += [(lang, c) for c in centres]
+    return idf, out
+
+
+def test_centroids_equal_plain_ones(spark):
+    """The fitted model and its predictions against TF-IDF, k-means and cosines computed one text at a time."""
+    g = random.Random(12)
+    text = lambda lang: " ".join("".join(g.choice(SYLLABLES[lang]) for _ in range(g.randint(1, 3))) for _ in range(g.randint(3, 25))) + g.choice([".", " 12 É!", ""])
+    rows = [(i, text(lang), lang) for i, lang in enumerate(["en", "de", "fr"] * 14)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.fit(df)
+    idf, centres = plain_centroids(rows)
+    assert np.allclose(model.idf, idf, atol=1e-5) and model.langs == [x for x, _ in centres] and np.allclose(model.centres, np.stack([c for _, c in centres]), atol=1e-4)
+    for x in [text("en"), text("de"), text("fr"), "xyz", "é"]:
+        v = np.zeros(len(idf))
+        for k, n in plain_terms(x).items():
+            v[k] = math.log(1 + n) * idf[k]
+        cos = [float(v @ c / max(np.linalg.norm(v), 1e-9)) for _, c in centres]
+        lang, score, _ = model.predict([x])
+        assert lang[0] == centres[int(np.argmax(cos))][0] and score[0] == pytest.approx(min(1, max(0, max(cos))), abs=1e-4)
+
+
+def test_the_sample_is_bounded(spark):
+    rows = [(i, f"wort {i} sch", "de") for i in range(300)] + [(i % 7, f"the {i}", "en") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    assert langid.fit(df, per_language=20, k=1).langs == ["de", "en"]
+
+
 def test_rare_languages_are_learned(spark):
     """250 frequent languages leave room for one of a single row."""
     word = lambda i: "".join(chr(97 + i // 26**j % 26) for j in range(3))
@@ -284,7 +438,7 @@ def test_tree_equals_plain_weighting(monkeypatch):
 def test_scores_keep_every_context(spark, monkeypatch, bits, unit, hold):
     """The distributed mix against one tree of all contexts: a rare context stays one, however much other text there is.
     Small units give a trunk of several depths, a small hold sends counts off in many parts."""
-    for name, value in (("GRAM_BITS", bits), ("UNIT_GRAMS", unit), ("TRUNK_BITS", 40), ("HOLD", hold), ("MIX_GRAMS", unit)):
+    for name, value in (("GRAM_BITS", bits), ("UNIT_WEIGHT", unit), ("TRUNK_BITS", 40), ("HOLD", hold), ("MIX_GRAMS", unit)):
         monkeypatch.setattr(ctw, name, value)
     g = random.Random(8)
     texts = ["qzxvk jqxzw " * 3, *[prose(g, 80)] * 900, "qzxvk jqxzw", "never seen: ÄÖ", None]
