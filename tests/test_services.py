@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from ledgerline.functions import tables as t
 from ledgerline.operators import enhance, reports
 from ledgerline.sources import services as s
 
@@ -18,7 +19,9 @@ def test_requests():
     assert "api-key" in s.chat_headers("https://x/openai/deployments/d", "k") and "Authorization" in s.chat_headers("https://x/v1", "k")
     body = s.enrichment("u", "k", {"cleaned_name": "A"}).body
     assert body["temperature"] == 0 and json.loads(body["messages"][1]["content"])["company_name"] == "A"
-    assert json.loads(s.adjudication("u", "k", {}, ["VERIFIED"]).body["messages"][1]["content"])["allowed_decisions"] == ["VERIFIED"]
+    asked = json.loads(s.adjudication("u", "k", {}).body["messages"][1]["content"])
+    assert set(asked["allowed_decisions"]) == set(t.DECISIONS) and len(asked["decision_rules"]) == len(t.DECISIONS)
+    assert json.loads(s.adjudication("u", "k", {}, {"VERIFIED": "sure"}).body["messages"][1]["content"])["decision_rules"] == ["VERIFIED: sure"]
     assert s.translation("https://t/", "k", {"street": " "}) is None and s.translation("https://t/", "k", {"street": "a", "lang": "ru"}).params["from"] == "ru"
 
 
