@@ -30,6 +30,23 @@ def text(c: Column | str) -> Column:
     return F.coalesce(col(c).cast("string"), F.lit(""))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
+def rewritten(value: Column, log: Column, rules: list[tuple]) -> Column:
+    """The struct (v, l) of a text after ordered rules (pattern, replacement, action), each applied to its first match,
+    and of the log with the action of every rule that was found in the running value. A text that no pattern matches is
+    left alone at the cost of one match."""
+    before = F.struct(value.alias("v"), log.alias("l"))
+    out = before
+    for pattern, replacement, action in rules:
+        note = F.lit(action) if isinstance(action, str) else action
+        out = let(out, lambda a, p=pattern, r=replacement, n=note: F.when(matches(a["v"], p), F.struct(replace_first(a["v"], p, r).alias("v"), F.array_append(a["l"], n).alias("l"))).otherwise(a))
+    return F.when(matches(value, "|".join(f"(?:{p})" for p, _, _ in rules)), out).otherwise(before)
+
+
 def matches(c: Column | str, pattern: str, flags: str = U) -> Column:
     return col(c).rlike(flags + pattern)
 

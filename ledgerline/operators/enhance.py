@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tables as t
 from ..functions import text as x
-from .records import country_from_address, first_of, fold, settled
+from ..sources.providers import ask_once
+from ..sources.store import cut
+from .records import country_from_address, first_of, settled
 
 LOG = "enhanced_preprocessing_actions"
 
@@ -23,14 +27,17 @@ def as_text(c: Column | str, missing: str = "empty") -> Column:
 
 def expand_streets(df: DataFrame, column: str = "enhanced_street", log: str = LOG, lang: str = "detected_lang") -> DataFrame:
     """The language's own rules (English for a language without), then the English ones for the others."""
-    own = F.when(F.col(lang).isin(list(t.STREET_RULES)), F.col(lang)).otherwise("en")
-    df = df.withColumn("_rules", own)
+    start = F.struct(F.col(column).alias("v"), F.col(log).alias("l"))
+    own = None
     for key, rules in t.STREET_RULES.items():
         if key != "en":
-            df = fold(df, column, log, [(p, r, F.lit(f"expanded_{p[:15]}")) for p, r in rules], F.col("_rules") == key)
-    prefix = F.when(F.col("_rules") == "en", "expanded_").otherwise("expanded_en_")
-    df = fold(df, column, log, [(p, r, F.concat(prefix, F.lit(p[:15]))) for p, r in t.STREET_RULES["en"]])
-    return settled(df.drop("_rules"))
+            done = x.rewritten(F.col(column), F.col(log), [(p, r, f"expanded_{p[:15]}") for p, r in rules])
+            own = F.when(F.col(lang) == key, done) if own is None else own.when(F.col(lang) == key, done)
+    prefix = F.when(F.col(lang).isin([k for k in t.STREET_RULES if k != "en"]), "expanded_en_").otherwise("expanded_")
+    df = df.withColumns({"_f": own.otherwise(start), "_prefix": prefix})
+    english = [(p, r, F.concat("_prefix", F.lit(p[:15]))) for p, r in t.STREET_RULES["en"]]
+    df = df.withColumn("_f", x.rewritten(F.col("_f.v"), F.col("_f.l"), english))
+    return df.withColumns({column: F.col("_f.v"), log: F.col("_f.l")}).drop("_f", "_prefix")
 
 
 def clean_structure(df: DataFrame, column: str = "enhanced_street", log: str = LOG) -> DataFrame:
@@ -142,6 +149,7 @@ def compose(street: Column, city: Column, state: Column, country: Column, postal
     return F.concat_ws(", ", keep(s, yes), keep(c, yes), keep(st, (st != "nan") & (F.upper(st) != F.upper(co))), keep(p, p != "nan"), keep(co, yes))
 
 
+NOT_TRANSLATED = "Azure Translator failed; Unicode source fields retained. "
 NOT_CONFIGURED = ("TRANSLATION_NOT_CONFIGURED", "Azure Translator is not enabled/configured; Unicode source fields are retained.")
 
 
@@ -176,12 +184,40 @@ def api_fields(df: DataFrame, translations: DataFrame | None = None, key: str =
     return out.drop(*[c for c in out.columns if c.startswith("_t_")])
 
 
-def second_pass(df: DataFrame, translations: DataFrame | None = None, missing: str = "empty") -> DataFrame:
-    """Everything of the second pass, in its order."""
+TRANSLATED = "array<struct<translations:array<struct<text:string>>>>"
+TRANSLATION_FIELDS = {"street": "enhanced_street", "city": "norm_city", "state": "enhanced_state", "name": "cleaned_name"}
+
+
+def translate(df: DataFrame, resolve, key: str = "row_id") -> DataFrame:
+    """(key, street, city, state, name, status, reason): a translator's answers to the records that need one. Only fields
+    that are not blank are sent, and answers come in their order."""
+    need = df.filter(F.col("detected_lang").isin(t.UNICODE_LANGUAGES + t.TRANSLITERATED_LANGUAGES))
+    need = need.select(key, *[x.strip(x.text(c)).alias(n) for n, c in TRANSLATION_FIELDS.items()], F.col("detected_lang").alias("lang"))
+    names = list(TRANSLATION_FIELDS)
+    sent = [F.col(n) != "" for n in names]
+    any_sent = reduce(lambda a, b: a | b, sent)
+    said = ask_once(need, [*names, "lang"], resolve, "_said", order=key, wanted=any_sent)
+    items = F.from_json("_said", TRANSLATED)
+    good = items.isNotNull() & F.col("_said_error").isNull()
+    place = lambda i: reduce(lambda a, b: a + b, [s.cast("int") for s in sent[:i]], F.lit(0))
+    fields = [F.when(good & sent[i], x.text(F.get(F.get(items, place(i))["translations"], F.lit(0))["text"])).otherwise("").alias(n) for i, n in enumerate(names)]
+    why = F.concat(F.lit(NOT_TRANSLATED), F.left(F.coalesce("_said_error", F.lit("no JSON")), F.lit(120)))
+    status = F.when(~any_sent, "TRANSLATION_SKIPPED_EMPTY_FIELDS").when(good, "TRANSLATED_TO_ENGLISH").otherwise("TRANSLATION_ERROR")
+    reason = F.when(~any_sent, "No non-empty fields were available for translation.").when(good, "").otherwise(why)
+    return said.select(key, *fields, status.alias("status"), reason.alias("reason"))
+
+
+def second_pass(df: DataFrame, translations: DataFrame | None = None, missing: str = "empty", translator=None, key: str = "row_id") -> DataFrame:
+    """Everything of the second pass, in its order. ``translator`` is a provider that is asked where ``translations`` are
+    not given."""
     fields = {c: as_text(c, missing) for c in ("norm_street", "norm_city", "norm_state", "norm_country", "norm_postal", "cleaned_name", "detected_lang")}
     df = df.withColumns(fields).withColumns({"enhanced_street": F.col("norm_street"), LOG: F.array().cast("array<string>")})
     df = clean_structure(expand_streets(df))
     state, state_action = expand_state(F.col("norm_state"), F.col("norm_country"))
     postal, postal_action = normalize_postal(F.col("norm_postal"), F.col("norm_country"))
     df = df.withColumns({"enhanced_state": state, "enhanced_postal": postal, LOG: F.concat(LOG, x.actions(state_action, postal_action))})
-    return settled(api_fields(score_completeness(settled(check_country(df))), translations))
+    df = score_completeness(check_country(df))
+    if translations is None and translator is not None:
+        df = cut(df)
+        translations = translate(df, translator, key)
+    return settled(api_fields(df, translations, key))

@@ -54,41 +54,38 @@ NAME_RULES = [
 
 
 def clean_names(df: DataFrame, column: str = "SOURCE_NAME") -> DataFrame:
-    """``cleaned_name``, ``name_removed_parts`` and ``name_cleaning_actions``; one projection per rule."""
-    df = df.withColumns({"cleaned_name": x.strip(x.text(column)), "name_removed_parts": F.array().cast("array<string>"), "name_cleaning_actions": F.array().cast("array<string>")})
-    name = F.col("cleaned_name")
-    for pattern, action, flags in NAME_RULES:
-        full = f"(?Ud{flags}){pattern}"
-        hit = name.rlike(full)
-        df = df.withColumns(
-            {
-                "cleaned_name": F.when(hit, x.strip(F.regexp_replace(name, F.lit(full), F.lit("")))).otherwise(name),
-                "name_removed_parts": F.when(hit, F.array_append("name_removed_parts", x.strip(F.regexp_extract(name, full, 0)))).otherwise(F.col("name_removed_parts")),
-                "name_cleaning_actions": F.when(hit, F.array_append("name_cleaning_actions", F.lit(action))).otherwise(F.col("name_cleaning_actions")),
-            }
-        )
-    return settled(df.withColumn("cleaned_name", x.strip(x.squeeze(x.strip(F.regexp_replace(name, F.lit(r"(?Ud)\s*[-–—]\s*$"), F.lit(""))), 2))))
-
-
-def fold(df: DataFrame, column: str, log: str, rules: list[tuple[str, str, str | Column]], where: Column | None = None) -> DataFrame:
-    """Apply ordered rules (pattern, replacement, action) to a column, each to its first match only, and log the action
-    whenever its pattern is found in the running value. One projection per rule keeps the plan linear."""
-    for pattern, replacement, action in rules:
-        hit = x.matches(column, pattern)
-        if where is not None:
-            hit = where & hit
-        df = df.withColumns(
-            {
-                column: F.when(hit, x.replace_first(column, pattern, replacement)).otherwise(F.col(column)),
-                log: F.when(hit, F.array_append(log, F.lit(action) if isinstance(action, str) else action)).otherwise(F.col(log)),
-            }
-        )
-    return df
+    """``cleaned_name``, ``name_removed_parts`` and ``name_cleaning_actions``. Names that no rule matches are left alone at
+    the cost of one match."""
+    name, none = x.strip(x.text(column)), F.array().cast("array<string>")
+
+    def rules(start: Column) -> Column:
+        out = F.struct(start.alias("v"), none.alias("parts"), none.alias("l"))
+        for pattern, action, flags in NAME_RULES:
+            full = f"(?Ud{flags}){pattern}"
+
+            def step(a, full=full, action=action):
+                cut = F.struct(
+                    x.strip(F.regexp_replace(a["v"], F.lit(full), F.lit(""))).alias("v"), F.array_append(a["parts"], x.strip(F.regexp_extract(a["v"], full, 0))).alias("parts"), F.array_append(a["l"], F.lit(action)).alias("l")
+                )
+                return F.when(a["v"].rlike(full), cut).otherwise(a)
+
+            out = x.let(out, step)
+        return F.when(start.rlike("|".join(f"(?Ud{flags}:{p})" for p, _, flags in NAME_RULES)), out).otherwise(F.struct(start.alias("v"), none.alias("parts"), none.alias("l")))
+
+    df = df.withColumn("_f", x.let(name, rules))
+    tail = F.regexp_replace(F.col("_f.v"), F.lit(r"(?Ud)\s*[-–—]\s*$"), F.lit(""))
+    return df.withColumns({"cleaned_name": x.strip(x.squeeze(x.strip(tail), 2)), "name_removed_parts": F.col("_f.parts"), "name_cleaning_actions": F.col("_f.l")}).drop("_f")
+
+
+def fold(df: DataFrame, column: str, log: str, rules: list[tuple[str, str, str | Column]]) -> DataFrame:
+    """Apply ordered rules to a column and log what was done, as ``text.rewritten``."""
+    df = df.withColumn("_f", x.rewritten(F.col(column), F.col(log), rules))
+    return df.withColumns({column: F.col("_f.v"), log: F.col("_f.l")}).drop("_f")
 
 
 def settled(df: DataFrame) -> DataFrame:
     """The same rows and columns, out of an ``inline`` of one struct. Filters on the columns stay above it: pushed down
-    through a long chain of rules, a condition would be rewritten once per rule and grow beyond bounds."""
+    below the rules, a condition would have them applied a second time."""
     return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
 
 
@@ -134,7 +131,7 @@ def normalize_addresses(df: DataFrame) -> DataFrame:
             "normalization_actions": F.when(broken, F.array(F.lit("fixed_embedded_newlines"))).otherwise(F.array().cast("array<string>")),
         }
     )
-    df = settled(fold(df, "norm_street", "normalization_actions", street_rules()))
+    df = fold(df, "norm_street", "normalization_actions", street_rules())
     df = df.withColumn("norm_street", x.strip(x.squeeze(F.regexp_replace("norm_street", F.lit(r"(?U)N[º°]\.?\s*"), F.lit("No. ")), 2)))
     state, city = x.strip("parsed_state"), x.strip("parsed_city")
     known = F.try_element_at(x.literal_map(t.STATES_FIRST_PASS), F.upper(state))
@@ -149,12 +146,12 @@ def normalize_addresses(df: DataFrame) -> DataFrame:
     )
     province = F.try_element_at(x.literal_map(t.STATES_ES), F.upper("_state"))
     spain = (F.col("norm_country") == "ES") & province.isNotNull()
-    return settled(df.withColumns(
+    return df.withColumns(
         {
             "norm_state": F.when(spain, province).otherwise(F.col("_state")),
             "normalization_actions": F.concat("normalization_actions", x.actions(F.col("_state_action"), F.col("_city_action"), F.col("_country_action"), F.when(spain, F.concat(F.lit("expanded_es_state_"), F.col("_state"))))),
         }
-    ).drop("_state", "_state_action", "_city_action", "_country_action"))
+    ).drop("_state", "_state_action", "_city_action", "_country_action")
 
 
 # fixed values: words and letters that tell languages apart where the script does not

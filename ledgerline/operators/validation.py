@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import tables as t
 from ..functions import text as x
+from ..sources.providers import ask_once, request_key
+from ..sources.store import cut
 from .records import settled
 
 RESULT = "struct<validation_status:string,formatted_address:string,latitude:double,longitude:double,validation_granularity:string,diagnostics:array<string>,has_unconfirmed:boolean,has_inferred:boolean,has_replaced:boolean,api_error:string>"
@@ -22,66 +24,65 @@ def comma_parts(address: Column) -> Column:
     return F.transform(F.split(address, ",", -1), x.strip)
 
 
-def simulate(df: DataFrame, address: str, country: str, out: str) -> DataFrame:
-    """Adds the struct ``out``: a deterministic verdict on the address from its form and its hash. The intermediate
-    columns are projections of their own, so that no expression is evaluated twice."""
-    a, c = F.col(address), F.col(country)
-    p = f"_{out}_"
-    v = lambda n: F.col(p + n)
-    df = df.withColumns(
-        {
-            p + "number": x.matches(a, r"\d"),
-            p + "street": a.rlike(rf"(?Udi)\b({t.STREET_TYPES})\b"),
-            p + "parts": F.size(F.filter(comma_parts(a), lambda s: s != "")),
-            p + "hash": hash_number(a),
-        }
-    )
-    points = (
-        F.when(v("number"), 30).otherwise(0) + F.when(v("street"), 25).otherwise(0) + F.when(v("parts") >= 3, 20).otherwise(0)
-        + F.when(v("parts") >= 4, 10).otherwise(0) + F.when(F.length(a) > 20, 10).otherwise(0) + F.when(c.isin(t.FAVOURED_COUNTRIES), 5).otherwise(0)
-    )
-    df = df.withColumns({p + "score": points, p + "frac": (v("hash") % 1000) / 1000.0})
-    high, mid, f = v("score") >= 70, v("score") >= 40, v("frac")
-    status = (
-        F.when(high & (f < 0.65), "VALIDATED").when(high & (f < 0.90), "CORRECTED").when(high, "PARTIAL_MATCH")
-        .when(mid & (f < 0.30), "CORRECTED").when(mid & (f < 0.60), "PARTIAL_MATCH").otherwise("FAILED")
+def simulated(address: Column, country: Column) -> Column:
+    """The deterministic validator's verdict on an address, from its form and its hash; null for a null address."""
+    seen = F.struct(
+        address.alias("a"), country.alias("c"), x.matches(address, r"\d").alias("number"), address.rlike(rf"(?Udi)\b({t.STREET_TYPES})\b").alias("street"),
+        F.size(F.filter(comma_parts(address), lambda s: s != "")).alias("parts"), hash_number(address).alias("hash"),
     )
-    no_number, no_street = ~v("number"), ~v("street")
-    say = lambda test, words: F.when(test, F.lit(words))
-    corrected = high & (f >= 0.65) & (f < 0.90)
-    routed = F.when(high, f >= 0.90).otherwise(mid & (f >= 0.30) & (f < 0.60))
-    notes = x.actions(
-        say(corrected & (c == "US") & ~x.matches(a, r"\d{5}"), "postal_code: inferred"),
-        say(corrected & (f > 0.80), "street_number: confirmed with correction"),
-        say(~high & mid & (f < 0.30), "street: partially matched and corrected"),
-        say(~high & mid & (f < 0.30) & no_number, "street_number: missing, inferred from context"),
-        say(routed, "address: matched to route level only"),
-        say(~high & mid & (f >= 0.60), "address: insufficient match confidence"),
-        say(~high & no_number & (~mid | (f >= 0.30)), "street_number: missing"),
-        say(~high & mid & (f >= 0.60) & no_street, "street_name: unrecognized format"),
-        say(~mid & no_street, "street_name: unrecognized"),
-        say(~mid & (v("parts") < 3), "address: insufficient components"),
-    )
-    df = df.withColumns({p + "status": status, p + "notes": notes})
-    good = v("status").isin(t.EXACT)
-    pieces = comma_parts(x.strip(a))
-    n = F.size(pieces)
-    formatted = F.when(n >= 2, F.concat_ws(", ", F.slice(pieces, F.lit(1), n - 1), F.upper(F.element_at(pieces, -1)))).otherwise(F.array_join(pieces, ", "))
-    lat = F.coalesce(F.try_element_at(_numbers(t.LATITUDE), c), F.lit(40.0)) + (f - 0.5) * 5
-    lon = F.coalesce(F.try_element_at(_numbers(t.LONGITUDE), c), F.lit(0.0)) + ((v("hash") % 100) / 100.0 - 0.5) * 10
-    result = F.struct(
-        v("status").alias("validation_status"),
-        F.when(good, formatted).otherwise("").alias("formatted_address"),
-        F.when(good, F.round(lat, 6)).alias("latitude"),
-        F.when(good, F.round(lon, 6)).alias("longitude"),
-        F.when(good, "PREMISE").when(v("status") == "PARTIAL_MATCH", "ROUTE").otherwise("OTHER").alias("validation_granularity"),
-        v("notes").alias("diagnostics"),
-        (~good).alias("has_unconfirmed"),
-        x.any_contains(v("notes"), "inferred").alias("has_inferred"),
-        (v("status") == "CORRECTED").alias("has_replaced"),
-        F.lit(None).cast("string").alias("api_error"),
-    )
-    return settled(df.withColumn(out, result)).drop(*[p + n for n in ("number", "street", "parts", "hash", "score", "frac", "status", "notes")])
+
+    def judged(v: Column) -> Column:
+        a, c = v["a"], v["c"]
+        points = (
+            F.when(v["number"], 30).otherwise(0) + F.when(v["street"], 25).otherwise(0) + F.when(v["parts"] >= 3, 20).otherwise(0)
+            + F.when(v["parts"] >= 4, 10).otherwise(0) + F.when(F.length(a) > 20, 10).otherwise(0) + F.when(c.isin(t.FAVOURED_COUNTRIES), 5).otherwise(0)
+        )
+        return x.let(F.struct(v.alias("v"), points.alias("score"), ((v["hash"] % 1000) / 1000.0).alias("frac")), decided)
+
+    def decided(w: Column) -> Column:
+        v, f, high = w["v"], w["frac"], w["score"] >= 70
+        a, c, mid = v["a"], v["c"], w["score"] >= 40
+        status = (
+            F.when(high & (f < 0.65), "VALIDATED").when(high & (f < 0.90), "CORRECTED").when(high, "PARTIAL_MATCH")
+            .when(mid & (f < 0.30), "CORRECTED").when(mid & (f < 0.60), "PARTIAL_MATCH").otherwise("FAILED")
+        )
+        no_number, no_street = ~v["number"], ~v["street"]
+        say = lambda test, words: F.when(test, F.lit(words))
+        corrected = high & (f >= 0.65) & (f < 0.90)
+        routed = F.when(high, f >= 0.90).otherwise(mid & (f >= 0.30) & (f < 0.60))
+        notes = x.actions(
+            say(corrected & (c == "US") & ~x.matches(a, r"\d{5}"), "postal_code: inferred"),
+            say(corrected & (f > 0.80), "street_number: confirmed with correction"),
+            say(~high & mid & (f < 0.30), "street: partially matched and corrected"),
+            say(~high & mid & (f < 0.30) & no_number, "street_number: missing, inferred from context"),
+            say(routed, "address: matched to route level only"),
+            say(~high & mid & (f >= 0.60), "address: insufficient match confidence"),
+            say(~high & no_number & (~mid | (f >= 0.30)), "street_number: missing"),
+            say(~high & mid & (f >= 0.60) & no_street, "street_name: unrecognized format"),
+            say(~mid & no_street, "street_name: unrecognized"),
+            say(~mid & (v["parts"] < 3), "address: insufficient components"),
+        )
+        return x.let(F.struct(v.alias("v"), f.alias("frac"), status.alias("status"), notes.alias("notes"), status.isin(t.EXACT).alias("good")), told)
+
+    def told(w: Column) -> Column:
+        v, f, good, status = w["v"], w["frac"], w["good"], w["status"]
+        pieces = comma_parts(x.strip(v["a"]))
+        n = F.size(pieces)
+        formatted = F.when(n >= 2, F.concat_ws(", ", F.slice(pieces, F.lit(1), n - 1), F.upper(F.element_at(pieces, -1)))).otherwise(F.array_join(pieces, ", "))
+        lat = F.coalesce(F.try_element_at(_numbers(t.LATITUDE), v["c"]), F.lit(40.0)) + (f - 0.5) * 5
+        lon = F.coalesce(F.try_element_at(_numbers(t.LONGITUDE), v["c"]), F.lit(0.0)) + ((v["hash"] % 100) / 100.0 - 0.5) * 10
+        return F.struct(
+            status.alias("validation_status"), F.when(good, formatted).otherwise("").alias("formatted_address"), F.when(good, F.round(lat, 6)).alias("latitude"), F.when(good, F.round(lon, 6)).alias("longitude"),
+            F.when(good, "PREMISE").when(status == "PARTIAL_MATCH", "ROUTE").otherwise("OTHER").alias("validation_granularity"), w["notes"].alias("diagnostics"), (~good).alias("has_unconfirmed"),
+            x.any_contains(w["notes"], "inferred").alias("has_inferred"), (status == "CORRECTED").alias("has_replaced"), F.lit(None).cast("string").alias("api_error"),
+        )
+
+    return F.when(address.isNotNull(), x.let(seen, judged))
+
+
+def simulate(df: DataFrame, address: str, country: str, out: str) -> DataFrame:
+    """Adds the struct ``out``: ``simulated`` of the two columns."""
+    return df.withColumn(out, simulated(F.col(address), F.col(country)))
 
 
 def _numbers(items: dict[str, float]) -> Column:
@@ -132,8 +133,10 @@ def granularity(match: Column, result: Column, entity: Column, has_number: Colum
     )
 
 
-def parse_answers(df: DataFrame, answer: str, address: str, out: str) -> DataFrame:
-    """Adds ``out``, the verdict that a service's JSON answer to ``address`` amounts to, and ``<out>_components``."""
+def parse_answers(df: DataFrame, answer: str, address: str, out: str, error: str | None = None) -> DataFrame:
+    """Adds ``out``, the verdict that a service's JSON answer to ``address`` amounts to, and ``<out>_components``. Where the
+    column ``error`` says that the call failed, the verdict carries it as ``api_error``."""
+    failed = F.lit(None).cast("string") if error is None else F.col(error)
     p = f"_{out}_"
     v = lambda n: F.col(p + n)
     df = df.withColumn(p + "first", F.get(F.from_json(F.col(answer), ANSWER)["results"], F.lit(0)))
@@ -164,16 +167,32 @@ def parse_answers(df: DataFrame, answer: str, address: str, out: str) -> DataFra
     hit = F.struct(
         status.alias("validation_status"), v("text").alias("formatted_address"), first["position"]["lat"].alias("latitude"), first["position"]["lon"].alias("longitude"), g.alias("validation_granularity"),
         notes.alias("diagnostics"), ((s < 0.80) | g.isin("LOCALITY", "NONE", "OTHER")).alias("has_unconfirmed"), v("inferred").alias("has_inferred"),
-        (v("match").isin("pointaddress", "addressrange") & v("inferred")).alias("has_replaced"), F.lit(None).cast("string").alias("api_error"),
+        (v("match").isin("pointaddress", "addressrange") & v("inferred")).alias("has_replaced"), failed.alias("api_error"),
     )
     none = F.struct(
         F.lit("FAILED").alias("validation_status"), F.lit("").alias("formatted_address"), F.lit(None).cast("double").alias("latitude"), F.lit(None).cast("double").alias("longitude"), F.lit("NONE").alias("validation_granularity"),
-        F.array(F.lit("address: no Azure Maps match")).alias("diagnostics"), F.lit(True).alias("has_unconfirmed"), F.lit(False).alias("has_inferred"), F.lit(False).alias("has_replaced"), F.lit(None).cast("string").alias("api_error"),
+        F.array(F.lit("address: no Azure Maps match")).alias("diagnostics"), F.lit(True).alias("has_unconfirmed"), F.lit(False).alias("has_inferred"), F.lit(False).alias("has_replaced"), failed.alias("api_error"),
     )
     out_df = df.withColumn(out, F.when(first.isNull(), none.cast(RESULT)).otherwise(hit.cast(RESULT)))
     return out_df.drop(*[c for c in out_df.columns if c.startswith(p)])
 
 
+def by_service(resolve, order: str = "row_id"):
+    """A validator that asks a service, to be given as ``validate``; blank and missing addresses are not sent. ``order``
+    tells the records apart and which of equal requests comes first."""
+
+    def validate(df: DataFrame, address: str, country: str, out: str) -> DataFrame:
+        # only what is asked goes through the exchange, and the records' own plan is not repeated with every question
+        narrow = cut(df.select(order, F.col(address).alias("address"), F.col(country).alias("country")))
+        key = request_key(x.squeeze(x.strip(F.lower(x.text("address")))), F.upper(x.strip(x.text("country"))))
+        said = ask_once(narrow, ["address", "country"], resolve, "said", key, order, ~x.is_blank("address"))
+        answers = parse_answers(said, "said", "address", out, "said_error").select(order, out)
+        return df.join(cut(answers), order, "left")
+
+    validate.asks = True
+    return validate
+
+
 # correction
 
 def component_fix(address: Column, notes: Column) -> Column:
@@ -220,12 +239,19 @@ STRATEGIES = ["component_fix", "simplify_address", "broaden_search"]
 
 def correct(df: DataFrame, address: str = "api_address", country: str = "suggested_country", first: str = "result", validate=simulate) -> DataFrame:
     """Adds ``correction``: the three strategies, each on the original address, validated anew; the first that succeeds
-    counts, with the number of attempts up to it. ``validate(df, address, country, out)`` is the validator."""
+    counts, with the number of attempts up to it. ``validate(df, address, country, out)`` is the validator; one that asks a
+    service is given an address only where the first answer, and no earlier strategy, succeeded."""
     a, notes = F.col(address), F.col(f"{first}.diagnostics")
     candidates = [component_fix(a, notes), simplify(a), broaden(a)]
+    asks = getattr(validate, "asks", False)
     df = df.withColumns({f"_try{i}": F.nullif(c, F.lit("")) for i, c in enumerate(candidates)})
+    done = F.col(f"{first}.validation_status").isin(t.USABLE) | F.col(f"{first}.api_error").isNotNull()
     for i in range(3):
-        df = validate(df, f"_try{i}", country, f"_got{i}")
+        if asks:
+            df = validate(df.withColumn("_ask", F.when(~done, F.col(f"_try{i}"))), "_ask", country, f"_got{i}").drop("_ask")
+            done = done | F.col(f"_got{i}.validation_status").isin(t.USABLE)
+        else:
+            df = validate(df, f"_try{i}", country, f"_got{i}")
     made = lambda i: F.col(f"_try{i}").isNotNull()
     won = [made(i) & F.col(f"_got{i}.validation_status").isin(t.USABLE) for i in range(3)]
     tried = [sum((made(j).cast("int") for j in range(1, i + 1)), made(0).cast("int")) for i in range(3)]
@@ -238,13 +264,18 @@ def correct(df: DataFrame, address: str = "api_address", country: str = "suggest
     return df.withColumn("correction", out).drop(*[f"_{n}{i}" for n in ("try", "got") for i in range(3)])
 
 
+def skipped(address: str) -> Column:
+    """Records without an address to validate."""
+    return x.is_blank(address) | (F.col("completeness_class") == "EMPTY")
+
+
 def settle(df: DataFrame, address: str = "api_address", accept_validated_correction: bool = False) -> DataFrame:
     """The record's final state from ``result`` and ``correction``: eleven columns.
 
     A correction that comes back VALIDATED does not count unless ``accept_validated_correction``; the record then fails
     with the reason "Unknown".
     """
-    skip = x.is_blank(address) | (F.col("completeness_class") == "EMPTY")
+    skip = skipped(address)
     r, c = (lambda n: F.col(f"result.{n}")), (lambda n: F.col(f"correction.{n}"))
     error = r("api_error").isNotNull()
     status = r("validation_status")
@@ -279,8 +310,13 @@ def settle(df: DataFrame, address: str = "api_address", accept_validated_correct
 
 
 def validate_records(df: DataFrame, validate=simulate, accept_validated_correction: bool = False) -> DataFrame:
-    """Simulated validation, correction and final state of second-pass records, all in one row-local plan."""
-    df = correct(validate(df, "api_address", "suggested_country", "result"), validate=validate)
+    """Validation, correction and final state of second-pass records; simulated, all in one row-local plan. A validator
+    that asks a service is not given the addresses of records that are skipped."""
+    if getattr(validate, "asks", False):
+        df = validate(cut(df).withColumn("_ask", F.when(~skipped("api_address"), F.col("api_address"))), "_ask", "suggested_country", "result").drop("_ask")
+    else:
+        df = validate(df, "api_address", "suggested_country", "result")
+    df = correct(df, validate=validate)
     return settled(settle(df, accept_validated_correction=accept_validated_correction).drop("result", "correction"))
 
 

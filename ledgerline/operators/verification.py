@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import tables as t
 from ..functions import text as x
+from ..sources.providers import ask_once, request_key, verification_key
+from ..sources.store import cut
 from .records import settled
 
 VERIFICATION = (
@@ -117,29 +119,53 @@ def _found(status: Column, method: str) -> Column:
     return F.struct(status, b("confidence"), b("c_name"), b("c_address"), b("c_latitude"), b("c_longitude"), b("c_category"), b("c_name"), F.lit(method), b("evidence"), F.lit(None).cast("string")).cast(VERIFICATION)
 
 
-def verify_replayed(records: DataFrame, by_name: DataFrame, by_address: DataFrame, fuzzy: DataFrame, key: str = "row_id") -> DataFrame:
-    """(key, verification) of records (key, company_name, address, latitude, longitude) from recorded answers (key,
-    response): candidates near the address by name, then by address, then the company anywhere. Each later search is only
-    joined for records that are still open."""
+def _answers(records: DataFrame, asked, key: str) -> DataFrame:
+    """(key, response, response_error) from a table of recorded answers or from a function of the records."""
+    said = asked(records) if callable(asked) else asked
+    error = F.col("response_error") if "response_error" in said.columns else F.lit(None).cast("string")
+    return said.select(key, "response", error.alias("response_error"))
+
+
+def verify(records: DataFrame, by_name, by_address, fuzzy, key: str = "row_id") -> DataFrame:
+    """(key, verification) of records (key, company_name, address, latitude, longitude): candidates near the address by
+    name, then by address, then the company anywhere. Each search is a table (key, response) of recorded answers or a
+    function from the records that are still open to one. A failed search near the address finds nothing; what went wrong
+    with the last one is kept."""
     b = lambda n: F.col(f"best.{n}")
     status = candidate_status(F.col("best.c_name"), b("name_score"), b("address_score"), b("distance_score"), b("confidence"))
-    first = _best(records, by_name, key, "address", True).withColumn("s", status).filter(F.col("s").isin(t.TRUSTED))
+    first = _best(records, _answers(records, by_name, key), key, "address", True).withColumn("s", status).filter(F.col("s").isin(t.TRUSTED))
     first = first.select(key, _found(F.col("s"), "azure_poi_name_near_address").alias("verification"))
-    open_ = records.join(first.select(key), key, "left_anti")
-    second = _best(open_, by_address, key, "address", True).withColumn("s", status).filter(F.col("s").isin([*t.TRUSTED, "ADDRESS_MISMATCH"]))
+    first = cut(first)
+    open_ = cut(records.join(first.select(key), key, "left_anti"))
+    second = _best(open_, _answers(open_, by_address, key), key, "address", True).withColumn("s", status).filter(F.col("s").isin([*t.TRUSTED, "ADDRESS_MISMATCH"]))
     second = second.select(key, _found(F.col("s"), "azure_poi_address_occupant").alias("verification"))
-    rest = open_.join(second.select(key), key, "left_anti")
-    third = rest.select(key).join(_best(rest, fuzzy, key, None, False), key, "left")
+    second = cut(second)
+    rest = cut(open_.join(second.select(key), key, "left_anti"))
+    said = cut(_answers(rest, fuzzy, key))
+    third = rest.select(key).join(_best(rest, said, key, None, False), key, "left").join(said.select(key, "response_error"), key, "left")
     ok = F.coalesce((b("name_score") >= 0.45) & ~is_generic_place(F.col("best.c_name")), F.lit(False))
+    failed = api_error(F.col("response_error"))
     empty, none = F.lit(""), F.lit(None).cast("double")
     pick = lambda n, other: F.when(ok, b(n)).otherwise(other)
+    nothing = F.when(F.col("response_error").isNotNull(), failed["verification_evidence"]).otherwise(F.array(F.lit("no company lookup match")))
     located = F.struct(
         F.when(ok, "CORRECT_ADDRESS_CANDIDATE").otherwise("UNVERIFIED"), pick("confidence", F.lit(0.0)), pick("c_name", empty), pick("c_address", empty), pick("c_latitude", none), pick("c_longitude", none),
-        pick("c_category", empty), empty, F.lit("azure_fuzzy_company_lookup"), pick("evidence", F.array(F.lit("no company lookup match"))), F.lit(None).cast("string"),
+        pick("c_category", empty), empty, F.lit("azure_fuzzy_company_lookup"), pick("evidence", nothing), failed["api_error"],
     ).cast(VERIFICATION)
     return first.union(second).union(third.select(key, located.alias("verification")))
 
 
+def verify_by_services(records: DataFrame, services, key: str = "row_id") -> DataFrame:
+    """``verify`` over records that also have a country, asking the services of ``providers.Services``."""
+    place = ["country", "latitude", "longitude"]
+
+    def ask(resolve, columns):
+        return lambda open_: ask_once(open_, [*columns, *place], resolve, "response", verification_key("company_name", "address", *place), key)
+
+    whole = ["company_name", "address"]
+    return verify(records, ask(services.poi_by_name, whole), ask(services.poi_by_address, whole), ask(services.fuzzy, whole), key)
+
+
 # evidence
 
 EVIDENCE = ["external_evidence_available", "external_evidence_source", "external_evidence_url", "external_evidence_text"]
@@ -198,9 +224,16 @@ def parse_web_answer(answer: Column | str) -> Column:
     return F.struct(any_.alias(EVIDENCE[0]), F.when(any_, "bing_web_search").otherwise("").alias(EVIDENCE[1]), F.coalesce(F.get(urls, F.lit(0)), F.lit("")).alias(EVIDENCE[2]), F.left(F.array_join(said, " | "), F.lit(1000)).alias(EVIDENCE[3]))
 
 
-def within_budget(requests: DataFrame, order: str, budget: int) -> DataFrame:
-    """The first ``budget`` distinct requests, a feature of the paid search (a top-n)."""
-    return requests.orderBy(order).limit(budget)
+def search_evidence(df: DataFrame, resolve, budget: int = 0, order: str = "row_id") -> DataFrame:
+    """Records without evidence look for some on the web, equal questions once and at most ``budget`` of them (0: all), in
+    order of their records."""
+    company = x.first_nonempty("cleaned_name", "SOURCE_NAME")
+    address = x.first_nonempty("validated_address", "api_address")
+    df = df.withColumn("query", web_query(company, address, "matched_company_name"))
+    wanted = ~F.col(EVIDENCE[0]) & ~x.is_blank("query")
+    df = ask_once(df, ["query"], resolve, "_web", request_key(x.lookup_key("query")), order, wanted, budget)
+    df = df.withColumn("_e", F.when(F.col("_web").isNotNull(), parse_web_answer("_web")))
+    return df.withColumns({c: F.coalesce(F.col(f"_e.{c}"), F.col(c)) for c in EVIDENCE}).drop("_e", "_web", "_web_error", "query")
 
 
 # adjudication
@@ -218,9 +251,9 @@ def overall_confidence(deterministic: Column, decision: Column, ai: Column, prom
     return F.when(promoted, F.round(0.45 * d + 0.55 * ai, 3)).when(decision.isin([*t.PROMOTABLE, "UNVERIFIED"]), F.round(F.greatest(d, ai), 3)).otherwise(d)
 
 
-def adjudicate(df: DataFrame, answer: str | None = None, threshold: float = t.PROMOTION_CONFIDENCE) -> DataFrame:
-    """Seven adjudication columns from ``answer``, a chat response as JSON (null: not asked or failed); records that are
-    not to be adjudicated, and all without ``answer``, keep their deterministic verdict."""
+def adjudicate(df: DataFrame, answer: str | None = None, threshold: float = t.PROMOTION_CONFIDENCE, error: str | None = None) -> DataFrame:
+    """Seven adjudication columns from ``answer``, a chat response as JSON (null: not asked or failed, as ``error`` says);
+    records that are not to be adjudicated, and all without ``answer``, keep their deterministic verdict."""
     status, confidence = F.coalesce("company_verification_status", F.lit("UNVERIFIED")), F.col("verification_confidence")
     default = {ADJUDICATION[0]: F.lit("NOT_RUN"), ADJUDICATION[1]: F.lit(0.0), ADJUDICATION[2]: F.lit(""), ADJUDICATION[3]: F.lit(""), ADJUDICATION[4]: F.lit(False), ADJUDICATION[5]: status, ADJUDICATION[6]: x.clamp(confidence)}
     if answer is None:
@@ -235,7 +268,10 @@ def adjudicate(df: DataFrame, answer: str | None = None, threshold: float = t.PR
         ADJUDICATION[0]: F.col("_d"), ADJUDICATION[1]: F.col("_c"), ADJUDICATION[2]: F.left(x.strip(x.text("_j.reason")), F.lit(500)), ADJUDICATION[3]: F.lit("azure_openai_candidate_adjudication"),
         ADJUDICATION[4]: F.col("_p"), ADJUDICATION[5]: F.when(F.col("_p"), F.col("_d")).otherwise(status), ADJUDICATION[6]: overall_confidence(confidence, F.col("_d"), F.col("_c"), F.col("_p")),
     }
-    failed = {ADJUDICATION[2]: F.when(F.col("_asked"), F.lit("OpenAI adjudication returned non-JSON content")).otherwise("")}
+    reason = F.when(F.col("_asked"), F.lit("OpenAI adjudication returned non-JSON content"))
+    if error is not None:
+        reason = reason.when(F.col(error).isNotNull(), F.concat(F.lit("OpenAI adjudication failed: "), F.left(F.col(error), F.lit(120))))
+    failed = {ADJUDICATION[2]: reason.otherwise("")}
     return df.withColumns({c: F.when(F.col("_ran"), own[c]).otherwise(failed.get(c, default[c])) for c in ADJUDICATION}).drop("_j", "_ran", "_asked", "_d", "_c", "_p")
 
 
@@ -246,9 +282,9 @@ def infer_domain(name: Column | str) -> Column:
     return F.when(F.length(joined) >= 4, F.concat(joined, F.lit(".com"))).otherwise("")
 
 
-def enrich(df: DataFrame, answer: str | None = None, status: str = "final_company_verification_status") -> DataFrame:
+def enrich(df: DataFrame, answer: str | None = None, status: str = "final_company_verification_status", error: str | None = None) -> DataFrame:
     """Fifteen firmographic columns: from the match of a trusted record, else held back; where ``answer`` (a chat response)
-    holds a JSON object for a trusted record, its fields replace them."""
+    holds a JSON object for a trusted record, its fields replace them; ``error`` says why a call failed."""
     trusted = F.coalesce(F.col(status).isin(t.TRUSTED), F.lit(False))
     either = lambda own, other: F.when(trusted & ~(x.text(own) == ""), F.col(own)).otherwise(other)
     name = either("matched_company_name", F.coalesce(F.nullif(x.text("cleaned_name"), F.lit("")), x.text("SOURCE_NAME")))
@@ -265,6 +301,8 @@ def enrich(df: DataFrame, answer: str | None = None, status: str = "final_compan
         base = {c: F.when(good, F.coalesce(F.col(f"_j.{c}"), v if c == "legal_name" else F.lit(""))).otherwise(v) for c, v in base.items()}
         note = F.when(good, x.text("_j.confidence_notes")).when(bad, "OpenAI enrichment returned non-JSON content").otherwise(note)
         method = F.when(good, "openai_assisted").otherwise(method)
+        if error is not None:
+            note = F.when(trusted & F.col(error).isNotNull(), F.concat(F.lit("OpenAI enrichment failed: "), F.left(F.col(error), F.lit(120)))).otherwise(note)
     out = df.withColumns({**base, "enriched_full_address": F.col("_address"), "enrichment_method": method, "enrichment_notes": note})
     return out.drop("_name", "_address", "_j")
 
@@ -286,14 +324,29 @@ def route(df: DataFrame, status: str = "company_verification_status", confidence
     return df.withColumn("week3_manual_review_flag", F.col("review_routing").startswith("REVIEW_"))
 
 
-def third_pass(df: DataFrame, evidence: DataFrame | None = None, verifications: DataFrame | None = None, adjudications: str | None = None, enrichments: str | None = None, key: str = "row_id") -> DataFrame:
+def _asked(df: DataFrame, resolve, out: str, key: list[str], given: list[str], wanted: Column, order: str) -> DataFrame:
+    """A chat service's answer in ``out``, one for all records of equal ``key``."""
+    here = [c for c in given if c in df.columns]
+    return ask_once(df, here, resolve, out, request_key(*[x.text(c) if c in df.columns else F.lit("") for c in key]), order, wanted)
+
+
+_CHAT_COLUMNS = ["MDM_KEY", "SOURCE_NAME", "cleaned_name", "validated_address", "norm_country", "company_verification_status", "verification_confidence", "matched_company_name", "matched_address", "matched_category", "verification_evidence", *EVIDENCE[1:]]
+
+
+def third_pass(df: DataFrame, evidence: DataFrame | None = None, verifications: DataFrame | None = None, adjudications: str | None = None, enrichments: str | None = None, key: str = "row_id", services=None) -> DataFrame:
     """Verification, evidence, adjudication, enrichment and routing of usable records.
 
-    ``verifications`` (key, verification) are a service's verdicts, by default simulated from the record itself;
-    ``adjudications`` and ``enrichments`` name columns with recorded chat responses.
+    ``verifications`` (key, verification) are verdicts made elsewhere; ``adjudications`` and ``enrichments`` name columns
+    with recorded chat responses. ``services`` (``providers.Services``) are asked for what is not given that way; without
+    either, verdicts are simulated from the record itself.
     """
     company = F.coalesce(F.nullif(x.text("cleaned_name"), F.lit("")), x.text("SOURCE_NAME"))
     address = F.coalesce(F.nullif(x.text("validated_address"), F.lit("")), x.text("api_address"))
+    if services is not None:
+        df = cut(df)  # each service is asked about these records, which are not computed anew every time
+    if verifications is None and services is not None and services.verifies:
+        asked = df.select(key, company.alias("company_name"), address.alias("address"), F.coalesce("suggested_country", "norm_country").alias("country"), "latitude", "longitude")
+        verifications = cut(verify_by_services(asked, services, key))
     if verifications is None:
         df = df.withColumns({"_company": company, "_address": address}).withColumn("_v", simulate_verification("_company", "_address")).drop("_company", "_address")
         df = settled(df)
@@ -302,6 +355,19 @@ def third_pass(df: DataFrame, evidence: DataFrame | None = None, verifications:
     names = "company_verification_status verification_confidence matched_company_name matched_address matched_latitude matched_longitude matched_category occupant_at_address verification_method verification_evidence api_error".split()
     df = df.withColumns({n: F.col(f"_v.{n}") for n in names}).drop("_v")
     df = lookup_evidence(df, evidence, key) if evidence is not None else no_evidence(df)
-    df = adjudicate(df, adjudications)
+    if services is not None and services.web is not None:
+        df = search_evidence(cut(df), services.web, services.web_budget, key)
+    errors = {}
+    if adjudications is None and services is not None and services.adjudicate is not None:
+        wanted = adjudication_wanted(F.coalesce("company_verification_status", F.lit("UNVERIFIED")), F.col("matched_company_name"), F.col("occupant_at_address"), F.col(EVIDENCE[0]))
+        adjudications, errors["a"] = "_adjudicated", "_adjudicated_error"
+        df = _asked(cut(df), services.adjudicate, adjudications, ["MDM_KEY", "SOURCE_NAME", "validated_address", "matched_company_name", "matched_address"], _CHAT_COLUMNS, wanted, key)
+    df = adjudicate(df, adjudications, error=errors.get("a"))
     df = df.withColumns({"deterministic_verification_status": F.col("company_verification_status"), "company_verification_status": F.col("final_company_verification_status"), "verification_confidence": F.col("overall_confidence_score")})
-    return settled(route(enrich(settled(df), enrichments)))
+    df = settled(df)
+    if enrichments is None and services is not None and services.enrich is not None:
+        wanted = F.col("final_company_verification_status").isin(t.TRUSTED)
+        enrichments, errors["e"] = "_enriched", "_enriched_error"
+        df = _asked(cut(df), services.enrich, enrichments, ["MDM_KEY", "matched_company_name", "matched_address"], _CHAT_COLUMNS, wanted, key)
+    out = route(enrich(df, enrichments, error=errors.get("e")))
+    return settled(out.drop("_adjudicated", "_adjudicated_error", "_enriched", "_enriched_error"))

@@ -139,7 +139,7 @@ def test_verification_cascade(spark):
     hit = lambda name, address, lat: json.dumps({"results": [{"poi": {"name": name}, "address": {"freeformAddress": address}, "position": {"lat": lat, "lon": 1.0}, "score": 1.0}]})
     recs = spark.createDataFrame([(i, "Acme Tools", "1 Main Street", 1.0, 1.0) for i in range(4)], "row_id long, company_name string, address string, latitude double, longitude double")
     t = lambda rows: spark.createDataFrame(rows, "row_id long, response string")
-    out = verification.verify_replayed(recs, t([(0, hit("Acme Tools Inc", "1 main street", 1.0)), (1, hit("Other", "1 main street", 1.0))]), t([(1, hit("Other Shop", "1 Main Street", 1.0))]), t([(2, hit("ACME tools", "9 Far Road", 50.0))]))
+    out = verification.verify(recs, t([(0, hit("Acme Tools Inc", "1 main street", 1.0)), (1, hit("Other", "1 main street", 1.0))]), t([(1, hit("Other Shop", "1 Main Street", 1.0))]), t([(2, hit("ACME tools", "9 Far Road", 50.0))]))
     got = {r["row_id"]: r["verification"]["company_verification_status"] for r in out.collect()}
     assert got == {0: "VERIFIED", 1: "ADDRESS_MISMATCH", 2: "CORRECT_ADDRESS_CANDIDATE", 3: "UNVERIFIED"}
 
