@@ -99,14 +99,49 @@ def head(df: DataFrame, test: Column, n: int = 10, order: str = "row_id") -> Dat
     return df.filter(test).orderBy(order).limit(n)
 
 
+#: Leading bits of the MD5 by which a sample's cut-off is found.
+SAMPLE_BITS = 16
+
+
 def exact_sample(df: DataFrame, key: str, share: float = 0.1) -> DataFrame:
-    """Exactly ``int(share * rows)`` records, those of least MD5 of the key: a sampling operator."""
-    return df.orderBy(F.md5(F.col(key).cast("string").cast("binary")), key).limit(int(df.count() * share))
+    """Exactly ``int(share * rows)`` records, those of least MD5 of the key, ties by key: a sampling operator. A histogram
+    of leading bits says which records are in; only those of the one bucket that is cut are sorted."""
+    name = F.md5(F.col(key).cast("string").cast("binary"))
+    rows = df.withColumn("_md5", F.coalesce(name, F.lit("")))
+    bucket = F.coalesce(F.conv(F.substring("_md5", 1, SAMPLE_BITS // 4), 16, 10).cast("int"), F.lit(-1))
+    rows = rows.withColumn("_bucket", bucket)
+    counts = sorted((r["_bucket"], r["n"]) for r in rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).collect())  # at most 2 ** SAMPLE_BITS + 1
+    left = int(sum(n for _, n in counts) * share)
+    for b, n in counts:
+        if n > left:
+            break
+        left -= n
+    else:
+        return df
+    cut = rows.filter(F.col("_bucket") == b).orderBy("_md5", key).limit(left)
+    return rows.filter(F.col("_bucket") < b).union(cut).drop("_md5", "_bucket")
+
+
+#: Counts of at most so many values are put into a report; of more, the report names the table they are in.
+MOST_VALUES = 2000
+#: Columns whose values are text of any kind, and whose counts are written as tables beside the report.
+FREE_TEXT = ["parsed_country", "ROWID_SYSTEM", "name_sub_category", "norm_country", "failure_reason"]
+
+
+def _few(df: DataFrame) -> list | None:
+    rows = df.limit(MOST_VALUES + 1).collect()
+    return rows if len(rows) <= MOST_VALUES else None
+
+
+def _dict(counts: DataFrame, of: str = "") -> dict:
+    """A counted column as a dictionary."""
+    rows = _few(counts)
+    return {"table": of} if rows is None else {r[0]: r[1] for r in rows}
 
 
-def _dict(counts: DataFrame) -> dict:
-    """A counted column as a dictionary; its values are few by nature (codes, tiers, statuses, actions)."""
-    return {r[0]: r[1] for r in counts.collect()}
+def count_tables(df: DataFrame) -> dict[str, DataFrame]:
+    """The counts of free-text columns, by column."""
+    return {c: value_counts(df, c) for c in FREE_TEXT if c in df.columns}
 
 
 def _row(df: DataFrame) -> dict:
@@ -114,7 +149,8 @@ def _row(df: DataFrame) -> dict:
 
 
 def _by(df: DataFrame) -> dict:
-    return {r[0]: {k: v for k, v in r.asDict().items() if k != df.columns[0]} for r in df.collect()}
+    rows = _few(df)
+    return {"table": df.columns[0]} if rows is None else {r[0]: {k: v for k, v in r.asDict().items() if k != df.columns[0]} for r in rows}
 
 
 def first_report(df: DataFrame) -> dict:
@@ -125,13 +161,13 @@ def first_report(df: DataFrame) -> dict:
     sample = head(df, F.col("quality_tier").isin("CRITICAL", "INCOMPLETE")).collect()
     return {
         "generated_at": datetime.datetime.now().isoformat(), "total_records": m["total"], "columns": df.columns,
-        "country_distribution": _dict(value_counts(df, "parsed_country")), "source_system_distribution": _dict(value_counts(df, "ROWID_SYSTEM")), "name_subcategory_distribution": _dict(value_counts(df, "name_sub_category")),
+        "country_distribution": _dict(value_counts(df, "parsed_country"), "parsed_country"), "source_system_distribution": _dict(value_counts(df, "ROWID_SYSTEM"), "ROWID_SYSTEM"), "name_subcategory_distribution": _dict(value_counts(df, "name_sub_category"), "name_sub_category"),
         "language_distribution": _dict(value_counts(df, "detected_lang")), "language_method_distribution": _dict(value_counts(df, "lang_method")), "quality_tier_distribution": _dict(value_counts(df, "quality_tier")),
         "flag_counts": flags, "missing_fields": {k: flags[f"flag_{k}"] for k in ("no_street", "no_city", "no_state", "no_postal", "no_street_number")},
         "encoding_issues": {"records_repaired": flags["flag_encoding_repaired"], "garbled_unrecoverable": flags["flag_garbled_text"]},
         "name_cleaning": {"records_modified": m["names_modified"], "pct_modified": m["names_pct"], "action_breakdown": _dict(action_counts(df, "name_cleaning_actions"))},
         "address_normalization": {"records_modified": m["addresses_modified"], "pct_modified": m["addresses_pct"], "action_breakdown": _dict(action_counts(df, "normalization_actions"))},
-        "country_quality_crosstab": {tier: {c: row[tier] for c, row in table.items()} for tier in tiers},
+        "country_quality_crosstab": table if "table" in table else {tier: {c: row[tier] for c, row in table.items()} for tier in tiers},
         "sample_problematic_records": [{"MDM_KEY": r["MDM_KEY"], "SOURCE_NAME": r["SOURCE_NAME"], "cleaned_name": r["cleaned_name"], "street": r["parsed_street"], "norm_street": r["norm_street"], "city": r["parsed_city"], "country": r["parsed_country"], "quality_tier": r["quality_tier"], "flags": {c: True for c in FLAGS if r[c]}} for r in sample],
     }
 
@@ -145,8 +181,8 @@ def validation_report(df: DataFrame) -> dict:
         "validation_distribution": _dict(value_counts(df, "validation_status")), "correction_distribution": _dict(value_counts(df, "correction_status", "fill")), "success_summary": _row(success_summary(df)),
         "country_breakdown": _by(breakdown(df, "norm_country", True)), "tier_breakdown": _by(breakdown(df, "quality_tier")), "completeness_breakdown": _by(breakdown(df, "completeness_class")),
         "translation_handling": {"distribution": _dict(value_counts(df, "translation_handling_status", "fill", "UNKNOWN")), "needs_translation_total": _row(truthy(df, "needs_translation"))["n"], "api_strategy_distribution": _dict(value_counts(df, "api_strategy", "fill", "UNKNOWN"))},
-        "failure_analysis": {"total_failed": failed.count(), "failure_reasons": _dict(value_counts(failed, "failure_reason")), "sample_failures": [r.asDict() for r in head(failed, F.lit(True)).select(keep).withColumnRenamed("norm_country", "country").collect()]},
-        "manual_review": {"total": manual.count(), "by_country": _dict(value_counts(manual, "norm_country"))},
+        "failure_analysis": {"total_failed": failed.count(), "failure_reasons": _dict(value_counts(failed, "failure_reason"), "failure_reason"), "sample_failures": [r.asDict() for r in head(failed, F.lit(True)).select(keep).withColumnRenamed("norm_country", "country").collect()]},
+        "manual_review": {"total": manual.count(), "by_country": _dict(value_counts(manual, "norm_country"), "norm_country")},
         "correction_effectiveness": {"total_attempted": fixed.count(), "strategy_breakdown": _dict(value_counts(fixed, "correction_strategy"))},
     }
 

@@ -85,3 +85,11 @@ def write_subsets(df: DataFrame, folder: str, subsets: dict, kind: str = "parque
 def write_text(spark: SparkSession, text: str, path: str) -> None:
     """One small text, such as a report, wherever Spark can write."""
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def listing(spark: SparkSession, folder: str, pattern: str = "*") -> list[str]:
+    """The names in a folder that match, in order."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{pattern}")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(f.getPath().getName() for f in found or [])
