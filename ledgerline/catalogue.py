@@ -26,8 +26,8 @@ def parsed(spark, d):
 
 
 def first(spark, d):
-    """First-pass records of the synthetic relation; language by script and country only."""
-    return records.first_pass(mdm_raw(spark, d), statistical=F.lit(None).cast("string"))
+    """First-pass records of the synthetic relation."""
+    return records.first_pass(mdm_raw(spark, d))
 
 
 def second(spark, d):
@@ -173,22 +173,26 @@ def q26(spark, d):
 
 
 def q27(spark, d):
-    """Similarity of every part with the parts of its brand and size that follow it by key."""
-    p = _table(spark, d, "part").select("p_partkey", "p_brand", "p_size", "p_name")
-    o = p.select(F.col("p_partkey").alias("other_key"), F.col("p_brand").alias("b"), F.col("p_size").alias("s"), F.col("p_name").alias("other_name"))
-    pairs = p.join(o, (F.col("p_brand") == F.col("b")) & (F.col("p_size") == F.col("s")) & (F.col("p_partkey") < F.col("other_key")))
-    return pairs.select("p_partkey", "other_key", F.round(x.token_similarity("p_name", "other_name"), 6).alias("similarity"))
+    """Similarity of the names of all parts of a brand, as far as it is not 0, and how many pairs of parts have them. Equal
+    names are one, and names meet over the tokens they share, so that no brand's parts are paired with each other."""
+    p = _table(spark, d, "part").groupBy("p_brand", "p_name").agg(F.count(F.lit(1)).alias("n"))
+    mine = p.withColumn("token", F.explode(F.array_distinct(x.tokens(x.normalize_text("p_name")))))
+    other = mine.select(F.col("p_brand").alias("b"), F.col("token").alias("t"), F.col("p_name").alias("other_name"), F.col("n").alias("m"))
+    pairs = mine.join(other, (F.col("p_brand") == F.col("b")) & (F.col("token") == F.col("t")) & (F.col("p_name") < F.col("other_name")))
+    pairs = pairs.select("p_brand", "p_name", "other_name", (F.col("n") * F.col("m")).alias("n_pairs")).distinct()
+    return pairs.withColumn("similarity", F.round(x.token_similarity("p_name", "other_name"), 6))
 
 
 def _scored(spark, d):
-    """Suppliers as records, the customers of their nation with keys of the same hundred as candidates."""
+    """Suppliers as records, all customers of their nation as candidates. Customers that look alike are one candidate, that
+    of least key, so that a nation has few however many customers it has."""
     s = _table(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.concat(F.lit("Acme "), F.col("s_suppkey") % 7, F.lit(" Tools Inc")).alias("company_name"), F.concat(F.col("s_suppkey") % 5, F.lit(" Main Street")).alias("address"), (F.col("s_suppkey") % 10 / 100).alias("latitude"), F.lit(1.0).alias("longitude"))
     c = _table(spark, d, "customer").select(
         F.col("c_nationkey"), F.col("c_custkey").alias("ord"), F.concat(F.lit("ACME "), F.col("c_custkey") % 7, F.when(F.col("c_custkey") % 3 == 0, " Tools GmbH").otherwise(" Paints Ltd")).alias("c_name"),
         F.concat(F.col("c_custkey") % 5, F.when(F.col("c_custkey") % 2 == 0, " main street").otherwise(" high street")).alias("c_address"), (F.col("c_custkey") % 10 / 100).alias("c_latitude"), F.lit(1.0).alias("c_longitude"), (F.col("c_custkey") % 13 / 10).alias("c_score"),
     )
-    pairs = s.join(c, (F.col("s_nationkey") == F.col("c_nationkey")) & (F.col("ord") % 100 == F.col("s_suppkey") % 100))
-    return verification.score_candidates(pairs)
+    c = c.groupBy("c_nationkey", "c_name", "c_address", "c_latitude", "c_longitude", "c_score").agg(F.min("ord").alias("ord"))
+    return verification.score_candidates(s.join(c, F.col("s_nationkey") == F.col("c_nationkey")))
 
 
 BEST = ["c_name", "c_address", "ord", "name_score", "address_score", "distance_score", "confidence"]
@@ -274,6 +278,113 @@ def q40(spark, d):
     return out.select("row_id", r("validation_status"), r("validation_granularity"), r("formatted_address"), r("has_unconfirmed"), r("has_inferred"), r("has_replaced"), F.array_join("result.diagnostics", "|").alias("diagnostics"))
 
 
+def _service(requests: DataFrame) -> DataFrame:
+    """A geocoder whose answers follow from the address: what a replay table would hold."""
+    k = validation.hash_number(x.squeeze(x.strip(F.lower(x.text("address")))))
+    pick = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), (F.floor(k / n) % len(values)).cast("int") + 1)
+    place = F.struct(F.when(k % 3 == 0, x.text("address")).otherwise("1 High Street, Paris").alias("freeformAddress"), F.when(k % 2 == 0, "12").otherwise("").alias("streetNumber"), F.when(k % 5 > 0, "Main").otherwise("").alias("streetName"), F.lit("").alias("municipality"), F.lit("").alias("countrySubdivision"), F.lit("1").alias("postalCode"), F.lit("US").alias("countryCode"))
+    hit = F.struct((F.lit(0.5) + k % 51 / 100).alias("score"), pick(["Point Address", "Street", "Geography"], 7).alias("type"), F.lit("").alias("entityType"), pick(["PointAddress", "AddressRange", "", "Street"], 3).alias("matchType"), F.struct(F.lit(1.5).alias("lat"), F.lit(2.5).alias("lon")).alias("position"), place.alias("address"))
+    failed = k % 13 == 0
+    return requests.select("request_key", F.when(~failed, F.to_json(F.struct(F.when(k % 17 > 0, F.array(hit)).alias("results")))).alias("response"), F.when(failed, F.concat(F.lit("Request timeout "), k % 3)).alias("error"))
+
+
+def q43(spark, d):
+    """Validation by a service of which some calls fail."""
+    out = validation.validate_records(second(spark, d), validation.by_service(_service))
+    return out.select("row_id", "validation_status", "validated_address", "correction_status", "correction_strategy", "correction_attempts", "failure_reason", "manual_review_flag", "validation_granularity")
+
+
+def q44(spark, d):
+    return reports.modified(first(spark, d))
+
+
+def q45(spark, d):
+    """The three ways of counting a column with missing values."""
+    df = validated(spark, d)
+    parts = [reports.value_counts(df, "correction_status", mode).select(F.lit(mode).alias("mode"), "value", "n") for mode in ("drop", "keep", "fill")]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def q46(spark, d):
+    return reports.success_summary(validated(spark, d))
+
+
+def q47(spark, d):
+    return reports.distinct_values(validated(spark, d), "correction_strategy")
+
+
+def q48(spark, d):
+    df = second(spark, d)
+    return reports.truthy(df, "needs_translation").select(F.lit("needs_translation").alias("column_name"), "n").union(reports.truthy(df, "api_ready").select(F.lit("api_ready").alias("column_name"), "n"))
+
+
+def q49(spark, d):
+    return reports.run_counters(validation.validate_records(second(spark, d), validation.by_service(_service)))
+
+
+def _hits(*hits: Column) -> Column:
+    return F.to_json(F.struct(F.array_compact(F.array(*hits)).alias("results")))
+
+
+def _hit(name, address, lat, score=1.0, categories=None, kind=""):
+    c = lambda v: v if isinstance(v, Column) else F.lit(v)
+    return F.struct(c(kind).alias("type"), c(score).cast("double").alias("score"), F.struct(c(name).alias("name"), (F.array().cast("array<string>") if categories is None else categories).alias("categories")).alias("poi"), F.struct(c(address).alias("freeformAddress")).alias("address"), F.struct(c(lat).cast("double").alias("lat"), F.lit(1.0).alias("lon")).alias("position"))
+
+
+def q50(spark, d):
+    """Candidates read out of recorded answers, and the question that names each."""
+    k = F.col("c_custkey")
+    one = _hit(F.when(k % 4 > 0, F.concat(F.lit("ACME  "), k % 7)).otherwise(""), F.concat(k % 5, F.lit(" main street")), k % 10 / 100, k % 11 / 10, F.slice(F.array(F.lit("shop"), F.lit("office")), F.lit(1), (k % 3).cast("int")), F.when(k % 8 > 0, "POI").otherwise(""))
+    two = F.when(k % 2 == 0, _hit(F.lit("Second"), F.lit(""), F.lit(None), F.lit(None)))
+    df = _table(spark, d, "customer").select(k.alias("row_id"), F.when(k % 9 > 0, _hits(one, two)).alias("answer"))
+    df = df.select("row_id", F.posexplode(verification.parse_candidates("answer")).alias("ord", "c"))
+    return df.select("row_id", "ord", "c.name", "c.address", "c.latitude", "c.score", "c.category", verification.compact_query("c.name", F.concat("c.address", F.lit(" "), F.repeat(F.lit("y "), 90))).alias("question"))
+
+
+def q51(spark, d):
+    """The cascade of searches over recorded answers, the last of which sometimes failed."""
+    k = F.col("row_id")
+    recs = _table(spark, d, "supplier").select(F.col("s_suppkey").alias("row_id"), F.concat(F.lit("Acme "), F.col("s_suppkey") % 7, F.lit(" Tools Inc")).alias("company_name"), F.concat(F.col("s_suppkey") % 5, F.lit(" Main Street")).alias("address"), (F.col("s_suppkey") % 10 / 100).alias("latitude"), F.lit(1.0).alias("longitude"))
+    by_name = recs.select("row_id", _hits(_hit(F.concat(F.lit("ACME "), k % 3, F.lit(" Tools GmbH")), F.concat(k % 4, F.lit(" main street")), (k + k % 3) % 10 / 100)).alias("response"))
+    by_address = recs.filter(k % 3 > 0).select("row_id", _hits(_hit(F.concat(F.lit("Other "), k % 3, F.lit(" Shop")), F.concat(k % 5, F.lit(" main street")), k % 10 / 100)).alias("response"))
+    fuzzy = recs.select("row_id", F.when(k % 11 > 0, _hits(_hit(F.when(k % 2 == 0, F.concat(F.lit("ACME "), k % 7, F.lit(" tools"))).otherwise("Street"), F.lit("9 Far Road"), F.lit(50.0)))).alias("response"), F.when(k % 11 == 0, "down").alias("response_error"))
+    v = lambda n: F.col(f"verification.{n}").alias(n)
+    return verification.verify(recs, by_name, by_address, fuzzy).select("row_id", v("company_verification_status"), v("verification_confidence"), v("matched_company_name"), v("matched_address"), v("occupant_at_address"), v("verification_method"), v("api_error"))
+
+
+def _chat(content: Column) -> Column:
+    return F.to_json(F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("message"))).alias("choices")))
+
+
+def q52(spark, d):
+    """Firmographics from recorded chat answers, some of them failed or no JSON."""
+    k = F.col("event_id")
+    content = F.when(k % 7 == 0, "none").otherwise(F.concat(F.lit('{"legal_name": "L'), k % 3, F.lit('", "website": "w'), k % 4, F.lit('.com", "confidence_notes": "n"}')))
+    status = F.element_at(F.array(*[F.lit(v) for v in ("VERIFIED", "LIKELY_MATCH", "ADDRESS_MISMATCH")]), (k % 3).cast("int") + 1)
+    df = _table(spark, d, "events").select(
+        k, status.alias("final_company_verification_status"), F.when(k % 4 > 0, F.concat(F.lit("Acme Tools "), k % 5)).otherwise("").alias("matched_company_name"), F.lit("1 Main").alias("matched_address"), F.lit("Clean Name").alias("cleaned_name"), F.lit("S").alias("SOURCE_NAME"), F.lit("V").alias("validated_address"),
+        F.when(k % 5 > 0, _chat(content)).alias("answer"), F.when(k % 10 == 0, "HTTP 500: no").alias("why"),
+    )
+    return verification.enrich(df, "answer", error="why").select("event_id", "legal_name", "website", "email_domain", "naics_code", "headquarters_address", "enriched_full_address", "enrichment_method", "enrichment_notes")
+
+
+def q53(spark, d):
+    """Web answers as evidence of records that have none, asked once per question and within a budget."""
+    k = F.col("row_id")
+    df = _table(spark, d, "customer").select(F.col("c_custkey").alias("row_id"), F.concat(F.lit("Shop "), F.col("c_custkey") % 40).alias("cleaned_name"), F.lit("S").alias("SOURCE_NAME"), F.lit("1 A St").alias("validated_address"), F.lit("").alias("api_address"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("SHOP "), F.col("c_custkey") % 40)).otherwise(F.lit("Other")).alias("matched_company_name"))
+    df = verification.no_evidence(df).withColumn(verification.EVIDENCE[0], k % 5 == 0)
+    hit = lambda n: F.struct(F.lit(f"name {n}").alias("name"), F.concat(F.lit("about "), F.length("query")).alias("snippet"), F.lit("" if n == 0 else f"http://u/{n}").alias("url"))
+    answer = lambda r: r.select("request_key", F.when(F.length("query") % 3 > 0, F.to_json(F.struct(F.struct(F.array(*[hit(n) for n in range(4)]).alias("value")).alias("webPages")))).otherwise("{}").alias("response"), F.lit(None).cast("string").alias("error"))
+    return verification.search_evidence(df, answer, budget=30).select("row_id", *verification.EVIDENCE)
+
+
+def q54(spark, d):
+    """The funnel whose success leaves partial validations out, and the limit that comes before the filter."""
+    df = validated(spark, d)
+    few = df.orderBy("row_id").limit(100).filter(F.col("validation_status").isin(t.USABLE))
+    return reports.funnel(df, with_partial=False).join(few.agg(F.count(F.lit(1)).alias("usable_of_first_100")))
+
+
 def q41(spark, d):
     return reports.action_counts(first(spark, d), "normalization_actions")
 
@@ -302,4 +413,6 @@ QUERIES = {
     "q25_tier_completeness_breakdown": q25, "q26_failure_reasons": q26, "q27_token_jaccard": q27, "q28_candidate_argmax": q28, "q29_status_ladder": q29, "q30_evidence_lookup": q30, "q31_sim_verify": q31,
     "q32_adjudicate_replay": q32, "q33_enrich_det": q33, "q34_routing": q34, "q35_field_coverage": q35, "q36_confidence_mean": q36, "q37_top_problem_rows": q37, "q38_sample10": q38, "q39_funnel": q39,
     "q40_answer_parse_replay": q40, "q41_action_explode_norm": q41, "q42_subset_sinks": q42,
+    "q43_service_replay": q43, "q44_modified": q44, "q45_counts_of_missing": q45, "q46_success_summary": q46, "q47_distinct_values": q47, "q48_truthy_text": q48, "q49_run_counters": q49, "q50_candidate_parse": q50,
+    "q51_search_cascade": q51, "q52_enrich_replay": q52, "q53_web_evidence": q53, "q54_funnel_exact": q54,
 }

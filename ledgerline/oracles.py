@@ -150,13 +150,31 @@ CYRILLIC = "[\\x{0400}-\\x{04ff}]"
 ARABIC = "[\\x{0600}-\\x{06ff}]"
 
 
-def language(chain: Chain) -> Chain:
+LANGUAGE_WORDS = {
+    "de": "der die und das ist nicht mit von den für auf ein eine im dem des sich auch als es an werden aus",
+    "en": "the of and to in is that for it with as was on be at by this are from or an not have which you",
+    "es": "el la los de y que en un una es por con para las se del al lo como más su no mi ha",
+    "fr": "le la les de et des un une est que dans pour qui sur pas du avec au par plus ce en sont il elle",
+}
+
+
+def guess(c: str) -> dict[str, str]:
+    """Words and counts by language for ``GUESSED``."""
+    one = lambda lang: f"len(list_filter(w, lambda x: x IN ({', '.join(q(v) for v in LANGUAGE_WORDS[lang].split())})))"
+    return {"w": rf"regexp_extract_all(lower({c}), '\p{{L}}+')"}, {f"g_{k}": one(k) for k in LANGUAGE_WORDS}
+
+
+GUESSED = "CASE WHEN greatest(g_de, g_en, g_es, g_fr) = 0 THEN NULL WHEN g_de = greatest(g_de, g_en, g_es, g_fr) THEN 'de' WHEN g_en = greatest(g_de, g_en, g_es, g_fr) THEN 'en' WHEN g_es = greatest(g_de, g_en, g_es, g_fr) THEN 'es' ELSE 'fr' END"
+
+
+def language(chain: Chain, by_words: bool = True) -> Chain:
     both = strip("cleaned_name || ' ' || parsed_street")
-    c = chain.add(hay0=both)
+    words, scores = guess("hay0")
+    c = chain.add(hay0=both).add(**words).add(**scores).add(by_words=f"CASE WHEN {str(by_words).lower()} AND length(hay0) > 10 THEN {GUESSED} END")
     has = lambda p: f"regexp_matches(hay0, {q(p)})"
     return c.add(
-        detected_lang=f"CASE WHEN {has(CJK)} THEN 'zh' WHEN {has(CYRILLIC)} THEN 'ru' WHEN {has(ARABIC)} THEN 'ar' ELSE coalesce({sql_map(t.COUNTRY_LANGUAGE, 'upper(parsed_country)')}, 'unknown') END",
-        lang_method=f"CASE WHEN {has(CJK)} THEN 'script_cjk' WHEN {has(CYRILLIC)} THEN 'script_cyrillic' WHEN {has(ARABIC)} THEN 'script_arabic' ELSE 'country_fallback' END",
+        detected_lang=f"CASE WHEN {has(CJK)} THEN 'zh' WHEN {has(CYRILLIC)} THEN 'ru' WHEN {has(ARABIC)} THEN 'ar' ELSE coalesce(by_words, {sql_map(t.COUNTRY_LANGUAGE, 'upper(parsed_country)')}, 'unknown') END",
+        lang_method=f"CASE WHEN {has(CJK)} THEN 'script_cjk' WHEN {has(CYRILLIC)} THEN 'script_cyrillic' WHEN {has(ARABIC)} THEN 'script_arabic' WHEN by_words IS NOT NULL THEN 'function_words' ELSE 'country_fallback' END",
     )
 
 
@@ -379,7 +397,7 @@ def rates(column: str) -> str:
 SCORED = """
 WITH s AS (SELECT s_suppkey, s_nationkey, 'Acme ' || (s_suppkey % 7) || ' Tools Inc' AS company_name, (s_suppkey % 5) || ' Main Street' AS address, (s_suppkey % 10) / 100 AS latitude FROM supplier),
 c AS (SELECT c_nationkey, c_custkey AS ord, 'ACME ' || (c_custkey % 7) || CASE WHEN c_custkey % 3 = 0 THEN ' Tools GmbH' ELSE ' Paints Ltd' END AS c_name, (c_custkey % 5) || CASE WHEN c_custkey % 2 = 0 THEN ' main street' ELSE ' high street' END AS c_address, (c_custkey % 10) / 100 AS c_latitude, (c_custkey % 13) / 10 AS c_score FROM customer),
-p AS (SELECT *, SIM1 AS n, SIM2 AS a, CASE WHEN abs(latitude - c_latitude) <= 0.001 THEN 1.0 WHEN abs(latitude - c_latitude) <= 0.01 THEN 0.75 WHEN abs(latitude - c_latitude) <= 0.05 THEN 0.45 ELSE 0.10 END::DOUBLE AS d, least(c_score, 1.0) AS g FROM s JOIN c ON s_nationkey = c_nationkey AND ord % 100 = s_suppkey % 100),
+p AS (SELECT *, SIM1 AS n, SIM2 AS a, CASE WHEN abs(latitude - c_latitude) <= 0.001 THEN 1.0 WHEN abs(latitude - c_latitude) <= 0.01 THEN 0.75 WHEN abs(latitude - c_latitude) <= 0.05 THEN 0.45 ELSE 0.10 END::DOUBLE AS d, least(c_score, 1.0) AS g FROM s JOIN c ON s_nationkey = c_nationkey),
 z AS (SELECT *, round(n, 3) AS name_score, round(a, 3) AS address_score, round(d, 3) AS distance_score, round(0.45::DOUBLE * n + 0.30::DOUBLE * a + 0.20::DOUBLE * d + 0.05::DOUBLE * g, 3) AS confidence FROM p),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY confidence DESC, ord) AS rn FROM z) WHERE rn = 1)
 """.replace("SIM1", f"({similarity('company_name', 'c_name')})::DOUBLE").replace("SIM2", f"({similarity('address', 'c_address')})::DOUBLE")
@@ -410,16 +428,146 @@ a AS (SELECT event_id, CASE WHEN ran THEN dec ELSE 'NOT_RUN' END AS ai_adjudicat
   CASE WHEN NOT ran THEN round(det, 3) WHEN prom THEN round(0.45::DOUBLE * det + 0.55::DOUBLE * ai, 3) WHEN dec IN ('ADDRESS_MISMATCH', 'CORRECT_ADDRESS_CANDIDATE', 'UNVERIFIED') THEN greatest(det, ai) ELSE det END::DOUBLE AS overall_confidence_score FROM r)
 """
 
-LANGUAGE_WORDS = {
-    "de": "der die und das ist nicht mit von den für auf ein eine im dem des sich auch als es an werden aus",
-    "en": "the of and to in is that for it with as was on be at by this are from or an not have which you",
-    "es": "el la los de y que en un una es por con para las se del al lo como más su no mi ha",
-    "fr": "le la les de et des un une est que dans pour qui sur pas du avec au par plus ce en sont il elle",
-}
-_count = lambda lang: "len(list_filter(w, lambda x: x IN (" + ", ".join(q(v) for v in LANGUAGE_WORDS[lang].split()) + ")))"
-GUESS = rf"""
-WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '\p{{L}}+') AS w FROM documents), s AS (SELECT doc_id, {", ".join(f"{_count(k)} AS {k}" for k in LANGUAGE_WORDS)} FROM d)
-SELECT doc_id, CASE WHEN greatest(de, en, es, fr) = 0 THEN NULL WHEN de = greatest(de, en, es, fr) THEN 'de' WHEN en = greatest(de, en, es, fr) THEN 'en' WHEN es = greatest(de, en, es, fr) THEN 'es' ELSE 'fr' END AS guess FROM s
+_words, _scores = guess("coalesce(text, '')")
+GUESS = f"WITH d AS (SELECT doc_id, {_words['w']} AS w FROM documents), s AS (SELECT doc_id, {', '.join(f'{v} AS {k}' for k, v in _scores.items())} FROM d) SELECT doc_id, {GUESSED} AS guess FROM s"
+
+def label(c: str) -> str:
+    return f"regexp_replace(lower({c}), '[^a-z0-9]', '', 'g')"
+
+
+def canonical(c: str) -> str:
+    c = f"lower({c})"
+    for pattern, word in t.ADDRESS_WORDS:
+        c = f"regexp_replace({c}, {q(pattern)}, {q(word)}, 'g')"
+    return strip(f"regexp_replace(regexp_replace({c}, {q(t.COUNTRY_WORDS)}, ' ', 'g'), '[^a-z0-9]+', ' ', 'g')")
+
+
+def answered(chain: Chain, a: str, p: str, found: str, score: str, kind: str, match: str, text: str, parts: dict[str, str]) -> Chain:
+    """A geocoder's answer to ``a`` as ``<p>status``, ``<p>gran``, ``<p>text``, ``<p>notes``, ``<p>inferred``, ``<p>replaced``, ``<p>loose``."""
+    c = chain.add(**{f"{p}found": found, f"{p}s": f"({score})::DOUBLE", f"{p}kind": label(kind), f"{p}match": label(match), f"{p}raw": text, **{f"{p}{k}": f"({v}) <> ''" for k, v in parts.items()}})
+    best = f"coalesce(nullif({p}match, ''), nullif({p}kind, ''), '')"
+    c = c.add(**{
+        f"{p}g": f"CASE WHEN {best} = 'pointaddress' THEN 'PREMISE' WHEN {best} = 'addressrange' THEN CASE WHEN {p}street_number THEN 'PREMISE' ELSE 'ROUTE' END WHEN {best} IN ('address', 'streetaddress') AND {p}street_number THEN 'PREMISE' WHEN {best} IN ('street', 'streetname') THEN 'ROUTE' WHEN {best} IN ({', '.join(q(v) for v in t.LOCALITIES)}) THEN 'LOCALITY' ELSE 'OTHER' END",
+        f"{p}x": canonical(f"{p}raw"), f"{p}y": canonical(f"coalesce({a}, '')"),
+    })
+    c = c.add(**{f"{p}inf": f"{p}s >= 0.80 AND NOT ({p}x <> '' AND {p}y <> '' AND (contains({p}x, {p}y) OR contains({p}y, {p}x)))"})
+    head = strip(f"split_part({a}, ',', 1)")
+    concrete = rf"(NOT regexp_matches({a}, '(?i){t.PLACEHOLDERS}') AND (regexp_matches({head}, '\d') OR regexp_matches({head}, '(?i)^\s*({t.NUMBER_WORDS})\b')))"
+    s, g = f"{p}s", f"{p}g"
+    status = f"CASE WHEN NOT {p}found THEN 'FAILED' WHEN {s} >= 0.80 AND {g} = 'PREMISE' THEN CASE WHEN {p}inf THEN 'CORRECTED' ELSE 'VALIDATED' END WHEN {s} >= 0.70 AND {g} = 'PREMISE' THEN 'PARTIAL_VALIDATED' WHEN {s} >= 0.90 AND {g} = 'ROUTE' AND {p}street_name THEN 'PARTIAL_VALIDATED' WHEN {s} >= 0.85 AND {g} = 'ROUTE' AND {p}street_name AND {concrete} THEN 'PARTIAL_VALIDATED' WHEN {s} >= 0.60 AND {g} IN ('ROUTE', 'LOCALITY') THEN 'PARTIAL_MATCH' ELSE 'FAILED' END"
+    items = [f"CASE WHEN NOT {p}{k} THEN '{k}: unconfirmed' END" for k in parts] + [f"'azure_score: ' || printf('%.3f', {s})", f"CASE WHEN {p}kind <> '' THEN 'azure_type: ' || {p}kind END", f"CASE WHEN {p}match <> '' THEN 'match_type: ' || {p}match END"]
+    return c.add(**{
+        f"{p}status": status, f"{p}gran": f"CASE WHEN {p}found THEN {g} ELSE 'NONE' END", f"{p}text": f"CASE WHEN {p}found THEN {p}raw ELSE '' END", f"{p}notes": f"CASE WHEN {p}found THEN list_filter([{', '.join(items)}], lambda x: x IS NOT NULL) ELSE ['address: no Azure Maps match'] END",
+        f"{p}inferred": f"{p}found AND {p}inf", f"{p}replaced": f"{p}found AND {p}inf AND {p}match IN ('pointaddress', 'addressrange')", f"{p}loose": f"NOT {p}found OR {s} < 0.80 OR {g} IN ('LOCALITY', 'NONE', 'OTHER')",
+    })
+
+
+RECORDED = answered(
+    PARSED.add(a="array_to_string([parsed_street, parsed_city, parsed_country], ', ')"), "a", "r_", "row_id % 17 > 0", "0.5::DOUBLE + row_id % 51 / 100", pick(["Point Address", "Street", "Geography", "Other"], "row_id"), pick(["PointAddress", "AddressRange", "", "Street", "Municipality"], "row_id // 2"),
+    "CASE WHEN row_id % 3 = 0 THEN a ELSE '1 High Street, ' || parsed_city END", {"street_number": "CASE WHEN row_id % 2 = 0 THEN '12' ELSE '' END", "street_name": "CASE WHEN row_id % 5 > 0 THEN 'Main' ELSE '' END", "municipality": "parsed_city", "country_subdivision": "''", "postal_code": "'1'", "country": "'US'"},
+)
+
+
+def by_service(chain: Chain, a: str, p: str) -> Chain:
+    """The service of ``q43``: its answer to ``a`` follows from the address; ``<p>err`` says that it failed."""
+    k = f"{p}k"
+    c = chain.add(**{k: f"('0x' || substr(md5({squeeze(strip(f'lower({a})'), 1)}), 1, 8))::BIGINT"})
+    c = c.add(**{f"{p}err": f"CASE WHEN {a} IS NOT NULL AND {k} % 13 = 0 THEN 'Request timeout ' || ({k} % 3) END"})
+    return answered(
+        c, a, p, f"coalesce({k} % 13 > 0 AND {k} % 17 > 0, false)", f"0.5::DOUBLE + {k} % 51 / 100", pick(["Point Address", "Street", "Geography"], f"({k} // 7)"), pick(["PointAddress", "AddressRange", "", "Street"], f"({k} // 3)"),
+        f"CASE WHEN {k} % 3 = 0 THEN {p}sent ELSE '1 High Street, Paris' END", {"street_number": f"CASE WHEN {k} % 2 = 0 THEN '12' ELSE '' END", "street_name": f"CASE WHEN {k} % 5 > 0 THEN 'Main' ELSE '' END", "municipality": "''", "country_subdivision": "''", "postal_code": "'1'", "country": "'US'"},
+    )
+
+
+def asked(chain: Chain, a: str, p: str) -> Chain:
+    """Equal addresses are sent once, in the spelling of the first record."""
+    same = f"{squeeze(strip(f'lower({a})'), 1)}, upper(suggested_country)"
+    return by_service(chain.add(**{f"{p}sent": f"CASE WHEN {a} IS NOT NULL THEN first_value({a}) OVER (PARTITION BY {same}, {a} IS NULL ORDER BY row_id) END"}), a, p)
+
+
+def live() -> Chain:
+    skip = f"({strip('api_address')} = '' OR completeness_class = 'EMPTY')"
+    c = asked(SECOND.add(ask=f"CASE WHEN NOT {skip} THEN api_address END"), "ask", "r_")
+    c = c.add(open0="r_status NOT IN ('VALIDATED', 'CORRECTED', 'PARTIAL_VALIDATED') AND r_err IS NULL")
+    blames = lambda w: f"(len(list_filter(r_notes, lambda x: contains(x, '{w}'))) > 0)"
+    pieces = parts_of("api_address")
+    short = rf"({blames('postal')} AND (regexp_matches({pieces}[-1], '^[\d\s-]{{3,10}}$') OR regexp_matches({pieces}[-1], '^[A-Z0-9\s]{{3,10}}$')))"
+    kept = f"CASE WHEN {short} THEN array_to_string(list_slice({pieces}, 1, len({pieces}) - 1), ', ') ELSE api_address END"
+    weak = f"({blames('street_number')} AND (NOT r_found OR round(r_s, 3) < 0.75))"
+    fixed = rf"CASE WHEN {weak} THEN regexp_replace({kept}, '^\d+[-/]?\d*\s*', '') ELSE {kept} END"
+    plain = rf"regexp_replace(regexp_replace(regexp_replace(api_address, '(?i),?\s*({t.UNIT_WORDS})\.?\s*\S*', '', 'g'), '\s*\([^)]*\)', '', 'g'), '\s*No\.?\s*\d+', '', 'g')"
+    plain = strip(f"regexp_replace({strip(plain)}, ',+$', '')")
+    wide = f"CASE WHEN len({pieces}) >= 3 THEN array_to_string(list_slice({pieces}, len({pieces}) - 2, len({pieces})), ', ') END"
+    c = c.add(**{f"try{i}": f"nullif(nullif({e}, api_address), '')" for i, e in enumerate((fixed, plain, wide))})
+    good = "('VALIDATED', 'CORRECTED', 'PARTIAL_VALIDATED')"
+    for i in range(3):
+        c = c.add(**{f"ask{i}": f"CASE WHEN open{i} AND {strip(f'coalesce(try{i}, {q(str())})')} <> '' THEN try{i} END"})
+        c = asked(c, f"ask{i}", f"t{i}_")
+        c = c.add(**{f"open{i + 1}": f"open{i} AND coalesce(t{i}_status NOT IN {good}, true)"})
+    won = [f"(ask{i} IS NOT NULL AND t{i}_status IN {good})" for i in range(3)]
+    made = [f"(try{i} IS NOT NULL)::INT" for i in range(3)]
+    pick_ = lambda f, other: "CASE " + " ".join(f"WHEN {won[i]} THEN {f(i)}" for i in range(3)) + f" ELSE {other} END"
+    c = c.add(
+        k_status=pick_(lambda i: f"t{i}_status", "'FAILED'"), k_strategy=pick_(lambda i: ["'component_fix'", "'simplify_address'", "'broaden_search'"][i], "NULL"), k_attempts=pick_(lambda i: "(" + " + ".join(made[: i + 1]) + ")", "(" + " + ".join(made) + ")"),
+        k_text=pick_(lambda i: f"t{i}_text", "NULL"), k_gran=pick_(lambda i: f"t{i}_gran", "NULL"),
+        b=f"CASE WHEN {skip} THEN 'skip' WHEN r_err IS NOT NULL THEN 'error' WHEN r_status IN {good} THEN 'direct' ELSE 'try' END",
+    )
+    c = c.add(b2="CASE WHEN b <> 'try' THEN b WHEN k_status IN ('CORRECTED', 'PARTIAL_VALIDATED') THEN 'fixed' ELSE 'failed' END")
+    has = lambda w: f"len(list_filter(r_notes, lambda x: contains(x, '{w}'))) > 0"
+    r = t.FAILURE_REASONS
+    said = rf"array_to_string(list_filter([CASE WHEN NOT regexp_matches(api_address, '\d') THEN {q(r['digit'])} END, CASE WHEN length({strip('api_address')}) < 10 THEN {q(r['short'])} END, CASE WHEN {has('unrecognized')} THEN {q(r['unrecognized'])} END, CASE WHEN {has('insufficient')} THEN {q(r['insufficient'])} END], lambda x: x IS NOT NULL), '; ')"
+    return c.add(
+        validation_status="CASE b2 WHEN 'skip' THEN 'SKIPPED' WHEN 'error' THEN 'API_ERROR' WHEN 'direct' THEN r_status WHEN 'fixed' THEN k_status ELSE 'FAILED' END", validated_address="CASE b2 WHEN 'direct' THEN r_text WHEN 'fixed' THEN k_text END",
+        correction_status="CASE b2 WHEN 'direct' THEN CASE r_status WHEN 'CORRECTED' THEN 'API_CORRECTED' WHEN 'PARTIAL_VALIDATED' THEN 'API_PARTIAL' END WHEN 'fixed' THEN CASE k_status WHEN 'PARTIAL_VALIDATED' THEN 'ENGINE_PARTIAL' ELSE 'ENGINE_CORRECTED' END WHEN 'failed' THEN 'EXHAUSTED' END",
+        correction_strategy="CASE b2 WHEN 'direct' THEN CASE r_status WHEN 'CORRECTED' THEN 'api_auto' WHEN 'PARTIAL_VALIDATED' THEN 'api_partial' END WHEN 'fixed' THEN k_strategy END", correction_attempts="CASE b2 WHEN 'direct' THEN CASE WHEN r_status = 'CORRECTED' THEN 1 ELSE 0 END WHEN 'fixed' THEN k_attempts WHEN 'failed' THEN k_attempts END",
+        failure_reason=f"CASE b2 WHEN 'skip' THEN 'No usable address for API submission' WHEN 'error' THEN r_err WHEN 'failed' THEN CASE WHEN k_status = 'VALIDATED' THEN 'Unknown' ELSE coalesce(nullif({said}, ''), {q(r['none'])}) END END",
+        manual_review_flag="b2 IN ('skip', 'error', 'failed')", validation_granularity="CASE b2 WHEN 'direct' THEN r_gran WHEN 'failed' THEN r_gran WHEN 'fixed' THEN k_gran END",
+    )
+
+
+LIVE = live()
+
+
+def cascade() -> str:
+    """The searches of ``q51``: scores of the one hit of each."""
+    sim = lambda a, b: f"({similarity(a, b)})::DOUBLE"
+    first = Chain("SELECT s_suppkey AS k, 'Acme ' || (s_suppkey % 7) || ' Tools Inc' AS co, (s_suppkey % 5) || ' Main Street' AS ad, (s_suppkey % 10) / 100 AS lat FROM supplier").add(
+        n1="'ACME ' || (k % 3) || ' Tools GmbH'", a1="(k % 4) || ' main street'", l1="((k + k % 3) % 10) / 100", n2="'Other ' || (k % 3) || ' Shop'", a2="(k % 5) || ' main street'", l2="lat", n3="CASE WHEN k % 2 = 0 THEN 'ACME ' || (k % 7) || ' tools' ELSE 'Street' END"
+    )
+    for i in (1, 2):
+        first = first.add(**{f"s{i}": sim("co", f"n{i}"), f"t{i}": sim("ad", f"a{i}"), f"d{i}": f"CASE WHEN abs(lat - l{i}) <= 0.001 THEN 1.0 WHEN abs(lat - l{i}) <= 0.01 THEN 0.75 WHEN abs(lat - l{i}) <= 0.05 THEN 0.45 ELSE 0.10 END::DOUBLE"})
+        first = first.add(**{f"c{i}": f"round(0.45::DOUBLE * s{i} + 0.30::DOUBLE * t{i} + 0.20::DOUBLE * d{i} + 0.05::DOUBLE, 3)", f"s{i}r": f"round(s{i}, 3)", f"t{i}r": f"round(t{i}, 3)"})
+        first = first.add(**{f"v{i}": f"CASE WHEN s{i}r >= 0.70 AND t{i}r >= 0.60 AND d{i} >= 0.75 THEN 'VERIFIED' WHEN s{i}r >= 0.45 AND t{i}r >= 0.45 AND d{i} >= 0.45 AND c{i} >= 0.50 THEN 'LIKELY_MATCH' WHEN t{i}r >= 0.55 AND d{i} >= 0.75 THEN 'ADDRESS_MISMATCH' ELSE 'UNVERIFIED' END"})
+    first = first.add(s3=sim("co", "n3")).add(ok="k % 11 > 0 AND round(s3, 3) >= 0.45 AND n3 <> 'Street'", step="CASE WHEN v1 IN ('VERIFIED', 'LIKELY_MATCH') THEN 1 WHEN k % 3 > 0 AND v2 <> 'UNVERIFIED' THEN 2 ELSE 3 END")
+    return first.select(
+        "SELECT k AS row_id, CASE step WHEN 1 THEN v1 WHEN 2 THEN v2 ELSE CASE WHEN ok THEN 'CORRECT_ADDRESS_CANDIDATE' ELSE 'UNVERIFIED' END END AS company_verification_status, CASE step WHEN 1 THEN c1 WHEN 2 THEN c2 ELSE CASE WHEN ok THEN round(0.85::DOUBLE * s3 + 0.15::DOUBLE, 3) ELSE 0.0::DOUBLE END END AS verification_confidence, "
+        "CASE step WHEN 1 THEN n1 WHEN 2 THEN n2 ELSE CASE WHEN ok THEN n3 ELSE '' END END AS matched_company_name, CASE step WHEN 1 THEN a1 WHEN 2 THEN a2 ELSE CASE WHEN ok THEN '9 Far Road' ELSE '' END END AS matched_address, CASE step WHEN 1 THEN n1 WHEN 2 THEN n2 ELSE '' END AS occupant_at_address, "
+        "(['azure_poi_name_near_address', 'azure_poi_address_occupant', 'azure_fuzzy_company_lookup'])[step] AS verification_method, CASE WHEN step = 3 AND k % 11 = 0 THEN 'down' END AS api_error FROM {in}"
+    )
+
+
+PARSED_CANDIDATES = """
+WITH c AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 9 > 0),
+h AS (SELECT k AS row_id, 0 AS ord, CASE WHEN k % 4 > 0 THEN 'ACME  ' || (k % 7) WHEN k % 8 > 0 THEN 'POI' ELSE '' END AS name, (k % 5) || ' main street' AS address, ((k % 10) / 100)::DOUBLE AS latitude, ((k % 11) / 10)::DOUBLE AS score, (['', 'shop', 'shop, office'])[k % 3 + 1] AS category FROM c
+  UNION ALL SELECT k, 1, 'Second', '', NULL, 0.0, '' FROM c WHERE k % 2 = 0)
+SELECT *, left(trim(regexp_replace(name || ' ' || address || ' ' || repeat('y ', 90), '\\s+', ' ', 'g')), 180) AS question FROM h
+""".replace("\\\\", "\\")
+
+ENRICHED = """
+WITH e AS (SELECT event_id, event_id AS k, event_id % 3 < 2 AS trusted, event_id % 5 > 0 AS said, event_id % 7 > 0 AS json, event_id % 10 = 0 AS failed FROM events),
+b AS (SELECT *, CASE WHEN trusted AND k % 4 > 0 THEN 'Acme Tools ' || (k % 5) ELSE 'Clean Name' END AS name, CASE WHEN trusted THEN '1 Main' ELSE 'V' END AS address, trusted AND said AND json AS good, trusted AND said AND NOT json AS bad FROM e)
+SELECT event_id, CASE WHEN good THEN 'L' || (k % 3) ELSE name END AS legal_name, CASE WHEN good THEN 'w' || (k % 4) || '.com' ELSE '' END AS website, CASE WHEN good OR NOT trusted THEN '' WHEN k % 4 > 0 THEN 'acmetools' || (k % 5) || '.com' ELSE 'cleanname.com' END AS email_domain, '' AS naics_code,
+  CASE WHEN good THEN '' ELSE address END AS headquarters_address, address AS enriched_full_address, CASE WHEN good THEN 'openai_assisted' ELSE 'deterministic_fallback' END AS enrichment_method,
+  CASE WHEN trusted AND failed THEN 'OpenAI enrichment failed: HTTP 500: no' WHEN good THEN 'n' WHEN bad THEN 'OpenAI enrichment returned non-JSON content' WHEN trusted THEN 'Deterministic enrichment from verified company/address match.' ELSE 'Verification unresolved; firmographic enrichment held for manual review.' END AS enrichment_notes
+FROM b
+"""
+
+WEB = """
+WITH c AS (SELECT c_custkey AS row_id, 'Shop ' || (c_custkey % 40) AS name, c_custkey % 5 = 0 AS has, 'Shop ' || (c_custkey % 40) || ' 1 A St' || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE ' Other' END AS question FROM customer),
+asked AS (SELECT question, min(row_id) AS o FROM c WHERE NOT has GROUP BY 1 ORDER BY o LIMIT 30),
+j AS (SELECT c.*, a.question IS NOT NULL AND length(c.question) % 3 > 0 AS hit, a.question IS NOT NULL AS sent FROM c LEFT JOIN asked a ON a.question = c.question AND NOT c.has)
+SELECT row_id, has OR hit AS external_evidence_available, CASE WHEN hit THEN 'bing_web_search' ELSE '' END AS external_evidence_source, CASE WHEN hit THEN 'http://u/1' ELSE '' END AS external_evidence_url,
+  CASE WHEN hit THEN 'name 0: about ' || length(question) || ' | name 1: about ' || length(question) || ' | name 2: about ' || length(question) ELSE '' END AS external_evidence_text FROM j
 """
 
 _LANGS = ["en", "es", "de", "it", "pt", "fr", "zh"]
@@ -437,7 +585,7 @@ ORACLES: dict[str, str] = {
     "q05_encoding_repair": PARSED.select(f"SELECT row_id, {repaired('FULL_ADDRESS', MOJIBAKE)} AS FULL_ADDRESS, {repaired('parsed_street', MOJIBAKE)} AS parsed_street, contains(FULL_ADDRESS, 'CafÃ©') AS flag_encoding_repaired FROM {{in}}"),
     "q06_addr_normalize": addresses(PARSED).select("SELECT row_id, norm_street, norm_city, norm_state, norm_country, norm_postal, array_to_string(normalization_actions, '|') AS normalization_actions FROM {in}"),
     "q07_country_infer": PARSED.select(f"SELECT row_id, {gu(*_args, False, CODES, 'upper(parsed_country)')} AS country, {gu(*_args, False, REASONS, 'NULL')} AS reason FROM {{in}}"),
-    "q08_lang_script": language(names(PARSED)).select("SELECT row_id, detected_lang, lang_method FROM {in}"),
+    "q08_lang_script": language(names(PARSED), False).select("SELECT row_id, detected_lang, lang_method FROM {in}"),
     "q09_lang_scorer": GUESS,
     "q10_quality_flags": FIRST.select(f"SELECT row_id, {FLAGS}, api_ready, needs_translation_1 AS needs_translation, quality_tier FROM {{in}}"),
     "q11_garble_ratio": f"SELECT doc_id, round({GARBLE.replace('{c}', 'text')}, 6) AS ratio, {GARBLE.replace('{c}', 'text')} > 0.1 AS garbled FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)",
@@ -459,7 +607,7 @@ ORACLES: dict[str, str] = {
     "q24_country_breakdown": VALIDATED.select(f"SELECT norm_country, count(*) AS total, {OF('VALIDATED')} AS validated, {OF('CORRECTED')} AS corrected, {OF('PARTIAL_VALIDATED')} AS partial_validated, {OF('FAILED')} AS failed, {RATE.replace('{n}', EXACT)} AS exact_success_rate, {RATE.replace('{n}', USE)} AS usable_success_rate FROM {{in}} GROUP BY 1"),
     "q25_tier_completeness_breakdown": VALIDATED.select(rates("quality_tier") + " UNION ALL " + rates("completeness_class")),
     "q26_failure_reasons": counts(VALIDATED, "failure_reason", "failure_reason", "validation_status = 'FAILED'"),
-    "q27_token_jaccard": f"SELECT a.p_partkey, b.p_partkey AS other_key, round({similarity('a.p_name', 'b.p_name')}, 6)::DOUBLE AS similarity FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey",
+    "q27_token_jaccard": f"SELECT a.p_brand, a.p_name, b.p_name AS other_name, count(*) AS n_pairs, round(any_value({similarity('a.p_name', 'b.p_name')}), 6)::DOUBLE AS similarity FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_name < b.p_name GROUP BY ALL HAVING similarity > 0",
     "q28_candidate_argmax": SCORED + "SELECT s_suppkey, c_name, c_address, ord, name_score, address_score, distance_score, confidence FROM best",
     "q29_status_ladder": SCORED + f"SELECT s_suppkey, CASE WHEN {normal('c_name')} IN ({GENERIC}) OR length({normal('c_name')}) <= 2 THEN 'UNVERIFIED' WHEN name_score >= 0.70 AND address_score >= 0.60 AND distance_score >= 0.75 THEN 'VERIFIED' WHEN name_score >= 0.45 AND address_score >= 0.45 AND distance_score >= 0.45 AND confidence >= 0.50 THEN 'LIKELY_MATCH' WHEN address_score >= 0.55 AND distance_score >= 0.75 THEN 'ADDRESS_MISMATCH' ELSE 'UNVERIFIED' END AS status FROM best",
     "q30_evidence_lookup": EVIDENCE,
@@ -472,10 +620,23 @@ ORACLES: dict[str, str] = {
     "q37_top_problem_rows": FIRST.select("SELECT row_id, MDM_KEY, SOURCE_NAME, cleaned_name, norm_street, quality_tier FROM {in} WHERE quality_tier IN ('CRITICAL', 'INCOMPLETE') ORDER BY row_id LIMIT 10"),
     "q38_sample10": "SELECT c_custkey, c_name FROM (SELECT *, row_number() OVER (ORDER BY md5(c_custkey::VARCHAR), c_custkey) AS rn, count(*) OVER () AS n FROM customer) WHERE rn <= floor(n * 0.1)",
     "q39_funnel": VALIDATED.select(f"SELECT count(*) AS total, {OF('VALIDATED')} AS validated, {OF('CORRECTED')} AS corrected, {OF('PARTIAL_VALIDATED')} AS partial_validated, {OF('FAILED')} AS failed, {OF('SKIPPED')} AS skipped, {USE} AS success, count(*) FILTER (manual_review_flag) AS manual_review FROM {{in}}"),
+    "q40_answer_parse_replay": RECORDED.select("SELECT row_id, r_status AS validation_status, r_gran AS validation_granularity, r_text AS formatted_address, r_loose AS has_unconfirmed, r_inferred AS has_inferred, r_replaced AS has_replaced, array_to_string(r_notes, '|') AS diagnostics FROM {in}"),
     "q41_action_explode_norm": unnested(FIRST, "normalization_actions"),
     "q42_subset_sinks": THIRD.select(
         "SELECT 'api_ready' AS subset, count(*) FILTER (api_ready) AS n FROM F UNION ALL SELECT 'critical', count(*) FILTER (quality_tier = 'CRITICAL') FROM F UNION ALL SELECT 'coded_names', count(*) FILTER (flag_name_has_codes) FROM F UNION ALL "
         f"SELECT 'usable', {USE} FROM V UNION ALL SELECT 'manual_review', count(*) FILTER (manual_review_flag) FROM V UNION ALL SELECT 'attempted', count(correction_status) FROM V UNION ALL "
         "SELECT 'trusted', count(*) FILTER (v_status = 'LIKELY_MATCH') FROM {in} UNION ALL SELECT 'review', count(*) FILTER (review_routing LIKE 'REVIEW_%') FROM {in} UNION ALL SELECT 'deferred', count(*) FILTER (review_routing = 'DEFER_NO_EVIDENCE') FROM {in}".replace("F ", "F ")
     ).replace(" FROM F", f" FROM {FIRST.last}").replace(" FROM V", f" FROM {VALIDATED.last}"),
+    "q43_service_replay": LIVE.select("SELECT row_id, validation_status, validated_address, correction_status, correction_strategy, correction_attempts, failure_reason, manual_review_flag, validation_granularity FROM {in}"),
+    "q44_modified": FIRST.select(f"SELECT count(*) AS total, count(*) FILTER ({strip('SOURCE_NAME')} <> cleaned_name) AS names_modified, round(100 * count(*) FILTER ({strip('SOURCE_NAME')} <> cleaned_name) / greatest(count(*), 1), 1) AS names_pct, count(*) FILTER (len(normalization_actions) > 0) AS addresses_modified, round(100 * count(*) FILTER (len(normalization_actions) > 0) / greatest(count(*), 1), 1) AS addresses_pct FROM {{in}}"),
+    "q45_counts_of_missing": VALIDATED.select("SELECT 'drop' AS mode, correction_status AS value, count(*) AS n FROM {in} WHERE correction_status IS NOT NULL GROUP BY 2 UNION ALL SELECT 'keep', correction_status, count(*) FROM {in} GROUP BY 2 UNION ALL SELECT 'fill', coalesce(correction_status, 'N/A'), count(*) FROM {in} GROUP BY 2"),
+    "q46_success_summary": VALIDATED.select(f"SELECT {EXACT} AS exact_success, {RATE.replace('{n}', EXACT)} AS exact_success_rate, {USE} AS usable_success, {RATE.replace('{n}', USE)} AS usable_success_rate, {OF('PARTIAL_VALIDATED')} AS partial_validated FROM {{in}}"),
+    "q47_distinct_values": VALIDATED.select("SELECT DISTINCT correction_strategy FROM {in}"),
+    "q48_truthy_text": SECOND.select("SELECT 'needs_translation' AS column_name, count(*) FILTER (needs_translation) AS n FROM {in} UNION ALL SELECT 'api_ready', count(*) FILTER (api_ready) FROM {in}"),
+    "q49_run_counters": LIVE.select(f"SELECT count(*) AS total, {OF('VALIDATED')} AS validated, {OF('CORRECTED')} AS corrected, {OF('PARTIAL_VALIDATED')} AS partial, {OF('FAILED')} AS failed, {OF('API_ERROR')} AS errors, {OF('SKIPPED')} AS skipped, coalesce(sum(correction_attempts), 0)::BIGINT AS attempts, count(*) FILTER (correction_status IN ('ENGINE_CORRECTED', 'ENGINE_PARTIAL')) AS engine_successes FROM {{in}}"),
+    "q50_candidate_parse": PARSED_CANDIDATES,
+    "q51_search_cascade": cascade(),
+    "q52_enrich_replay": ENRICHED,
+    "q53_web_evidence": WEB,
+    "q54_funnel_exact": VALIDATED.select(f"SELECT count(*) AS total, {OF('VALIDATED')} AS validated, {OF('CORRECTED')} AS corrected, {OF('PARTIAL_VALIDATED')} AS partial_validated, {OF('FAILED')} AS failed, {OF('SKIPPED')} AS skipped, {EXACT} AS success, count(*) FILTER (manual_review_flag) AS manual_review, (SELECT count(*) FROM (SELECT * FROM {{in}} ORDER BY row_id LIMIT 100) WHERE validation_status IN ('VALIDATED', 'CORRECTED', 'PARTIAL_VALIDATED')) AS usable_of_first_100 FROM {{in}}"),
 }
