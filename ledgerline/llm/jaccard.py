@@ -38,7 +38,7 @@ PAIRS_PER_ENTRY = 4
 #: A column of more entries is long whatever they are; it passes through without being held.
 LONG = 8192
 #: Entries read before whole columns are worked on, and aimed at for a partition of them.
-HOLD = 400_000
+HOLD = 200_000
 PARTITION_ENTRIES = 1_000_000
 #: Sets, and bytes of sets, in a block of a long column; columns of a dense block.
 BLOCK = 512
@@ -47,7 +47,7 @@ COLUMNS = 4096
 #: Sets, and bytes of sets, of a cluster that is multiplied in one place; shingles of clusters worked on together.
 CLUSTER = 1024
 CLUSTER_BYTES = 32_000_000
-CHECK_ENTRIES = 1_000_000
+CHECK_ENTRIES = 500_000
 #: Ids of at most this many sets are broadcast (16 bytes each); more are joined.
 BROADCAST_IDS = 2_000_000
 
@@ -160,7 +160,7 @@ def _postings(docs: DataFrame, sketch, k: int, percent: int, hot_from: int) -> D
                     rows["rem"] = n - np.arange(p)
                     held.append(rows)
                     size += p
-                    if size > 500_000:
+                    if size > 250_000:
                         yield flush()
                         held, size = [], 0
         if held:

@@ -13,7 +13,7 @@ further than the chi-square cut-off is rejected.
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -22,15 +22,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import IS_SPACE, chunks, cut, drop_dir, mix, table, words
+from .common import IS_SPACE, chunks, cut, mix, table, words
 
 MIN_WORDS = 50
 #: A text fails when more than this share (in %) of its words lie in repeated three-word windows.
 MAX_REPEAT_PERCENT = 50
 SHARE = 0.75
 #: Steps end when no logarithm of a determinant falls by more than this, or after so many.
-SETTLED = 1e-3
+SETTLED = 0.01
 MOST_STEPS = 20
+#: Decimals of the logarithm of a distance by which rows are taken together.
+DECIMALS = 2
 #: Rows that the estimate of the wider group counts for.
 PRIOR = 50
 #: Least standard deviation of each transformed statistic: what chance alone gives in a text of about MIN_WORDS words and
@@ -246,30 +248,32 @@ def _begin(rows: DataFrame) -> DataFrame:
 def _step(rows: DataFrame, params: DataFrame) -> DataFrame:
     """One concentration step from every start: moments of every step of the distance, then of the nearest ones."""
     x = [F.col(v) for v in VECTOR]
-    far = rows.join(_small(params.select(*KEYS, "start", "rows", "mean", "inv")), KEYS).withColumn("d", F.round(F.log1p(F.greatest(_distance(x), F.lit(0.0))), 3))
+    far = rows.join(_small(params.select(*KEYS, "start", "rows", "mean", "inv")), KEYS).withColumn("d", F.round(F.log1p(F.greatest(_distance(x), F.lit(0.0))), DECIMALS))
     bins = far.groupBy(*KEYS, "start", "d").agg(F.first("rows").alias("rows"), F.count(F.lit(1)).alias("n"), F.array(*[F.sum(c) for c in x]).alias("sums"), F.array(*[F.sum(x[i] * x[j]) for i, j in _PAIRS]).alias("products"))
 
     def near(key, pdf: pd.DataFrame) -> pd.DataFrame:
         h, mean, cov = concentrated(pdf["d"].to_numpy(), pdf["n"].to_numpy(), np.stack(pdf["sums"]), np.stack(pdf["products"]))
         return _frame([_param(key[:3], int(key[3]), int(pdf["rows"].iloc[0]), h, mean, cov)])
 
-    # a group has as many bins as there are distances of three decimals, however many rows it has
-    return cut(bins.groupBy(*KEYS, "start").applyInPandas(near, _PARAMS))
+    # a group has as many bins as there are distances of so many decimals, however many rows it has
+    return bins.groupBy(*KEYS, "start").applyInPandas(near, _PARAMS)
 
 
 def fit(stats: DataFrame) -> DataFrame:
     """Estimates (k_lang, k_source, rows, mean, inv) of every language and source from rows (k_lang, k_source, vector) of
     texts that passed the base rules. Every count and moment is over all rows. An empty table gives an empty one."""
     rows = _levels(stats)
-    params = _begin(rows)
+    open_, settled = _begin(rows), []
     for _ in range(MOST_STEPS):
-        following = _step(rows, params)
-        before = params.select(*KEYS, "start", F.col("logdet").alias("before"))
-        falling = following.join(before, [*KEYS, "start"]).filter(F.col("before") - F.col("logdet") > SETTLED).limit(1).count()
-        drop_dir(stats.sparkSession, params)
-        params = following
-        if not falling:
+        # only starts that still fall go on
+        following = _step(rows, open_)
+        before = open_.select(*KEYS, "start", F.col("logdet").alias("before"))
+        judged = cut(following.join(before, [*KEYS, "start"]).withColumn("falls", F.col("before") - F.col("logdet") > SETTLED).drop("before"))
+        settled.append(judged.filter(~F.col("falls")).drop("falls"))
+        open_ = judged.filter("falls").drop("falls")
+        if not open_.limit(1).count():
             break
+    params = reduce(DataFrame.union, [*settled, open_])
     best = params.groupBy(*KEYS).agg(F.min_by(F.struct("rows", "n", "mean", "cov"), F.struct("logdet", "start")).alias("b")).select(*KEYS, "b.*")
     best = cut(best)
     top = best.filter("level = 2").first()  # one row

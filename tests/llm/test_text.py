@@ -96,7 +96,7 @@ def plain_estimate(x):
             corr = r / np.sqrt(np.outer(r.diagonal(), r.diagonal()))
         mean, cov, det = middle, corr * np.outer(scale, scale), np.inf
         for _ in range(60):
-            d = r3(np.log1p(np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)))
+            d = np.floor(np.log1p(np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)) * 10**quality.DECIMALS + 0.5)
             near = x[d <= np.sort(d)[int(np.ceil(quality.SHARE * len(x))) - 1]]
             mean, cov = near.mean(0), np.cov(near.T, bias=True) * quality._consistency() + np.diag(floor)
             now = np.linalg.slogdet(cov)[1]
