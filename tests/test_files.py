@@ -1,6 +1,9 @@
 """Whole runs over files, and the stream."""
 
 import json
+import os
+
+import pytest
 
 from ledgerline.plans import pipeline
 from ledgerline.sources import files, providers
@@ -68,3 +71,61 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     batch = streaming.validated_stream(spark.read.parquet(str(tmp_path / "in"))).select("row_id", "validation_status").collect()
     got = spark.read.parquet(str(tmp_path / "out")).select("row_id", "validation_status").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, batch))
+
+
+def test_exact_sample(spark):
+    from ledgerline.operators import reports
+
+    df = spark.range(997).selectExpr("id AS k", "id % 3 AS v")
+    import hashlib
+
+    want = sorted(range(997), key=lambda k: (hashlib.md5(str(k).encode()).hexdigest(), k))[:99]
+    out = reports.exact_sample(df, "k")
+    assert sorted(r["k"] for r in out.collect()) == sorted(want) and out.columns == ["k", "v"]
+    assert reports.exact_sample(df, "k", 1.0).count() == 997 and reports.exact_sample(df.limit(0), "k").count() == 0
+    same = spark.createDataFrame([(None, i) for i in range(20)] + [("a", i) for i in range(20)], "k string, v int")
+    assert reports.exact_sample(same, "k", 0.25).count() == 10
+
+
+def test_many_values_go_to_a_table(spark, monkeypatch):
+    from ledgerline.operators import reports
+
+    monkeypatch.setattr(reports, "MOST_VALUES", 3)
+    df = spark.createDataFrame([(f"c{i % 5}",) for i in range(20)], "parsed_country string")
+    assert reports._dict(reports.value_counts(df, "parsed_country"), "parsed_country") == {"table": "parsed_country"}
+    assert reports.count_tables(df)["parsed_country"].count() == 5
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from ledgerline.sources import store
+
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://x:7077"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        store.shared_dir(bare)
+    df = store.cut(spark.range(5))
+    folder = df.inputFiles()[0].rpartition("/")[0]
+    store.drop_dir(spark, df)
+    assert not os.path.exists(folder.removeprefix("file:").replace("//", "/"))
+
+
+def test_command_line(spark, sf_dir, tmp_path, capsys):
+    from ledgerline.__main__ import main
+
+    raw = str(tmp_path / "raw")
+    mdm_raw(spark, sf_dir).drop("row_id").limit(20).coalesce(1).write.option("header", True).option("escape", '"').csv(raw)
+    main(["run", raw, str(tmp_path / "out")])
+    main(["validate", str(tmp_path / "out")])
+    main(["verify", str(tmp_path / "out"), "--limit", "10"])
+    said = capsys.readouterr().out
+    assert "total: 20" in said and "10 records" not in said.split("total: 20")[0] and said.count("stage3_enriched") == 3
+
+
+def test_workbooks(spark, tmp_path):
+    pytest.importorskip("openpyxl")
+    df = spark.createDataFrame([("a", "007"), ("b", None)], "x string, y string")
+    files.write_excel(df, str(tmp_path / "t.xlsx"))
+    assert sorted(r["x"] for r in files.read_excel(spark, str(tmp_path / "t.xlsx")).collect()) == ["a", "b"]
+    with pytest.raises(ValueError):
+        files.write_excel(df, str(tmp_path / "u.xlsx"), limit=1)
