@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -26,6 +27,13 @@ def trim() -> None:
         pass
 
 
+def free(spark: SparkSession) -> None:
+    """Let the driver drop what nothing refers to any more, shuffle files of the executors with it."""
+    gc.collect()
+    trim()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Text handled at a time inside one Arrow batch, so that memory does not follow the row count of a batch.
 CHUNK_BYTES = 1_500_000
 

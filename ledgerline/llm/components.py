@@ -10,16 +10,18 @@ from .common import cut, drop_dir
 MAX_ROUNDS = 50
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, used: list) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    least = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
+    used.append(least)
     out = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return out.filter("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, used: list) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut(down.groupBy("u").agg(F.min("v").alias("m")))
+    used += [edges, least]
     others = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return others.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
@@ -33,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): for every node of ``edges`` (its first two columns) the least node it is connected with.
 
     Nulls, loops and repeated edges are ignored; no edges give an empty table. A node's neighbours are never gathered:
-    each round is a minimum per node and a join with it, whose skew Spark's adaptive execution can split.
+    each round is a minimum per node and a join with it. The minima are written first, so that the join is of two tables:
+    small ones are broadcast, and a node with very many edges is split by Spark's adaptive execution.
     """
     a, b = edges.columns[:2]
     now = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct())
@@ -41,9 +44,11 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not mark[0]:
             break
-        following = cut(_small_star(_large_star(now)))
+        used = [now]
+        following = cut(_small_star(cut(_large_star(now, used)), used))
         again = _mark(following)
-        drop_dir(now.sparkSession, now)
+        for table in used:
+            drop_dir(now.sparkSession, table)
         now, mark, before = following, again, mark
         if again == before:
             break

@@ -15,8 +15,6 @@ no column's pairs are written out, and none is dropped.
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -24,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, cut, drop_dir, mix, shingles, table, trim, words
+from .common import chunks, cut, drop_dir, free, mix, shingles, table, trim, words
 from .components import components
 
 WORDS = 5
@@ -474,6 +472,8 @@ def _still_apart(many: DataFrame, comps: DataFrame, sets: DataFrame, percent: in
     """Connections inside long columns between sets that are not yet one component, or None without such columns. The
     sets outside a column's largest component are compared with all of it, block by block; a block holds sets of one
     size band, as linked sets are of the same or of neighbouring ones. Ids are dealt, sets fetched once for each block."""
+    # a very long text has entries in very many columns
+    comps = F.broadcast(comps) if comps.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else comps
     apart = many.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     parts = apart.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
     main = parts.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("several")).filter("several > 1").select("key", "main")
@@ -493,12 +493,6 @@ def _still_apart(many: DataFrame, comps: DataFrame, sets: DataFrame, percent: in
     return x.union(y).join(sets, "node").groupBy("key", "band", "i", "j").applyInPandas(_across(percent), "a long, b long")
 
 
-def _free(spark: SparkSession) -> None:
-    """Let the driver's cleaner drop shuffle files that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def linked_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(meta, comps) of ``docs`` (doc_id, text): meta has (doc_id, n, node) of every row, comps (node, component) of
     the sets that link with another one. Rows with a null id take no part."""
@@ -518,7 +512,7 @@ def linked_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tupl
     # a column's entries lie together, but those of columns that may be very frequent are spread by set
     home = F.when(F.col("n") < 0, F.col("node")).otherwise(F.col("key"))
     found = cut(posted.repartition(deal, home).sortWithinPartitions("key", "node").mapInArrow(_columns(percent), "key long, a long, b long, n int, rem int"))
-    _free(spark)
+    free(spark)
     few = found.filter("key is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(False).alias("star"))
     many = cut(found.filter("key is not null").select("key", F.col("a").alias("node"), "n", "rem").distinct())
     # each long column against the set that comes first in it
@@ -543,12 +537,15 @@ def linked_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tupl
         sets = sets.dropDuplicates(["node"])  # an id that is repeated names several rows
     sets = cut(sets)
     edges = _connections(pairs, sets, percent)
+    free(spark)
     comps = components(edges)
     more = _still_apart(many, comps, sets, percent)
     if more is not None:
         comps = components(edges.union(cut(more)))
     for used in (found, many, pairs, ids, sets, edges):
         drop_dir(spark, used)
+    weights.destroy()
+    free(spark)
     return meta, comps
 
 

@@ -12,16 +12,14 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, crc_mod, cut, joined, map_columns, table
 
-#: Most texts of a language that fitting reads, those of least hashed id.
+#: About so many texts of a language are read by fitting, or all if there are fewer: those whose hashed id is least.
 SAMPLE_PER_LANGUAGE = 1000
 CENTROIDS = 3
-#: Parts of a language that are thinned out before it is.
-SALTS = 64
 #: Limits of at most so many languages are broadcast; more are joined.
 BROADCAST_LANGUAGES = 100_000
 BITS = 12
@@ -113,29 +111,20 @@ def _kmeans(v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, fold=None, per_language: int = SAMPLE_PER_LANGUAGE, k: int = CENTROIDS) -> Centroids:
-    """Centroids from ``docs`` (doc_id, text, lang): at most ``per_language`` texts of each language, by least hashed
-    id. Rows without id, language or letters teach nothing; without any, every prediction is ``und``. Every language is
+    """Centroids from ``docs`` (doc_id, text, lang): about ``per_language`` texts of each language, by least hashed
+    id, all if there are fewer. Rows without id, language or letters teach nothing; without any, every prediction is ``und``. Every language is
     learned: its centroids are made on the executors, and the driver gets those only."""
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     if fold is not None:
         known = known.filter(fold)
 
-    def least(frames):
-        held = None
-        for pdf in frames:
-            both = pdf if held is None else pd.concat([held, pdf])
-            held = both.drop_duplicates(["lang", "doc_id"]).sort_values(["h", "doc_id"]).groupby("lang").head(per_language)
-        if held is not None:
-            yield held
-
-    # each task names at most per_language ids of a language, and each of SALTS parts keeps as many, so that no language is
-    # gathered whole; what stays is the hash up to which a language's ids are taken
-    ids = known.filter(F.col("doc_id").isNotNull()).select("lang", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long")).alias("h")).mapInPandas(least, "lang string, doc_id long, h long").distinct()
-    for part in (["lang", F.pmod("doc_id", F.lit(SALTS))], ["lang"]):
-        ids = ids.withColumn("rn", F.row_number().over(Window.partitionBy(*part).orderBy("h"))).filter(F.col("rn") <= per_language).drop("rn")
-    limits = cut(ids.groupBy("lang").agg(F.max("h").alias("most")))
+    # ids are taken while their hash lies below a share that about per_language ids of the language have; counts are of
+    # distinct ids, so that a language of few ids that are often repeated is learned too
+    share = F.least(F.lit(1.0), per_language / F.approx_count_distinct("doc_id", 0.02))
+    limits = cut(known.filter(F.col("doc_id").isNotNull()).groupBy("lang").agg(share.alias("share")))
     few = limits.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
-    rows = known.join(F.broadcast(limits) if few else limits, "lang").filter(F.xxhash64(F.col("doc_id").cast("long")) <= F.col("most")).select("doc_id", "text", "lang")
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 31)) / (1 << 31)
+    rows = known.join(F.broadcast(limits) if few else limits, "lang").filter(place < F.col("share")).select("doc_id", "text", "lang")
     # of rows that repeat an id, one
     counted = cut(rows.mapInArrow(_count_batches, "doc_id long, counts binary, lang string").groupBy("lang", "doc_id").agg(F.min("counts").alias("counts")))
 

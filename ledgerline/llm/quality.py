@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import IS_SPACE, chunks, cut, mix, table, words
+from .common import IS_SPACE, chunks, cut, free, mix, table, words
 
 MIN_WORDS = 50
 #: A text fails when more than this share (in %) of its words lie in repeated three-word windows.
@@ -291,6 +291,7 @@ def fit(stats: DataFrame) -> DataFrame:
                 out.append((r.g_lang, r.g_source, r.rows, mean.tolist(), np.linalg.inv(cov)[_UPPER].tolist()))
             yield pd.DataFrame(out, columns=["k_lang", "k_source", "rows", "mean", "inv"])
 
+    free(stats.sparkSession)
     return cut(both.mapInPandas(run, f"k_lang string, k_source string, rows long, mean {_NUMBERS}, inv {_NUMBERS}"))
 
 

@@ -203,7 +203,8 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, n_bytes long, n_tokens long, over_limit boolean[, fits_chars long]) for every row, whole texts.
 
     ``fits_chars`` (with ``prefix``) is the longest prefix within ``limit`` tokens. Null and empty texts have 0 bytes
-    and 0 tokens. Rows are kept one for one, null and repeated ids too; other columns are not read.
+    and 0 tokens; a text of exactly ``limit`` tokens is not over it. Rows are kept one for one, null and repeated ids too;
+    an empty table gives an empty one; other columns are not read.
     """
     path = path or public_tokenizers.path(MODEL_FILE)
 

@@ -320,10 +320,14 @@ def test_centroids_equal_plain_ones(spark):
         assert lang[0] == centres[int(np.argmax(cos))][0] and score[0] == pytest.approx(min(1, max(0, max(cos))), abs=1e-4)
 
 
-def test_the_sample_is_bounded(spark):
-    rows = [(i, f"wort {i} sch", "de") for i in range(300)] + [(i % 7, f"the {i}", "en") for i in range(60)]
+def test_the_sample_is_bounded(spark, monkeypatch):
+    """About so many texts of a frequent language; few ids that are often repeated are all learned."""
+    rows = [(i, f"wort {i} sch", "de") for i in range(600)] + [(i % 7, f"the {i}", "en") for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
-    assert langid.fit(df, per_language=20, k=1).langs == ["de", "en"]
+    sizes = []
+    monkeypatch.setattr(langid, "cut", lambda x: (sizes.append({r[0]: r[1] for r in x.groupBy("lang").count().collect()} if "counts" in x.columns else None), x)[1])
+    assert langid.fit(df, per_language=60, k=1).langs == ["de", "en"]
+    assert 30 < sizes[-1]["de"] < 100 and sizes[-1]["en"] == 7
 
 
 def test_rare_languages_are_learned(spark):
