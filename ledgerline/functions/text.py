@@ -7,7 +7,9 @@ of any script count and ``$`` and ``.`` only know the newline.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +32,21 @@ def text(c: Column | str) -> Column:
     return F.coalesce(col(c).cast("string"), F.lit(""))
 
 
+def remembered(build):
+    """Columns that ``build`` made from the same names before, for as long as the JVM they live in: long expressions take
+    thousands of calls to put together."""
+    kept: dict = {}
+
+    @wraps(build)
+    def call(*args):
+        key = (SparkContext._gateway, args)
+        if key not in kept:
+            kept[key] = build(*args)
+        return kept[key]
+
+    return call
+
+
 def let(value: Column, use) -> Column:
     """``use(value)``, with the value computed once however often it is used."""
     return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))

@@ -25,18 +25,26 @@ def as_text(c: Column | str, missing: str = "empty") -> Column:
     return x.text(c)
 
 
-def expand_streets(df: DataFrame, column: str = "enhanced_street", log: str = LOG, lang: str = "detected_lang") -> DataFrame:
-    """The language's own rules (English for a language without), then the English ones for the others."""
-    start = F.struct(F.col(column).alias("v"), F.col(log).alias("l"))
-    own = None
+@x.remembered
+def by_own_rules(column: str, log: str, lang: str) -> Column:
+    """The struct (v, l) of a street after the rules of its language; unchanged for English and languages without."""
+    out = None
     for key, rules in t.STREET_RULES.items():
         if key != "en":
             done = x.rewritten(F.col(column), F.col(log), [(p, r, f"expanded_{p[:15]}") for p, r in rules])
-            own = F.when(F.col(lang) == key, done) if own is None else own.when(F.col(lang) == key, done)
+            out = F.when(F.col(lang) == key, done) if out is None else out.when(F.col(lang) == key, done)
+    return out.otherwise(F.struct(F.col(column).alias("v"), F.col(log).alias("l")))
+
+
+@x.remembered
+def by_english_rules(column: str, log: str, prefix: str) -> Column:
+    return x.rewritten(F.col(column), F.col(log), [(p, r, F.concat(prefix, F.lit(p[:15]))) for p, r in t.STREET_RULES["en"]])
+
+
+def expand_streets(df: DataFrame, column: str = "enhanced_street", log: str = LOG, lang: str = "detected_lang") -> DataFrame:
+    """The language's own rules (English for a language without), then the English ones for the others."""
     prefix = F.when(F.col(lang).isin([k for k in t.STREET_RULES if k != "en"]), "expanded_en_").otherwise("expanded_")
-    df = df.withColumns({"_f": own.otherwise(start), "_prefix": prefix})
-    english = [(p, r, F.concat("_prefix", F.lit(p[:15]))) for p, r in t.STREET_RULES["en"]]
-    df = df.withColumn("_f", x.rewritten(F.col("_f.v"), F.col("_f.l"), english))
+    df = df.withColumns({"_f": by_own_rules(column, log, lang), "_prefix": prefix}).withColumn("_f", by_english_rules("_f.v", "_f.l", "_prefix"))
     return df.withColumns({column: F.col("_f.v"), log: F.col("_f.l")}).drop("_f", "_prefix")
 
 

@@ -53,10 +53,11 @@ NAME_RULES = [
 ]
 
 
-def clean_names(df: DataFrame, column: str = "SOURCE_NAME") -> DataFrame:
-    """``cleaned_name``, ``name_removed_parts`` and ``name_cleaning_actions``. Names that no rule matches are left alone at
-    the cost of one match."""
-    name, none = x.strip(x.text(column)), F.array().cast("array<string>")
+@x.remembered
+def cleaned(column: str) -> Column:
+    """The struct (v, parts, l) of a name after ``NAME_RULES``: the name, what was taken off, and the log. Names that no
+    rule matches are left alone at the cost of one match."""
+    none = F.array().cast("array<string>")
 
     def rules(start: Column) -> Column:
         out = F.struct(start.alias("v"), none.alias("parts"), none.alias("l"))
@@ -72,14 +73,24 @@ def clean_names(df: DataFrame, column: str = "SOURCE_NAME") -> DataFrame:
             out = x.let(out, step)
         return F.when(start.rlike("|".join(f"(?Ud{flags}:{p})" for p, _, flags in NAME_RULES)), out).otherwise(F.struct(start.alias("v"), none.alias("parts"), none.alias("l")))
 
-    df = df.withColumn("_f", x.let(name, rules))
+    return x.let(x.strip(x.text(column)), rules)
+
+
+def clean_names(df: DataFrame, column: str = "SOURCE_NAME") -> DataFrame:
+    """``cleaned_name``, ``name_removed_parts`` and ``name_cleaning_actions``."""
+    df = df.withColumn("_f", cleaned(column))
     tail = F.regexp_replace(F.col("_f.v"), F.lit(r"(?Ud)\s*[-–—]\s*$"), F.lit(""))
     return df.withColumns({"cleaned_name": x.strip(x.squeeze(x.strip(tail), 2)), "name_removed_parts": F.col("_f.parts"), "name_cleaning_actions": F.col("_f.l")}).drop("_f")
 
 
-def fold(df: DataFrame, column: str, log: str, rules: list[tuple[str, str, str | Column]]) -> DataFrame:
+@x.remembered
+def rewritten_column(column: str, log: str, rules: tuple) -> Column:
+    return x.rewritten(F.col(column), F.col(log), rules)
+
+
+def fold(df: DataFrame, column: str, log: str, rules: list[tuple[str, str, str]]) -> DataFrame:
     """Apply ordered rules to a column and log what was done, as ``text.rewritten``."""
-    df = df.withColumn("_f", x.rewritten(F.col(column), F.col(log), rules))
+    df = df.withColumn("_f", rewritten_column(column, log, tuple(rules)))
     return df.withColumns({column: F.col("_f.v"), log: F.col("_f.l")}).drop("_f")
 
 

@@ -82,7 +82,19 @@ def simulated(address: Column, country: Column) -> Column:
 
 def simulate(df: DataFrame, address: str, country: str, out: str) -> DataFrame:
     """Adds the struct ``out``: ``simulated`` of the two columns."""
-    return df.withColumn(out, simulated(F.col(address), F.col(country)))
+    return df.withColumn(out, simulated_column(address, country))
+
+
+@x.remembered
+def simulated_column(address: str, country: str) -> Column:
+    return simulated(F.col(address), F.col(country))
+
+
+@x.remembered
+def strategies(address: str, notes: str) -> tuple[Column, ...]:
+    """What each strategy makes of an address; null where it changes nothing."""
+    a, said = F.col(address), F.col(notes)
+    return tuple(F.nullif(c, F.lit("")) for c in (component_fix(a, said), simplify(a), broaden(a)))
 
 
 def _numbers(items: dict[str, float]) -> Column:
@@ -241,10 +253,8 @@ def correct(df: DataFrame, address: str = "api_address", country: str = "suggest
     """Adds ``correction``: the three strategies, each on the original address, validated anew; the first that succeeds
     counts, with the number of attempts up to it. ``validate(df, address, country, out)`` is the validator; one that asks a
     service is given an address only where the first answer, and no earlier strategy, succeeded."""
-    a, notes = F.col(address), F.col(f"{first}.diagnostics")
-    candidates = [component_fix(a, notes), simplify(a), broaden(a)]
     asks = getattr(validate, "asks", False)
-    df = df.withColumns({f"_try{i}": F.nullif(c, F.lit("")) for i, c in enumerate(candidates)})
+    df = df.withColumns({f"_try{i}": c for i, c in enumerate(strategies(address, f"{first}.diagnostics"))})
     done = F.col(f"{first}.validation_status").isin(t.USABLE) | F.col(f"{first}.api_error").isNotNull()
     for i in range(3):
         if asks:
