@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,6 +57,20 @@ def chunks(texts: list[str | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[
     trim()
 
 
+def pieces(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, list]]:
+    """``chunks`` of an Arrow column of texts with the texts of each range; the others stay as they are, so that a batch is
+    never there as Python objects as a whole."""
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    till = np.cumsum(size)
+    start = 0
+    while start < len(size):
+        done = int(till[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(till, done + limit, side="right")))
+        yield start, end, column.slice(start, end - start).to_pylist()
+        start = end
+    trim()
+
+
 def map_columns(df: DataFrame, columns: list[str], fn: Callable[..., dict], schema: str | T.StructType) -> DataFrame:
     """``fn(*lists) -> {name: list}`` over chunks of the named columns; returns only the columns of ``schema``."""
     fields = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
@@ -65,11 +80,8 @@ def map_columns(df: DataFrame, columns: list[str], fn: Callable[..., dict], sche
 
     def run(batches):
         for batch in batches:
-            lists = [c.to_pylist() for c in batch.columns]
-            if not batch.num_rows:
-                continue
-            for a, b in chunks(lists[-1]):
-                out = fn(*(x[a:b] for x in lists))
+            for a, b, texts in pieces(batch.columns[-1]):
+                out = fn(*(c.slice(a, b - a).to_pylist() for c in batch.columns[:-1]), texts)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.select([F.col(f"`{c}`") for c in columns]).mapInArrow(run, fields)

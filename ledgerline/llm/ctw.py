@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, chunks, crc_mod, cut, mix, table, trim, words
+from .common import LOWER, crc_mod, cut, mix, pieces, table, trim, words
 
 DEPTH = 5
 #: N-grams at least as frequent as one in so many bytes are broadcast with their probabilities.
@@ -162,10 +162,9 @@ def _gather(train: DataFrame, groups: int) -> DataFrame:
     def run(batches):
         w, g, docs = _Tally(WORDS, groups), _Tally(GRAMS, groups), 0
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            docs += len(texts)
-            for a, b in chunks(texts, CHUNK):
-                out = [*w.add(*np.unique(_tokens(texts[a:b])[0], return_counts=True)), *g.add(*np.unique(_codes(texts[a:b])[0], return_counts=True))]
+            docs += batch.num_rows
+            for _, _, texts in pieces(batch.column(0), CHUNK):
+                out = [*w.add(*np.unique(_tokens(texts)[0], return_counts=True)), *g.add(*np.unique(_codes(texts)[0], return_counts=True))]
                 if out:
                     yield _batch(out)
         if docs:
@@ -576,16 +575,16 @@ def score_texts(docs: DataFrame, fold=None) -> DataFrame:
                     parts.clear()
 
         for batch in batches:
-            ids, held, texts = (c.to_pylist() for c in batch.columns)
-            for a, b in chunks(texts, CHUNK):
-                h, first = _tokens(texts[a:b])
+            for a, b, texts in pieces(batch.column(2), CHUNK):
+                ids, held = (batch.column(i).slice(a, b - a).to_pylist() for i in (0, 1))
+                h, first = _tokens(texts)
                 c = table_.look(h)
                 n = np.diff(first)
                 logs = np.where(c > 0, np.log10((c + 0.5) / whole), 0.0)
                 rows = np.zeros(b - a, _TEXT)
-                rows["row"], rows["more"] = _names(ids[a:b], held[a:b], texts[a:b])
-                rows["null"] = [x is None for x in ids[a:b]]
-                rows["held"] = held[a:b]
+                rows["row"], rows["more"] = _names(ids, held, texts)
+                rows["null"] = [x is None for x in ids]
+                rows["held"] = held
                 rows["n"] = n + 1
                 total = np.concatenate([[0], np.cumsum(c > 0)])
                 rows["known"] = total[first[1:]] - total[first[:-1]] + (end_count > 0)
@@ -597,7 +596,7 @@ def score_texts(docs: DataFrame, fold=None) -> DataFrame:
                     asked["key"], asked["row"], asked["more"] = keys, rows["row"][of], rows["more"][of]
                     asks[kind].append((asked, where))
 
-                code, length = _codes(texts[a:b])
+                code, length = _codes(texts)
                 lp = grams_.look(code)  # below 0 where it is known
                 sums_ = np.concatenate([[0.0], np.cumsum(lp)])
                 till = np.cumsum(length)

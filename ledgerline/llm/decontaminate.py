@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, shingles, table, words
+from .common import pieces, shingles, table, words
 
 #: Words of a seed, and of the shortest tile.
 MIN_MATCH = 5
@@ -205,9 +205,9 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, coverage: float = COVE
 
         def run(batches, shared=shared):
             for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for a, b in chunks(texts):
-                    found = shared.value.find(texts[a:b], coverage)
+                ids = batch.column(0).to_pylist()
+                for a, _, texts in pieces(batch.column(1)):
+                    found = shared.value.find(texts, coverage)
                     cols = [[ids[a + x[0]] for x in found], *[[x[i] for x in found] for i in range(1, 5)]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
@@ -225,9 +225,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = C
 
         def run(batches, shared=shared):
             for batch in batches:
-                texts = batch.column(at).to_pylist()
-                for a, b in chunks(texts):
-                    bad = {x[0] for x in shared.value.find(texts[a:b], coverage)}
+                for a, b, texts in pieces(batch.column(at)):
+                    bad = {x[0] for x in shared.value.find(texts, coverage)}
                     yield batch.slice(a, b - a).filter(pa.array([i not in bad for i in range(b - a)], pa.bool_()))
 
         docs = docs.mapInArrow(run, T.StructType(docs.schema.fields))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, cut, drop_dir, free, mix, shingles, table, trim, words
+from .common import cut, drop_dir, free, mix, pieces, shingles, table, trim, words
 from .components import components
 
 WORDS = 5
@@ -85,10 +85,10 @@ def _sets_and_sketch(docs: DataFrame, k: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(blocks, pa.int32()), pa.array([salt] * m, pa.int32()), pa.array(counts, pa.binary())], ["doc_id", "n", "node", "block", "salt", "counts"])
 
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in chunks(texts):
+            keys = batch.column(0).to_pylist()
+            for a, _, texts in pieces(batch.column(1)):
                 new = []
-                for i, s in enumerate(shingle_sets(texts[a:b], k), a):
+                for i, s in enumerate(shingle_sets(texts, k), a):
                     node = node_of(s) if len(s) else None
                     ids.append(keys[i]), ns.append(len(s)), nodes.append(node)
                     if len(s) and node not in seen:
@@ -142,9 +142,8 @@ def _postings(docs: DataFrame, sketch, k: int, percent: int, hot_from: int) -> D
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v)) for v in values], [f.split()[0] for f in _POST_SCHEMA.split(", ")])
 
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in chunks(texts):
-                for s in shingle_sets(texts[a:b], k):
+            for _, _, texts in pieces(batch.column(1)):
+                for s in shingle_sets(texts, k):
                     n = len(s)
                     if not n or (node := node_of(s)) in seen:
                         continue
@@ -527,9 +526,8 @@ def linked_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tupl
 
     def sets_of(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in chunks(texts):
-                found = [(node_of(s), s.astype("<u8").tobytes()) for s in shingle_sets(texts[a:b], k) if len(s)]
+            for _, _, texts in pieces(batch.column(1)):
+                found = [(node_of(s), s.astype("<u8").tobytes()) for s in shingle_sets(texts, k) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], ["node", "shingles"])
 
     sets = named.mapInArrow(sets_of, "node long, shingles binary")
@@ -608,10 +606,9 @@ def keep_one(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFra
 
     def name(batches):
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for a, b in chunks(texts):
+            for a, b, texts in pieces(batch.column(at)):
                 part = batch.slice(a, b - a)
-                nodes = pa.array([node_of(s) if len(s) else None for s in shingle_sets(texts[a:b], k)], pa.int64())
+                nodes = pa.array([node_of(s) if len(s) else None for s in shingle_sets(texts, k)], pa.int64())
                 yield pa.RecordBatch.from_arrays([*part.columns, nodes], names=[*part.schema.names, "node"])
 
     several = several.mapInArrow(name, T.StructType([*plain.schema.fields, T.StructField("node", T.LongType())]))

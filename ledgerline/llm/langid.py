@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, crc_mod, cut, joined, map_columns, table
+from .common import crc_mod, cut, joined, map_columns, pieces, table
 
 #: About so many texts of a language are read by fitting, or all if there are fewer: those whose hashed id is least.
 SAMPLE_PER_LANGUAGE = 1000
@@ -165,14 +165,13 @@ def _count_batches(batches):
     import pyarrow as pa
 
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for a, b in chunks(texts):
+        for a, b, texts in pieces(batch.column(1)):
             out = []
-            for i in range(a, b, _ROWS):
-                for row in term_counts(texts[i : min(b, i + _ROWS)]):
+            for i in range(0, len(texts), _ROWS):
+                for row in term_counts(texts[i : i + _ROWS]):
                     at = np.flatnonzero(row)
                     out.append(np.concatenate([at, row[at]]).astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(out, pa.binary()), batch.column(2).slice(a, b - a)], ["doc_id", "counts", "lang"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(out, pa.binary()), batch.column(2).slice(a, b - a)], ["doc_id", "counts", "lang"])
 
 
 def predict_languages(docs: DataFrame, model: Centroids, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import IS_SPACE, chunks, cut, free, mix, table, words
+from .common import IS_SPACE, cut, free, mix, pieces, table, words
 
 MIN_WORDS = 50
 #: A text fails when more than this share (in %) of its words lie in repeated three-word windows.
@@ -106,9 +106,8 @@ def with_statistics(docs: DataFrame, text_col: str = "text", prefix: str = "") -
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for a, b in chunks(texts):
-                found = measure(texts[a:b])
+            for a, b, texts in pieces(batch.column(at)):
+                found = measure(texts)
                 part = batch.slice(a, b - a)
                 stats = pa.StructArray.from_arrays([pa.array(found[f.name], f.type) for f in kind], fields=list(kind))
                 yield pa.RecordBatch.from_arrays([*part.columns, stats], names=[*part.schema.names, f"{prefix}stats"])
