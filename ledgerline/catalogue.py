@@ -291,7 +291,7 @@ def _service(requests: DataFrame) -> DataFrame:
 def q43(spark, d):
     """Validation by a service of which some calls fail."""
     out = validation.validate_records(second(spark, d), validation.by_service(_service))
-    return out.select("row_id", "validation_status", "validated_address", "correction_status", "correction_strategy", "correction_attempts", "failure_reason", "manual_review_flag", "validation_granularity")
+    return out.select("row_id", "validation_status", "validated_address", "correction_status", "correction_strategy", F.coalesce("correction_attempts", F.lit(-1)).alias("correction_attempts"), "failure_reason", "manual_review_flag", "validation_granularity")
 
 
 def q44(spark, d):

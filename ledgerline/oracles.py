@@ -627,7 +627,7 @@ ORACLES: dict[str, str] = {
         f"SELECT 'usable', {USE} FROM V UNION ALL SELECT 'manual_review', count(*) FILTER (manual_review_flag) FROM V UNION ALL SELECT 'attempted', count(correction_status) FROM V UNION ALL "
         "SELECT 'trusted', count(*) FILTER (v_status = 'LIKELY_MATCH') FROM {in} UNION ALL SELECT 'review', count(*) FILTER (review_routing LIKE 'REVIEW_%') FROM {in} UNION ALL SELECT 'deferred', count(*) FILTER (review_routing = 'DEFER_NO_EVIDENCE') FROM {in}".replace("F ", "F ")
     ).replace(" FROM F", f" FROM {FIRST.last}").replace(" FROM V", f" FROM {VALIDATED.last}"),
-    "q43_service_replay": LIVE.select("SELECT row_id, validation_status, validated_address, correction_status, correction_strategy, correction_attempts, failure_reason, manual_review_flag, validation_granularity FROM {in}"),
+    "q43_service_replay": LIVE.select("SELECT row_id, validation_status, validated_address, correction_status, correction_strategy, coalesce(correction_attempts, -1) AS correction_attempts, failure_reason, manual_review_flag, validation_granularity FROM {in}"),
     "q44_modified": FIRST.select(f"SELECT count(*) AS total, count(*) FILTER ({strip('SOURCE_NAME')} <> cleaned_name) AS names_modified, round(100 * count(*) FILTER ({strip('SOURCE_NAME')} <> cleaned_name) / greatest(count(*), 1), 1) AS names_pct, count(*) FILTER (len(normalization_actions) > 0) AS addresses_modified, round(100 * count(*) FILTER (len(normalization_actions) > 0) / greatest(count(*), 1), 1) AS addresses_pct FROM {{in}}"),
     "q45_counts_of_missing": VALIDATED.select("SELECT 'drop' AS mode, correction_status AS value, count(*) AS n FROM {in} WHERE correction_status IS NOT NULL GROUP BY 2 UNION ALL SELECT 'keep', correction_status, count(*) FROM {in} GROUP BY 2 UNION ALL SELECT 'fill', coalesce(correction_status, 'N/A'), count(*) FROM {in} GROUP BY 2"),
     "q46_success_summary": VALIDATED.select(f"SELECT {EXACT} AS exact_success, {RATE.replace('{n}', EXACT)} AS exact_success_rate, {USE} AS usable_success, {RATE.replace('{n}', USE)} AS usable_success_rate, {OF('PARTIAL_VALIDATED')} AS partial_validated FROM {{in}}"),
