@@ -125,10 +125,18 @@ def tokens(normalized: Column) -> Column:
     return F.filter(F.split(normalized, " "), lambda x: x != "")
 
 
+def token_set(c: Column | str) -> Column:
+    return F.array_distinct(tokens(normalize_text(c)))
+
+
+def set_similarity(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two arrays of distinct tokens; 0 if either has none."""
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+
+
 def token_similarity(left: Column | str, right: Column | str) -> Column:
     """Jaccard similarity of the sets of normalized tokens; 0 if either has none."""
-    a, b = F.array_distinct(tokens(normalize_text(left))), F.array_distinct(tokens(normalize_text(right)))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+    return set_similarity(token_set(left), token_set(right))
 
 
 def clamp(c: Column | str, low: float = 0.0, high: float = 1.0) -> Column:

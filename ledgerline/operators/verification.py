@@ -43,14 +43,22 @@ def parse_candidates(answer: Column | str) -> Column:
     return F.coalesce(F.transform(results, one), F.array().cast("array<struct<name:string,address:string,latitude:double,longitude:double,score:double,category:string>>"))
 
 
+def with_tokens(df: DataFrame, *columns: str) -> DataFrame:
+    """Adds ``<column>_tokens``, what ``score_candidates`` compares, where a row is not yet paired with all others."""
+    return df.withColumns({f"{c}_tokens": x.token_set(c) for c in columns})
+
+
 def score_candidates(df: DataFrame, company="company_name", address="address", lat="latitude", lon="longitude", c="c_", keep=()) -> DataFrame:
     """Scores of rows that pair a record with a candidate (columns ``<c>name``, ``<c>address``, ``<c>latitude``,
-    ``<c>longitude``, ``<c>score``): name_score, address_score, distance_score, api_score, confidence, evidence."""
+    ``<c>longitude``, ``<c>score``): name_score, address_score, distance_score, api_score, confidence, evidence. Texts
+    whose tokens are there (``with_tokens``) are not taken apart again."""
     v = lambda n: F.col(c + n)
     given = ~x.is_blank(address) if isinstance(address, str) else F.lit(False)
+    parts = lambda n: F.col(f"{n}_tokens") if f"{n}_tokens" in df.columns else x.token_set(n)
+    alike = lambda one, other: x.set_similarity(parts(one), parts(other))
     df = df.withColumns(
         {
-            "_n": x.token_similarity(company, v("name")), "_a": F.when(given, x.token_similarity(address, v("address"))).otherwise(0.0) if isinstance(address, str) else F.lit(0.0),
+            "_n": alike(company, c + "name"), "_a": F.when(given, alike(address, c + "address")).otherwise(0.0) if isinstance(address, str) else F.lit(0.0),
             "_d": distance_score(F.col(lat), F.col(lon), v("latitude"), v("longitude")) if lat else F.lit(0.0), "_s": F.least(F.coalesce(v("score"), F.lit(0.0)), F.lit(1.0)),
         }
     )
