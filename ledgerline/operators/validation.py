@@ -199,7 +199,8 @@ def by_service(resolve, order: str = "row_id"):
         key = request_key(x.squeeze(x.strip(F.lower(x.text("address")))), F.upper(x.strip(x.text("country"))))
         said = ask_once(narrow, ["address", "country"], resolve, "said", key, order, ~x.is_blank("address"))
         answers = parse_answers(said, "said", "address", out, "said_error").select(order, out)
-        return df.join(cut(answers), order, "left")
+        # one answer a record, mostly equal ones: files far smaller than the rows, which are no broadcast
+        return df.join(cut(answers).hint("merge"), order, "left")
 
     validate.asks = True
     return validate
