@@ -177,6 +177,31 @@ def test_sample_is_joined_first_and_bounded(spark, monkeypatch):
     assert 0 < sum(map(len, seen[1][0])) < 1500 and set(seen[1][1]) == {0, 1}
 
 
+def test_all_labelled_rows_teach(spark, monkeypatch):
+    """More rows of a class than a sample once held, and more words."""
+    docs = spark.range(7000).selectExpr("id as doc_id", "concat('word ', id) as text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 20 = 0 as int) as toxic")
+    seen = []
+    monkeypatch.setattr(toxicity, "fitted", lambda parts, lang, y, weight: seen.append((y, weight)))
+    toxicity.fit(docs, labels)
+    assert len(seen[0][0]) == 7000 and seen[0][0].sum() == 350 and set(seen[0][1]) == {1.0}
+
+
+def test_shards_learn_from_all_rows_however_dealt(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 100)
+    rows = toxic_rows()
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(0, rows[0][1]), (9999, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(9999, 0)], "doc_id long, toxic int")
+    seen, apart = [], toxicity.fitted_apart
+    monkeypatch.setattr(toxicity, "fitted_apart", lambda packed: seen.append(sum(len(r["y"]) for r in packed.collect())) or apart(packed))
+    nets = [toxicity.fit(docs.repartition(n), labels.repartition(n), fold=~toxicity.held_out()) for n in (1, 7)]
+    held = [zlib.crc32(str(i).encode()) % 4 == 2 for i, *_ in rows]
+    assert seen == [sum(not x for x in held) + (zlib.crc32(b"9999") % 4 != 2)] * 2
+    assert all(np.array_equal(getattr(nets[0], n), getattr(nets[1], n)) for n in ("emb", "out", "bias", "base", "cuts"))
+    score = nets[0].score([t for _, t, _ in rows])
+    assert np.mean([(s >= toxicity.CUT) == y for s, (_, _, y), h in zip(score, rows, held, strict=True) if h]) >= 0.95
+
+
 def test_gradients_equal_differences(monkeypatch):
     """A step of training against numerical slopes of the loss, for embeddings, filters, biases and output."""
     net = toxicity.ConvNet(5)
