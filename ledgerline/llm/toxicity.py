@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.records import LANGUAGE_WORDS as FUNCTION_WORDS
-from .common import chunks, crc_mod, cut, drop_dir, eights, free, map_columns, mix, pieces, table, words
+from .common import chunks, crc_mod, cut, drop_dir, eights, free, map_columns, mix, pieces, table, trim, words
 
 #: About as many labelled rows and words are trained one after the other, by one process.
 SHARD_ROWS = 10_000
@@ -341,10 +341,12 @@ def _shards(batches):
 
 
 def _rows_of(features: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words of some texts, and the first word of each."""
-    n = np.diff(first)[rows]
-    at = np.concatenate([[0], np.cumsum(n)])
-    return features[np.repeat(first[:-1][rows] - at[:-1], n) + np.arange(at[-1])], at
+    """The words of some texts in their order, and the first word of each. One byte a word tells which go."""
+    n = np.diff(first)
+    taken = np.zeros(len(n), bool)
+    taken[rows] = True
+    trim()
+    return features if taken.all() else features[np.repeat(taken, n)], np.concatenate([[0], np.cumsum(n[rows])])
 
 
 def fitted_apart(packed: DataFrame) -> ConvNet:
