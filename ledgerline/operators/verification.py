@@ -48,6 +48,20 @@ def with_tokens(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({f"{c}_tokens": x.token_set(c) for c in columns})
 
 
+#: Into so many shares the records of one key are dealt where they are paired with all candidates of that key.
+SHARES = 8
+
+
+def paired(records: DataFrame, candidates: DataFrame, key: str, candidate_key: str) -> DataFrame:
+    """Each record with every candidate of its key. Few bytes make very many pairs, so that partitions of a usual size would
+    leave them to a task or two: records are dealt into shares, each of which meets all candidates of the key, and
+    the number of partitions is fixed."""
+    n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mine = records.withColumn("_share", F.pmod(F.xxhash64(*records.columns), F.lit(SHARES)).cast("int")).repartition(n, key, "_share")
+    theirs = candidates.withColumn("_each", F.explode(F.array(*[F.lit(i) for i in range(SHARES)]))).repartition(n, candidate_key, "_each")
+    return mine.join(theirs, (F.col(key) == F.col(candidate_key)) & (F.col("_share") == F.col("_each"))).drop("_share", "_each")
+
+
 def score_candidates(df: DataFrame, company="company_name", address="address", lat="latitude", lon="longitude", c="c_", keep=()) -> DataFrame:
     """Scores of rows that pair a record with a candidate (columns ``<c>name``, ``<c>address``, ``<c>latitude``,
     ``<c>longitude``, ``<c>score``): name_score, address_score, distance_score, api_score, confidence, evidence. Texts
