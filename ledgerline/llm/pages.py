@@ -4,11 +4,11 @@ Pages of a host are sorted by path; each is paired with the neighbour whose path
 text lines are aligned by a longest common subsequence, and lines that both share go, as parts of the site's frame. Of
 copies of one page the first stands for all, so that a page is never compared with its copy.
 
-Markup that names its purpose is used first: elements for navigation, forms, adverts, comments and the like give no
-lines. Of a page with main elements the lines of all articles and of all elements of the chosen kind are taken, those
-outside an article less what the neighbour has; lines inside article elements are kept even if the neighbour has them,
-because two pages may well carry the same passage or the same article. A page all of whose lines lie in articles is
-settled by its markup alone and is not moved; of the others only hashes of lines are sorted.
+That holds for every page and all its lines; only hashes of lines are sorted for it. A check by markup follows, as
+neighbours may have other menus and adverts, and two pages may well carry the same passage or the same article: of the
+lines that differencing leaves, those in elements for navigation, forms, adverts, comments and the like go, and on a page
+with main elements those outside all articles and all elements of the chosen kind; shared lines inside article elements
+come back.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,11 +48,14 @@ BODY_NAMES = frozenset("content article post entry story main body text".split()
 
 
 class Page:
-    """What a page holds: its lines in order, and for each 2 in an article, 1 in another chosen main element, else 0; None without any."""
+    """What a page holds: all its lines in order with whether no element around them names another purpose (``every``), those
+    of which that is true (``lines``), and for each of these 2 in an article, 1 in another chosen main element, else 0; None
+    without any."""
 
-    __slots__ = ("lines", "inside")
+    __slots__ = ("every", "lines", "inside")
 
     def __init__(self, source: str | None):
+        self.every: list[tuple[str, bool]] = []
         self.lines: list[str] = []
         owners: list[int] = []
         stack: list[tuple[str, int]] = []  # open elements, each with the main element it opened or 0
@@ -59,31 +63,39 @@ class Page:
         open_mains: list[int] = []
         spans: list[list[int]] = []
         parts: list[str] = []
-        skip = None  # (tag, depth) of a frame element whose text is left out
+        beside: list[str] = []
+        skip = None  # (tag, depth) of the frame element that the text is in
 
-        def flush():
-            if parts:
-                text = " ".join(html.unescape("".join(parts)).split())
-                parts.clear()
+        def flush(given=parts):
+            if given:
+                text = " ".join(html.unescape("".join(given)).split())
+                given.clear()
                 if text:
-                    self.lines.append(text)
+                    self.every.append((text, given is parts))
+                    if given is parts:
+                        self.lines.append(text)
 
         at, source = 0, source or ""
         for m in _TOKEN.finditer(source):
-            if m.start() > at and skip is None:
-                parts.append(source[at : m.start()])
+            if m.start() > at:
+                (parts if skip is None else beside).append(source[at : m.start()])
             at = m.end()
             tag = m[3]
             if tag is None:
                 continue
             tag = tag.lower()
+            if tag in BLOCK:
+                flush(beside)
+            elif skip is not None and tag in CELLS:
+                beside.append(" ")
             if m[2]:
                 if skip is not None:
                     if tag == skip[0]:
                         skip = (tag, skip[1] - 1) if skip[1] > 1 else None
-                        if skip is None and tag in BLOCK:
-                            flush()
                         if skip is None:
+                            flush(beside)
+                            if tag in BLOCK:
+                                flush()
                             continue
                     if skip is None or not any(t == tag for t, _ in stack) or tag == skip[0]:
                         continue
@@ -132,9 +144,9 @@ class Page:
                 open_mains.append(number)
             if tag != "p" or not (stack and stack[-1][0] == "p"):
                 stack.append((tag, number))
-        if skip is None:
-            parts.append(source[at:])
+        (parts if skip is None else beside).append(source[at:])
         flush()
+        flush(beside)
         for k in open_mains:
             spans[k - 1][1] = len(self.lines)
         held = {kind: {i for (k, _), (a, b) in zip(mains, spans, strict=True) if k == kind for i in range(a, b)} for kind in (3, 2, 1)}
@@ -170,20 +182,16 @@ class Page:
         names = set(_NAME_PARTS.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
         return bool(names & FRAME_NAMES) or "header" in names and not in_main
 
-    @property
-    def open(self) -> bool:
-        """Are there lines that markup alone does not settle?"""
-        return bool(self.lines) and (self.inside is None or 1 in self.inside)
-
     def text_without(self, shared: set[int]) -> str:
         return kept_lines(self.lines, self.inside, shared)
 
 
 def kept_lines(lines: list[str], inside: list[int] | None, shared: set[int]) -> str:
-    """The lines of articles, and of what else may hold the text those that are not shared."""
+    """The lines that are not shared, after the check by markup: those of articles come back, those outside main elements go."""
+    kept = [i not in shared for i in range(len(lines))]
     if inside is not None:
-        return "\n".join(x for i, x in enumerate(lines) if inside[i] == 2 or inside[i] and i not in shared)
-    return "\n".join(x for i, x in enumerate(lines) if i not in shared)
+        kept = [zone == 2 or zone == 1 and own for zone, own in zip(inside, kept, strict=True)]
+    return "\n".join(x for x, own in zip(lines, kept, strict=True) if own)
 
 
 #: Bits of the table from which a longest common subsequence is read off; larger problems are halved.
@@ -256,22 +264,24 @@ MOST_PAGES, LEAST_PAGES = 50_000, 1000
 _LINE = np.dtype([("hash", "<u8"), ("size", "<u4")])
 
 
-def fingerprint(lines: list[str]) -> tuple[bytes, bytes]:
-    """(hash and length of every line, name of the whole)."""
-    out = np.empty(len(lines), _LINE)
-    for i, x in enumerate(lines):
+def fingerprint(every: list[tuple[str, bool]]) -> tuple[bytes, bytes]:
+    """(hash and length of every line, name of the text that they hold). Lines in elements that name another purpose have
+    other hashes than the same words in the text (a menu may hold a neighbour's title), length 0 and no part in the name."""
+    out = np.empty(len(every), _LINE)
+    for i, (x, plain) in enumerate(every):
         raw = x.encode("utf-8", "surrogatepass")
-        out[i] = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little"), len(x)
-    packed = out.tobytes()
-    return packed, hashlib.blake2b(packed, digest_size=16).digest()
+        out[i] = int.from_bytes(hashlib.blake2b(raw, digest_size=8, person=b"" if plain else b"frame").digest(), "little"), len(x) if plain else 0
+    return out.tobytes(), hashlib.blake2b(out[out["size"] > 0].tobytes(), digest_size=16).digest()
 
 
 def shared_lines(page: np.ndarray, other: np.ndarray) -> set[int] | None:
-    """Places of the lines that ``page`` shares with ``other``; None when the two are versions of one text."""
+    """Places, among the lines of its text, of those that ``page`` shares with ``other``; None when the two are versions of
+    one text."""
     pairs = common_lines(page["hash"].tolist(), other["hash"].tolist())
     both = sum(int(page["size"][i]) for i, _ in pairs)
     most = max(int(page["size"].sum()), int(other["size"].sum()))
-    return None if both >= COPY * most else {i for i, _ in pairs}
+    place = np.cumsum(page["size"] > 0) - 1
+    return None if both >= COPY * most else {int(place[i]) for i, _ in pairs if page["size"][i]}
 
 
 def _alike(a: str, b: str) -> int:
@@ -300,14 +310,13 @@ def _parsed(pages: DataFrame, fields: str, make) -> DataFrame:
 
 
 def _frames(keys: DataFrame) -> DataFrame:
-    """(host, name, shared): for every open page content of a host the places of the lines it shares with its neighbour.
+    """(host, name, shared): for every text of a host the places of the lines it shares with its neighbour, if there are any.
 
     Contents are dealt out by ranges of (host, path, page_id), so that a host of any size is split, and each range also
     gets the contents next to it, so that the ranges change no result."""
     spark = keys.sparkSession
-    hosts = keys.filter("open").select("host").distinct()
-    first = keys.join(hosts, "host", "left_semi").groupBy("host", "name").agg(F.min(F.struct("path", "page_id")).alias("k"), F.max("open").alias("open"), F.min("lines").alias("lines"))
-    first = cut(first.select("host", F.col("k.path").alias("path"), F.col("k.page_id").alias("page_id"), "name", "open", "lines"))
+    first = keys.groupBy("host", "name").agg(F.min(F.struct("path", "page_id", "lines")).alias("k"))
+    first = cut(first.select("host", F.col("k.path").alias("path"), F.col("k.page_id").alias("page_id"), "name", F.col("k.lines").alias("lines")))
     count, usual = first.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = max(1, min(usual, count // LEAST_PAGES), count // MOST_PAGES)
     order = ["host", "path", "page_id", "name"]
@@ -326,8 +335,8 @@ def _frames(keys: DataFrame) -> DataFrame:
     def run(batches):
         def rows():
             for batch in batches:
-                for host, path, _, name, open_, lines, halo, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    yield (part, host), path, name, open_ and not halo, np.frombuffer(lines, _LINE)
+                for host, path, _, name, lines, halo, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    yield (part, host), path, name, not halo, np.frombuffer(lines, _LINE)
 
         def settle(before, now, after):
             near = [(x, k) for k, x in enumerate((before, after)) if x is not None and x[0] == now[0]]
@@ -356,42 +365,38 @@ def _frames(keys: DataFrame) -> DataFrame:
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text string, n_chars long) for every row of ``pages`` (page_id, url, html).
+    """(page_id, url, text string, n_chars long, n_shared long) for every row of ``pages`` (page_id, url, html).
 
     Character references are decoded, white space inside a block becomes one space, blocks are joined by newlines; text is
-    empty for null and empty pages. A null URL has an empty host and path, and its neighbours are pages of that host. Of
-    equally near neighbours the earlier in order of path, then page_id, is taken. Repeated rows are kept; an empty table
-    gives an empty one; other columns are not read. The result does not depend on the number of partitions.
+    empty for null and empty pages. ``n_shared`` counts the lines outside marked frame elements that the neighbour has too,
+    whether they go or the check by markup brings them back. A null URL has an empty host and path, and its neighbours are
+    pages of that host. Of equally near neighbours the earlier in order of path, then page_id, is taken. Repeated rows are
+    kept; an empty table gives an empty one; other columns are not read. The result does not depend on the number of
+    partitions.
     """
     def key(row, page):
-        lines, name = fingerprint(page.lines)
-        some = page.open
-        return row[0], row[1] if some else None, row[3], row[4], lines, name, some, page.lines if some else None, bytes(page.inside) if some and page.inside is not None else None
+        return row[0], row[3], row[4], *fingerprint(page.every)
 
-    def settled(row, page):
-        if page.open:
-            return None
-        text = page.text_without(set())
-        return row[0], row[1], text, len(text)
+    def whole(row, page):
+        return row[0], row[1], row[3], fingerprint(page.every)[1], page.lines, None if page.inside is None else bytes(page.inside)
 
-    final = "page_id long, url string, text string, n_chars long"
-    out = _parsed(pages, final, settled)
-    keys = cut(_parsed(pages, "page_id long, url string, host string, path string, lines binary, name binary, open boolean, source array<string>, inside binary", key))
-    if not keys.filter("open").limit(1).count():
-        return out
-    shared = _frames(keys.select("host", "path", "page_id", "lines", "name", "open"))
-    open_ = keys.filter("open").select("page_id", "url", "host", "name", "source", "inside").join(shared, ["host", "name"], "left")
+    shared = _frames(cut(_parsed(pages, "page_id long, host string, path string, lines binary, name binary", key)))
+    texts = _parsed(pages, "page_id long, url string, host string, name binary, lines array<string>, inside binary", whole).join(shared, ["host", "name"], "left")
+    ready = texts.select("page_id", "url", "lines", "inside", "shared")
+    schema = T.StructType([*ready.schema.fields[:2], *T._parse_datatype_string("text string, n_chars long, n_shared long").fields])
 
     def run(batches):
         for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns]
-            texts = []
-            for lines, inside, places in zip(*cols[2:], strict=True):
-                gone = set(np.frombuffer(places, "<u4").tolist()) if places else set()
-                texts.append(kept_lines(lines, None if inside is None else list(inside), gone))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    return out.union(open_.select("page_id", "url", "source", "inside", "shared").mapInArrow(run, out.schema))
+            for a, b, _ in pieces(pc.binary_join(batch.column(2), "")):
+                given = batch.slice(a, b - a)
+                made = []
+                for lines, inside, places in zip(*(c.to_pylist() for c in given.columns[2:]), strict=True):
+                    gone = set(np.frombuffer(places, "<u4").tolist()) if places else set()
+                    made.append((kept_lines(lines, None if inside is None else list(inside), gone), len(gone)))
+                counts = [pa.array([len(x) for x, _ in made], pa.int64()), pa.array([n for _, n in made], pa.int64())]
+                yield pa.RecordBatch.from_arrays([given.column(0), given.column(1), pa.array([x for x, _ in made], pa.string()), *counts], ["page_id", "url", "text", "n_chars", "n_shared"])
+
+    return ready.mapInArrow(run, schema)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,6 +97,22 @@ def test_shared_frames_go_whatever_the_partitions(spark, monkeypatch):
         assert got == want
 
 
+def test_pages_with_an_article_are_differenced_too(spark):
+    """Their shared lines are found, then the check by markup brings them back; a menu is aligned with menus only."""
+    page = lambda i: f"<nav><p>menu</p><p>Title {3 - i}</p></nav><article><h1>Title {i}</h1><p>a passage of both</p><p>own {'text ' * 9}{i}</p><div class=ad>buy {i}</div></article><footer>imprint</footer>"
+    rows = [(1, "http://h.x/1", page(1)), (2, "http://h.x/2", page(2)), (3, "http://g.x/1", page(1)), (4, "http://g.x/2", None), (5, None, page(2).replace("article>", "div>")), (6, None, page(1).replace("article>", "div>"))]
+    got = {r["page_id"]: r for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    own = lambda i: f"own {'text ' * 9}{i}"
+    assert [got[i]["n_shared"] for i in range(1, 7)] == [1, 1, 0, 0, 1, 1]
+    assert [got[i]["text"] for i in (1, 2, 3)] == [f"Title {i}\na passage of both\n{own(i)}" for i in (1, 2, 1)] and got[4]["text"] == ""
+    assert [got[i]["text"] for i in (5, 6)] == [f"Title {i}\n{own(i)}" for i in (2, 1)]
+
+
+def test_lines_of_frame_elements_stay_apart():
+    page = pages.Page("<nav>a<br>b<ul><li>c</li></ul></nav><p>x <span class=ad>d<div>e</div></span> y</p><footer>f")
+    assert page.every == [("a b", False), ("c", False), ("d", False), ("e", False), ("x y", True), ("f", False)] and page.lines == ["x y"]
+
+
 def test_very_long_pages(spark):
     lines = [f"line {i}" for i in range(30_000)]
     page = lambda own: "".join(f"<p>{x}</p>" for x in [*lines[:200], *own, *lines[200:400]])
